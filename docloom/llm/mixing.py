@@ -42,23 +42,49 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
     return df.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, *keep: str, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row a document: the keep columns of documents, then size, source_size, target and copies.
+def draw(tries: int, seed: int) -> list[Column]:
+    """The candidate draws of a document, one uniform number each."""
+    return [unit_hash(F.lit(seed + k), "doc_id") for k in range(tries)]
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a table of sources is within the bounds of a broadcast."""
+    rows, chars = df.agg(F.count("*"), F.coalesce(F.sum(F.length("_source")), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS
+
+
+def rates(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int, tries: int) -> tuple[DataFrame, bool]:
+    """(_source, source_size, target, rate, draw), one row a source, and whether it may be broadcast.
+
+    Of `tries` seeds each source takes the one whose words come nearest to its target, the first of equals: few or very
+    unequal documents leave a single draw far from it.
+    """
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumnRenamed("source", "_source")
+    goal = checkpointed(goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))))
+    few = small(goal)
+    joined = sized.join(F.broadcast(goal) if few else goal, sized.source.eqNullSafe(goal._source))
+    fraction = F.col("rate") - F.floor("rate")
+    sums = joined.groupBy("_source").agg(*[F.sum(F.when(u < fraction, F.col("size")).otherwise(0)).alias(f"_{k}") for k, u in enumerate(draw(tries, seed))])
+    chosen = goal.join(sums.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")))
+    off = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"_{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(tries)]
+    best = F.least(*off) if tries > 1 else off[0]
+    return checkpointed(chosen.select("_source", "source_size", "target", "rate", best.k.alias("draw"))), few
+
+
+def mix(docs: DataFrame, *keep: str, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, tries: int = 16) -> DataFrame:
+    """One row a document: the keep columns of documents, then source_size, target, copies, and size if keep names it.
 
     Null text has size 0. Null sources form one source, the last. Rows of one doc_id draw alike, so repeated rows are taken
     alike; rows without an id share one draw. A source without words gets target 0 and no copies. An empty table gives no rows.
     """
-    sized = pick(docs, *dict.fromkeys([*keep, "doc_id", "source", "text"]))
-    sized = sized.withColumn("size", word_count(sized.text))
-    totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rows, chars = totals.agg(F.count("*"), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
-    goal = targets(totals, weights, share, cap).withColumnRenamed("source", "_source")
-    if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
-        goal = F.broadcast(goal)
-    joined = sized.join(goal, sized.source.eqNullSafe(goal._source), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (unit_hash(F.lit(seed), "doc_id") < rate - F.floor(rate)).cast("bigint")
-    return joined.select(*keep, "size", "source_size", "target", copies.cast("bigint").alias("copies"))
+    own = pick(docs, "doc_id", "source", "text")
+    sized = checkpointed(own.select("doc_id", "source", word_count(own.text).alias("size")))
+    goal, few = rates(sized, weights, share, cap, seed, tries)
+    rows = sized if set(keep) <= set(sized.columns) else pick(docs, *dict.fromkeys([*keep, "doc_id", "source"]))
+    joined = rows.join(F.broadcast(goal) if few else goal, rows.source.eqNullSafe(goal._source))
+    u = unit_hash(F.col("draw") + seed, "doc_id")
+    copies = F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("bigint")
+    return joined.select(*keep, "source_size", "target", copies.cast("bigint").alias("copies"))
 
 
 def emit(docs: DataFrame, **settings) -> DataFrame:
