@@ -12,7 +12,7 @@ from docloom.llm.common import documents
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir), "doc_id")
+    mixed = mixing.mix(documents(spark, sf_dir), "doc_id", "size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
