@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import avi, bpe, langid, mixing, quality, secrets
+from docloom.llm import avi, bpe, langid, mixing, nearset, quality, secrets
 from docloom.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), ids=False)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearset.duplicates(documents(spark, sf_dir), k=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_media": op7_media,
     "op9_bpe": op9_bpe,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
