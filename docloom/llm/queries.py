@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import avi, bpe, langid, mixing, nearset, quality, secrets
+from docloom.llm import avi, bpe, langid, linedup, mixing, nearset, quality, secrets
 from docloom.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.decide(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
+    "op3_lines": op3_lines,
     "op4_quality": op4_quality,
     "op6_secrets": op6_secrets,
     "op7_media": op7_media,
