@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -64,3 +65,27 @@ def unit_hash(*parts: Column | str) -> Column:
     """Uniform in [0, 1) from MD5 of the parts joined by '|' (null parts count as '~'); the same in any engine."""
     text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("~")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables between steps, under the shared folder that checkpoints use."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def without(docs: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of documents whose (doc_id, hash of text) is not among gone (doc_id, th).
+
+    Up to `most` of these keys (24 bytes each) are broadcast, so that no text moves; beyond, the anti join shuffles.
+    """
+    gone = checkpointed(gone.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct())
+    rows = pick(docs, *DOCUMENTS).withColumn("_own", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    same = (F.col("_own") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    return rows.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti").drop("_own")
+
+
+def text_hash() -> Column:
+    """With doc_id, what tells rows apart that share a doc_id."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")

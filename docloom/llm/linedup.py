@@ -23,6 +23,8 @@ from docloom.llm.components import components
 BROADCAST_ROWS = 500_000
 #: Lines under one key that are paired at once, and the refinements tried to get there.
 HOT, LEVELS = 48, 6
+#: Removals applied by broadcast up to so many documents and lines; beyond, texts are shuffled to them.
+BROADCAST_DOCS, BROADCAST_LINES = 200_000, 2_000_000
 
 
 def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -210,7 +212,10 @@ def dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> DataFra
 
     Documents that lose nothing stay as they are.
     """
-    gone = removals(docs, threshold, least_chars).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th")
+    gone = checkpointed(removals(docs, threshold, least_chars).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th"))
+    n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
+    if n <= BROADCAST_DOCS and total <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     df = pick(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn("_own", F.xxhash64("text"))
     df = df.join(gone, (F.col("_own") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     lines = F.split("text", "\n", -1)

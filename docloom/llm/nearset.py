@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, map_rows, pick, to_arrow
+from docloom.llm.common import DOCUMENTS, checkpointed, map_rows, pick, text_hash, to_arrow, without
 from docloom.llm.components import components
 
 #: Entries of a pool; the low byte of each is its part of the sketch.
@@ -81,7 +81,7 @@ def identity(s: np.ndarray) -> int:
 
 
 def digests(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, id, pool); id and pool are null for an empty set."""
+    """(doc_id, th, n_shingles, id, pool); th is a hash of the text, id and pool are null for an empty set."""
 
     def start() -> Callable:
         shingles = Shingler(k)
@@ -90,9 +90,10 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
             s = shingles(text)
             return (len(s), identity(s), pool(s).tobytes()) if len(s) else (0, None, None)
 
-        return lambda doc, text: [doc, *map(list, zip(*map(one, text)))]
+        return lambda doc, th, text: [doc, th, *map(list, zip(*map(one, text)))]
 
-    return map_rows(pick(docs, "doc_id", "text"), start, "doc_id bigint, n_shingles bigint, id bigint, pool binary")
+    df = pick(docs, "doc_id", "text").select("doc_id", text_hash(), "text")
+    return map_rows(df, start, "doc_id bigint, th bigint, n_shingles bigint, id bigint, pool binary")
 
 
 def _hash(*parts: int) -> int:
@@ -331,8 +332,8 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: flo
     return sets.repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(run, "a bigint, b bigint")
 
 
-def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5, group: int = 20_000) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
+def groups_of(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5, group: int = 20_000) -> DataFrame:
+    """One row a document: doc_id, th (hash of the text), n_shingles, component_id, kept.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles; component_id is the
     smallest doc_id reachable over links, kept is doc_id = component_id. Null or word-less text has an empty set, linked with
@@ -362,9 +363,33 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-
     linked = components(confirmed)
     reps = classes.select("id", "rep").join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
     reps = reps.join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("id").alias("_id"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "id").join(reps, (F.col("id") == F.col("_id")) & F.col("doc_id").isNotNull(), "left")
+    out = signed.select("doc_id", "th", "n_shingles", "id").join(reps, (F.col("id") == F.col("_id")) & F.col("doc_id").isNotNull(), "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def duplicates(docs: DataFrame, k: int = 5, **settings) -> DataFrame:
+    """groups_of() without the hash of the text."""
+    return groups_of(docs, k, **settings).drop("th")
+
+
+def keep(docs: DataFrame, k: int = 5, **settings) -> DataFrame:
+    """The columns of documents, one document of each component: its smallest by (doc_id, hash of the text), once if rows repeat.
+
+    Documents with an empty set or without a doc_id all stay.
+    """
+    found = checkpointed(groups_of(docs, k, **settings).where("n_shingles > 0 AND doc_id IS NOT NULL"))
+    several = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    several = several.select(F.col("component_id").alias("_c"), "best")
+    rows = found.join(several, found.component_id == F.col("_c"))
+    out = without(docs, rows.where(F.struct("doc_id", "th") != F.col("best")))
+    again = checkpointed(rows.where(F.struct("doc_id", "th") == F.col("best")).groupBy("doc_id", "th").count().where("count > 1"))
+    if again.isEmpty():
+        return out
+    twice = again.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    own = pick(docs, *DOCUMENTS).withColumn("th", text_hash())
+    own = own.join(twice, (F.col("th") == F.col("_th")) & (F.col("doc_id") == F.col("_doc")), "left_semi")
+    return without(out, again).union(own.dropDuplicates(["doc_id", "th"]).drop("th"))
 
 
 def deep_nodes(classes: DataFrame, trees: int) -> DataFrame:

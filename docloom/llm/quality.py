@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, map_rows, pick
+from docloom.llm.common import checkpointed, map_rows, pick, text_hash, without
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -62,12 +62,13 @@ def digest_of(text: str | None) -> tuple:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, source) and the columns of DIGEST, one row a document; null text counts as empty."""
+    """(doc_id, th, source) and the columns of DIGEST, one row a document; null text counts as empty."""
 
     def start() -> Callable:
-        return lambda doc, source, text: [doc, source, *map(list, zip(*map(digest_of, text)))]
+        return lambda doc, th, source, text: [doc, th, source, *map(list, zip(*map(digest_of, text)))]
 
-    return map_rows(pick(docs, "doc_id", "source", "text"), start, f"doc_id bigint, source string, {DIGEST}")
+    df = pick(docs, "doc_id", "source", "text").select("doc_id", text_hash(), "source", "text")
+    return map_rows(df, start, f"doc_id bigint, th bigint, source string, {DIGEST}")
 
 
 def frequent_lines(digest: DataFrame, share: float = 0.1, least: int = 50) -> DataFrame:
@@ -86,8 +87,8 @@ def frequent_lines(digest: DataFrame, share: float = 0.1, least: int = 50) -> Da
     return exact.where(F.col("n") > limit).select("source", "h")
 
 
-def judge(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int = 70) -> DataFrame:
-    """One row a document: doc_id, the counts, n_removed (words in frequent lines), base_failed and kept.
+def verdicts(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int = 70) -> DataFrame:
+    """One row a document: doc_id, th (hash of the text), the counts, n_removed (words in frequent lines), base_failed and kept.
 
     kept is false if base_failed (under 50 words, or over half of them in repeated 3-word windows), or if frequent lines hold
     more than `depleted` percent of the words. The host of a document is its source; a null source is a host of its own.
@@ -100,5 +101,15 @@ def judge(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int =
     removed = F.aggregate(F.filter("lines", lambda x: F.array_contains("_often", x.h)), F.lit(0).cast("bigint"), lambda a, x: a + x.w)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = joined.select("doc_id", *counts, F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"), failed.alias("base_failed"))
+    out = joined.select("doc_id", "th", *counts, F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"), failed.alias("base_failed"))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed") <= depleted * F.col("n_words")))
+
+
+def judge(docs: DataFrame, **limits) -> DataFrame:
+    """verdicts() without the hash of the text."""
+    return verdicts(docs, **limits).drop("th")
+
+
+def keep(docs: DataFrame, **limits) -> DataFrame:
+    """The columns of documents, without the documents that verdicts() rejects; texts do not move while the rejected are few."""
+    return without(docs, verdicts(docs, **limits).where("NOT kept"))
