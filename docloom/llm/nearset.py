@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document's set is its distinct word shingles. Every set has a pool of minwise tokens. A tree branches all sets by the value
-of one pool entry; a node that is still large branches again, by entries that its path selects, until nodes are small; the
+A document's set is its distinct word shingles. Every set has a list of minwise tokens. A tree branches all sets by one of
+them; a node that is still large branches again, by tokens that its path selects, until nodes are small; the
 sets of a small node are compared exhaustively by their sketches. Independent trees are repeated until a pair at the
 threshold is missed with less than the chance asked for. Sketches only select: what they connect is gathered once by
 candidate group, and every link is confirmed there on the full sets.
@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from docloom.llm.common import DOCUMENTS, checkpointed, map_rows, pick, text_hash, to_arrow, without
 from docloom.llm.components import components
 
-#: Entries of a pool; the low byte of each is its part of the sketch.
-POOL = 128
-#: Sets of a node or candidate group that one task compares; larger ones branch on.
-NODE, DEPTH, BRANCHES = 1024, 7, 2
+#: Minwise tokens of a set: the low four bits of each make its sketch, the first PATH of them in full select its paths.
+LANES, PATH = 256, 64
+#: Sets of a node that are always compared exhaustively. A larger node is, too, if a few leaders gather nearly all of it, so
+#: that no more than WORK pairs are left; else it branches on.
+NODE, WORK, DEPTH, BRANCHES = 4096, 40_000_000, 7, 2
 #: Reps looked up by broadcast up to this many (40 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _RND = np.random.Generator(np.random.PCG64(20240229))
-MULTIPLY = _RND.integers(1, 1 << 63, POOL, np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLY = _RND.integers(1, 1 << 31, (LANES, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+FLIP = _RND.integers(0, 1 << 32, (LANES, 1), np.uint32)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -62,17 +64,26 @@ class Shingler:
         return np.unique(out)
 
 
-def pool(s: np.ndarray) -> np.ndarray:
-    """Minwise token of each of POOL hash orders, as unsigned 32-bit numbers; in blocks of the set, so memory stays bounded."""
-    best = np.full(POOL, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 8192):
-        part = s[at : at + 8192]
-        for i in range(POOL):
-            x = (part * MULTIPLY[i]).min()
-            if x < best[i]:
-                best[i] = x
-    best = (best ^ (best >> np.uint64(29))) * MIX
-    return (best >> np.uint64(32)).astype(np.uint32)
+def minwise(s: np.ndarray) -> np.ndarray:
+    """Minwise token of each of LANES hash orders, as unsigned 32-bit numbers; in blocks of the set, so memory stays bounded."""
+    x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+    best = np.full(LANES, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 1024):
+        np.minimum(best, ((x[at : at + 1024] ^ FLIP) * MULTIPLY).min(axis=1), out=best)
+    mixed = (best + np.arange(LANES, dtype=np.uint64) * np.uint64(1 << 32)) * MIX
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * MIX >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch_of(tokens: np.ndarray) -> bytes:
+    low = (tokens & np.uint32(15)).astype(np.uint8)
+    return (low[::2] << 4 | low[1::2]).tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """One row a sketch, one byte a lane."""
+    a = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), LANES // 2)
+    return np.concatenate([a >> 4, a & 15], axis=1)
 
 
 def identity(s: np.ndarray) -> int:
@@ -81,19 +92,22 @@ def identity(s: np.ndarray) -> int:
 
 
 def digests(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, th, n_shingles, id, pool); th is a hash of the text, id and pool are null for an empty set."""
+    """(doc_id, th, n_shingles, id, path, sketch); th is a hash of the text, the last three are null for an empty set."""
 
     def start() -> Callable:
         shingles = Shingler(k)
 
         def one(text: str | None) -> tuple:
             s = shingles(text)
-            return (len(s), identity(s), pool(s).tobytes()) if len(s) else (0, None, None)
+            if not len(s):
+                return 0, None, None, None
+            tokens = minwise(s)
+            return len(s), identity(s), tokens[:PATH].tobytes(), sketch_of(tokens)
 
         return lambda doc, th, text: [doc, th, *map(list, zip(*map(one, text)))]
 
     df = pick(docs, "doc_id", "text").select("doc_id", text_hash(), "text")
-    return map_rows(df, start, "doc_id bigint, th bigint, n_shingles bigint, id bigint, pool binary")
+    return map_rows(df, start, "doc_id bigint, th bigint, n_shingles bigint, id bigint, path binary, sketch binary")
 
 
 def _hash(*parts: int) -> int:
@@ -104,42 +118,41 @@ def roots(classes: DataFrame, trees: int) -> DataFrame:
     """The first branching of every tree: (node, id, sketch)."""
 
     def start() -> Callable:
-        step = POOL // trees
+        step = PATH // trees
 
-        def work(ids: list, pools: list) -> list:
+        def work(ids: list, paths: list, sketches: list) -> list:
             out: list[list] = [[], [], []]
-            for i, p in zip(ids, pools):
+            for i, p, sketch in zip(ids, paths, sketches):
                 a = np.frombuffer(p, np.uint32)
-                sketch = a.astype(np.uint8).tobytes()
                 for t in range(trees):
                     out[0].append(_hash(t, int(a[t * step])))
-                    out[1].append(i)
-                    out[2].append(sketch)
+                out[1] += [i] * trees
+                out[2] += [sketch] * trees
             return out
 
         return work
 
-    return map_rows(classes.select("id", "pool"), start, "node bigint, id bigint, sketch binary")
+    return map_rows(classes.select("id", "path", "sketch"), start, "node bigint, id bigint, sketch binary")
 
 
 def branch(large: DataFrame) -> DataFrame:
-    """The next branching of rows (node, id, pool): the node's path selects the entries, each gives a child."""
+    """The next branching of rows (node, id, path, sketch): the node's path selects the entries, each gives a child."""
 
     def start() -> Callable:
-        def work(nodes: list, ids: list, pools: list) -> list:
+        def work(nodes: list, ids: list, paths: list, sketches: list) -> list:
             out: list[list] = [[], [], []]
-            for n, i, p in zip(nodes, ids, pools):
+            for n, i, p, sketch in zip(nodes, ids, paths, sketches):
                 a = np.frombuffer(p, np.uint32)
                 for b in range(BRANCHES):
-                    at = _hash(n, b) % POOL
+                    at = _hash(n, b) % PATH
                     out[0].append(_hash(n, at, int(a[at])))
-                    out[1].append(i)
-                    out[2].append(a.astype(np.uint8).tobytes())
+                out[1] += [i] * BRANCHES
+                out[2] += [sketch] * BRANCHES
             return out
 
         return work
 
-    return map_rows(large.select("node", "id", "pool"), start, "node bigint, id bigint, sketch binary")
+    return map_rows(large.select("node", "id", "path", "sketch"), start, "node bigint, id bigint, sketch binary")
 
 
 class Forest:
@@ -167,43 +180,56 @@ class Forest:
 
 
 def agreement(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated similarity from equal bytes, corrected for equality by chance."""
-    same = (others == sketch).sum(axis=1) / sketch.shape[0]
-    return (same - 1 / 256) / (1 - 1 / 256)
+    """Estimated similarity from equal lanes, corrected for equality by chance."""
+    same = np.count_nonzero(others == sketch, axis=1) / sketch.shape[0]
+    return (same - 1 / 16) / (1 - 1 / 16)
 
 
-def connect(sketches: np.ndarray, least: float, accept: Callable[[int, int], bool] | None = None) -> np.ndarray:
-    """Exhaustive comparison of one node: roots of the forest of pairs whose estimate is `least` or more and that accept() confirms.
-
-    Pairs already connected are not compared again: after every set has met the leaders, only pairs across trees are left.
-    """
-    n = len(sketches)
-    forest = Forest(n)
-    free = np.arange(n)
-    while len(free) > 1:
+def lead(sketches: np.ndarray, least: float, forest: Forest, accept: Callable[[int, int], bool] | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each set joins the first leader it agrees with, or leads. Gives each set's leader in order of leading, and the sets left when `most` have led."""
+    free, order, turn = np.arange(len(sketches)), np.full(len(sketches), most), 0
+    while len(free) and turn < most:
         first, rest = free[0], free[1:]
         hit = agreement(sketches[first], sketches[rest]) >= least
         if accept:
             hit[hit] = [accept(int(first), int(j)) for j in rest[hit]]
         forest.up[rest[hit]] = first
-        free = rest[~hit]
-    top = forest.all()
-    tops, sizes = np.unique(top, return_counts=True)
-    if len(tops) > 1:
-        # Every pair across two leaders' trees, from the smaller side; the first pass has compared leaders with all later sets.
-        size = dict(zip(tops.tolist(), sizes.tolist()))
-        order = sorted(range(n), key=lambda i: (size[int(top[i])], i))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        for i in order:
-            others = np.flatnonzero((rank > rank[i]) & (forest.up != forest.find(i)))
-            if not len(others):
-                continue
-            others = others[agreement(sketches[i], sketches[others]) >= least]
-            for j in others.tolist():
-                if forest.find(i) != forest.find(j) and (accept is None or accept(i, j)):
-                    forest.join(i, j)
-            forest.all()
+        order[rest[hit]] = order[first] = turn
+        free, turn = rest[~hit], turn + 1
+    return order, free
+
+
+def across(sketches: np.ndarray, least: float, forest: Forest, accept: Callable[[int, int], bool] | None, order: np.ndarray) -> None:
+    """The pairs that lead() has not compared: a follower of an earlier leader with any set of a later one."""
+    followers = np.flatnonzero(forest.up != np.arange(len(order)))
+    if not len(followers):
+        return
+    later = np.flatnonzero(order > order[followers].min())
+    swap = len(later) < len(followers)
+    for i in later if swap else followers:
+        others = followers[order[followers] < order[i]] if swap else later[order[later] > order[i]]
+        top = forest.all()
+        others = others[top[others] != top[i]]
+        if len(others):
+            for j in others[agreement(sketches[i], sketches[others]) >= least].tolist():
+                if forest.find(int(i)) != forest.find(j) and (accept is None or accept(int(i), j)):
+                    forest.join(int(i), j)
+
+
+def connect(sketches: np.ndarray, least: float, accept: Callable[[int, int], bool] | None = None, work: int | None = None) -> np.ndarray | None:
+    """Exhaustive comparison of one node: roots of the forest of pairs whose estimate is `least` or more and that accept() confirms.
+
+    Pairs already connected are not compared again, so a mass of copies costs one pass. With `work`, None comes back where
+    64 leaders leave sets over, or more than so many pairs would follow.
+    """
+    n = len(sketches)
+    forest = Forest(n)
+    order, left = lead(sketches, least, forest, accept, n if work is None else 64)
+    if work is not None:
+        largest = np.bincount(order).max() if n else 0
+        if len(left) or n * (n - largest) > work:
+            return None
+    across(sketches, least, forest, accept, order)
     return forest.all()
 
 
@@ -247,12 +273,15 @@ def compare_nodes(rows: DataFrame, least: float, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for node, (ids, sketches) in _groups(batches, "node", "id", "sketch"):
-                if len(ids) > NODE and not last:
+                if len(ids) < 2:
+                    continue
+                s = unpacked(sketches)
+                top = connect(s, least, work=None if last or len(ids) <= NODE else WORK)
+                if top is None:
                     for i in ids:
                         yield node, i, None
-                elif len(ids) > 1:
-                    s = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(ids), POOL)
-                    for i, r in enumerate(connect(s, least).tolist()):
+                else:
+                    for i, r in enumerate(top.tolist()):
                         if r != i:
                             yield None, ids[i], ids[r]
 
@@ -270,7 +299,7 @@ def candidates(classes: DataFrame, trees: int, least: float) -> DataFrame:
         large = made.where("node IS NOT NULL").select("node", F.col("a").alias("id"))
         if large.isEmpty():
             break
-        rows = branch(large.join(classes.select("id", "pool"), "id").select("node", "id", "pool"))
+        rows = branch(large.join(classes, "id").select("node", "id", "path", "sketch"))
     links = out[0]
     for x in out[1:]:
         links = links.union(x)
@@ -293,7 +322,7 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: flo
             for i, g, t in zip(ids, grp, text):
                 s = shingles(t)
                 if len(s) and identity(s) == i:  # a row that shares only its doc_id with the set's row has another id
-                    for column, x in zip(out, (g, i, pool(s).astype(np.uint8).tobytes(), s.tobytes())):
+                    for column, x in zip(out, (g, i, sketch_of(minwise(s)), s.tobytes())):
                         column.append(x)
             return out
 
@@ -310,7 +339,7 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: flo
                 if len(ids) < 2:
                     continue
                 full = [np.frombuffer(h, np.uint64) for _, h in one.values()]
-                s = np.frombuffer(b"".join(x for x, _ in one.values()), np.uint8).reshape(len(ids), POOL)
+                s = unpacked([x for x, _ in one.values()])
 
                 def linked(i: int, j: int) -> bool:
                     x, y = full[i], full[j]
@@ -332,7 +361,7 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: flo
     return sets.repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(run, "a bigint, b bigint")
 
 
-def groups_of(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5, group: int = 20_000) -> DataFrame:
+def groups_of(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5, group: int = 5_000) -> DataFrame:
     """One row a document: doc_id, th (hash of the text), n_shingles, component_id, kept.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles; component_id is the
@@ -342,13 +371,14 @@ def groups_of(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5
     confirmed by the nodes of its trees instead of at once.
 
     `miss` is the chance that all trees separate a pair at the threshold by their first branching; the sketch's estimate is
-    allowed four standard deviations.
+    allowed five standard deviations.
     """
     similar = percent / 100
     trees = max(1, math.ceil(math.log(miss) / math.log(1 - similar)))
-    least = similar - 4 * math.sqrt(similar * (1 - similar) / POOL)
+    chance = similar + (1 - similar) / 16
+    least = similar - 5 * math.sqrt(chance * (1 - chance) / LANES) / (1 - 1 / 16)
     signed = checkpointed(digests(docs, k))
-    classes = signed.where("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("pool").alias("pool"))
+    classes = signed.where("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
     links = candidates(classes, trees, least)
     groups = checkpointed(components(links).select("id", F.col("root").alias("grp")))
@@ -403,7 +433,7 @@ def deep_nodes(classes: DataFrame, trees: int) -> DataFrame:
             out.append(rows)
             break
         out.append(rows.join(big, "node", "left_anti"))
-        rows = branch(rows.join(big, "node").join(classes.select("id", "pool"), "id").select("node", "id", "pool")).select("node", "id")
+        rows = branch(rows.join(big, "node").join(classes, "id").select("node", "id", "path", "sketch")).select("node", "id")
     nodes = out[0]
     for x in out[1:]:
         nodes = nodes.union(x)
