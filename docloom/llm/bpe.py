@@ -14,6 +14,8 @@ import struct
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docloom.llm.common import map_rows, pick
@@ -157,6 +159,12 @@ class WordBpe:
         return " ".join([self.name[i] for i in struct.unpack(f"<{len(packed) // 4}I", packed)])
 
 
+def id_lists(counts: list[int], packed: list[bytes]) -> pa.ListArray:
+    """Arrow lists straight from the packed ids, without a Python object for each id."""
+    values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, ids: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row a document: the keep columns, n_tokens, ids (array<int>, unless ids=False), ids_sha256 and decoded_sha256.
 
@@ -176,10 +184,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, ids: bool = True, kee
                 packed, decoded = bpe.both(text or "")
                 n.append(len(packed) // 4)
                 if ids:
-                    all_ids.append(list(struct.unpack(f"<{len(packed) // 4}i", packed)))
+                    all_ids.append(packed)
                 a.append(digest(packed).hexdigest())
                 b.append(digest(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-            return [*cols[:-1], n, *([all_ids] if ids else []), a, b]
+            return [*cols[:-1], n, *([id_lists(n, all_ids)] if ids else []), a, b]
 
         return work
 

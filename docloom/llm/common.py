@@ -30,16 +30,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of a batch that a function of map_rows sees at once.
+ROWS = 1000
+
+
 def map_rows(df: DataFrame, start: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
-    """Narrow Arrow map. start() runs once a task and returns a function from the input's columns (lists) to output columns."""
+    """Narrow Arrow map. start() runs once a task and returns a function from the input's columns (lists) to output columns (lists or Arrow arrays).
+
+    Batches are cut to ROWS rows, so a task holds the Python objects of few rows at a time.
+    """
     target = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            if batch.num_rows:
-                out = work(*[c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target)], schema=target)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                out = work(*[c.to_pylist() for c in whole.slice(at, ROWS).columns])
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, target)], schema=target)
 
     return df.mapInArrow(run, schema)
 
