@@ -97,7 +97,8 @@ def info_code(titles: DataFrame, title: str = "title") -> DataFrame:
 
     found = [F.when(hit(req, exc), F.struct(F.lit(p).alias("p"), F.lit(-n).alias("n"), F.lit(c).alias("code"), F.lit(v).alias("variant"))) for n, (req, exc, c, v, p) in enumerate(rules.INFO_CODE_RULES)]
     best = F.greatest(*found)
-    return titles.withColumns({"code": best.code, "variant": best.variant})
+    # The one-row generator keeps the optimizer from copying the rules into every use of the code.
+    return titles.select("*", F.explode(F.array(best)).alias("_best")).select(*titles.columns, F.col("_best.code").alias("code"), F.col("_best.variant").alias("variant"))
 
 
 def override(sys: Column | str, sub: Column | str, comp: Column | str, info: Column | str) -> Column:

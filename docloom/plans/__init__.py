@@ -1,4 +1,4 @@
 """Named queries over the operators, and the SQL they are checked against."""
 
-from docloom.plans import fixtures, scalar_queries  # noqa: F401
+from docloom.plans import fixtures, matching_queries, scalar_queries, sequence_queries  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES  # noqa: F401

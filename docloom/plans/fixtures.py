@@ -106,3 +106,10 @@ DERIVED["figures"] = """
 SELECT doc_id, para_idx AS seq, CASE WHEN para_idx % 5 < 3 THEN 'illustration' ELSE 'paragraph' END AS type,
   CASE WHEN para_idx % 5 < 3 THEN 'Рисунок ' || CAST(floor(para_idx / 2) AS bigint) || ' – ' || substring(line, 1, 30) || CASE para_idx % 3 WHEN 0 THEN ' (лист 1, лист 2)' WHEN 1 THEN ' лист 1, лист 2, лист 3' ELSE '' END ELSE line END AS content
 FROM {doc_lines}"""
+
+#: Elements with types that window operators rewrite.
+DERIVED["typed"] = """
+SELECT doc_id, para_idx AS seq, CASE (doc_id + para_idx) % 7 WHEN 0 THEN 'illustration_reference' WHEN 3 THEN 'table' WHEN 5 THEN 'unnumbered_list' WHEN 6 THEN 'nested_unnumbered_list' ELSE 'paragraph' END AS type,
+  CASE WHEN (doc_id + para_idx) % 7 = 1 AND para_idx % 2 = 0 THEN 'Рисунок ' || CAST(para_idx % 5 AS string) || ' ' || substring(line, 1, 40) WHEN (doc_id + para_idx) % 7 = 2 THEN substring(line, 1, 40) || ' (см. таблица ' || CAST(para_idx % 9 AS string) || '),' ELSE substring(line, 1, 60) END AS content,
+  CASE WHEN (doc_id + para_idx) % 5 < 2 THEN CAST(floor(para_idx / 3) AS bigint) END AS ref
+FROM {doc_lines}"""
