@@ -22,7 +22,7 @@ from docloom.llm.components import components
 #: Keys looked up by broadcast up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Lines under one key that are paired at once, and the refinements tried to get there.
-HOT, LEVELS = 48, 6
+HOT, LEVELS = 512, 4
 #: Removals applied by broadcast up to so many documents and lines; beyond, texts are shuffled to them.
 BROADCAST_DOCS, BROADCAST_LINES = 200_000, 2_000_000
 
@@ -54,14 +54,19 @@ def segment(length: Column, parts: Column | int, i: Column | int) -> tuple[Colum
     return (i - 1) * size + late + 1, size + (i > parts - more).cast("int")
 
 
-def keys(threshold: int) -> Column:
-    """The line's keys in the order of probes()."""
-    out = []
-    for d, i, shift in probes(threshold):
-        length = F.length("line") - d
-        at, size = segment(length, threshold + 1, i)
-        out.append(F.xxhash64(length, F.lit(i), F.col("line").substr(at + shift, size)))
-    return F.array(*out)
+def keyed(lines: DataFrame, threshold: int) -> DataFrame:
+    """(id, line, pos, key), a row for every look-up of a line; pos is the place of the look-up in probes().
+
+    The look-ups are exploded first and the key is one small expression on each row, which the JVM compiles well. Segments are
+    cut from four bytes a character, made once a line, so a cut does not walk the line.
+    """
+    looks = [F.struct(F.lit(n).alias("pos"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for n, (d, i, s) in enumerate(probes(threshold))]
+    rows = lines.select("id", "line", F.length("line").alias("_n"), F.encode("line", "UTF-32").alias("_b"))
+    rows = rows.select("id", "line", "_n", "_b", F.explode(F.array(*looks)).alias("_k"))
+    rows = rows.select("id", "line", "_b", "_k.pos", "_k.i", "_k.s", (F.col("_n") - F.col("_k.d")).alias("_n"))
+    at, size = segment(F.col("_n"), threshold + 1, F.col("i"))
+    cut = F.substring("_b", 4 * (at + F.col("s")) - 3, 4 * size)
+    return rows.select("id", "line", "pos", F.xxhash64("_n", "i", cut).alias("key"))
 
 
 def regions(threshold: int) -> list[Column]:
@@ -80,6 +85,36 @@ def regions(threshold: int) -> list[Column]:
     return [a.alias("a"), b.alias("b"), size.alias("size"), left.alias("left")]
 
 
+def common(x: Column, y: Column, most: Column, right: bool) -> Column:
+    """Length of the common prefix (or suffix) of two strings, `most` at most, by bisection over equality."""
+    start = F.struct(F.lit(0).alias("lo"), most.cast("int").alias("hi"))
+
+    def cut(s: Column, n: Column) -> Column:
+        return s.substr(F.length(s) - n + 1, n) if right else s.substr(F.lit(1), n)
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc.lo + acc.hi + 1) / 2).cast("int")
+        same = cut(x, mid) == cut(y, mid)
+        return F.struct(F.when(same, mid).otherwise(acc.lo).alias("lo"), F.when(same, acc.hi).otherwise(F.greatest(mid - 1, acc.lo)).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(most, F.lit(1)) + 1)).cast("int"))
+    return F.aggregate(steps, start, step, lambda acc: acc.lo)
+
+
+def strip_common(pairs: DataFrame) -> DataFrame:
+    """line_a and line_b without their common prefix and suffix, which no edit needs to touch.
+
+    Each step passes through a generator of one row: the optimizer would otherwise copy the expressions into every use.
+    """
+    a, b = F.col("line_a"), F.col("line_b")
+    for right in (False, True):
+        n = F.col("_n")
+        df = pairs.withColumn("_n", F.explode(F.array(common(a, b, F.least(F.length(a), F.length(b)), right))))
+        cut = [F.struct(*[(x.substr(F.lit(1), F.length(x) - n) if right else x.substr(n + 1, F.length(x))).alias(k) for k, x in (("line_a", a), ("line_b", b))])]
+        pairs = df.select("a", "b", F.explode(F.array(*cut)).alias("_k")).select("a", "b", "_k.line_a", "_k.line_b")
+    return pairs
+
+
 def within(x: str, y: str, threshold: int) -> Column:
     """Whether two strings, whose lengths differ by the threshold at most, are within so many edits.
 
@@ -102,17 +137,22 @@ def within(x: str, y: str, threshold: int) -> Column:
     return F.expr(f"transform(array({told}), v -> if(length({y}) = 0, length({x}), {run}))[0] <= {t}")
 
 
+def signature(line: str) -> Column:
+    """64 parities of character counts. An edit changes at most two of them, so lines within t edits differ in 2 t at most."""
+    return F.expr(f"aggregate(split({line}, ''), 0L, (acc, c) -> acc ^ shiftleft(1L, ascii(c) % 64))")
+
+
 def shared(rows: DataFrame) -> DataFrame:
     """Distinct rows of keys that at least two lines share, one of them in the index, with the number of rows of each key."""
-    rows = rows.dropDuplicates(["key", "index", "id"])
+    rows = checkpointed(rows.dropDuplicates(["key", "index", "id"]))
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.max("index").alias("_in"))
     counts = counts.where((F.col("_lo") != F.col("_hi")) & F.col("_in")).select("key", "n")
-    return checkpointed(rows.join(counts, "key"))
+    return rows.join(counts, "key")
 
 
 def refine(rows: DataFrame) -> DataFrame:
     """New keys for rows of hot keys: their region is partitioned for the edits left in it, and probed with every possible shift."""
-    parts, gap = F.col("left") + 1, F.col("b") - F.col("a") - F.col("size")
+    parts, gap = F.col("left") + 1, F.length("region") - F.col("size")
 
     def one(i: Column) -> Column:
         at, n = segment(F.col("size"), parts, i)
@@ -121,56 +161,59 @@ def refine(rows: DataFrame) -> DataFrame:
         shifts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
         def shifted(s: Column) -> Column:
-            start = F.col("a") + at + s - 1
-            whole = (start >= F.col("a")) & (start + n <= F.col("b"))
-            last = i == parts
+            start, last = at + s, i == parts
+            rest = F.when(last, F.col("region").substr(F.lit(1), start - 1)).otherwise(F.col("region").substr(start + n, F.length("region")))
             return F.struct(
-                F.when(whole, F.xxhash64("key", i, F.col("line").substr(start, n))).alias("key"),
-                F.when(last, F.col("a")).otherwise(start + n).cast("int").alias("a"),
-                F.when(last, start).otherwise(F.col("b")).cast("int").alias("b"),
+                F.when((start >= 1) & (start + n <= F.length("region") + 1), F.xxhash64("key", i, F.col("region").substr(start, n))).alias("key"),
+                rest.alias("region"),
                 F.when(last, at - 1).otherwise(F.col("size") - at - n + 1).cast("int").alias("size"),
                 F.when(last, F.col("left")).otherwise(parts - i).cast("int").alias("left"),
             )
 
         return F.transform(shifts, shifted)
 
-    made = rows.select("index", "id", "line", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), parts), one))).alias("_k"))
-    return made.select("_k.key", "index", "id", "line", "_k.a", "_k.b", "_k.size", "_k.left").where("key IS NOT NULL")
+    made = rows.select("index", "id", "sig", "chars", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), parts), one))).alias("_k"))
+    return made.select("_k.key", "index", "id", "sig", "chars", "_k.region", "_k.size", "_k.left").where("key IS NOT NULL")
 
 
-def pairs(rows: DataFrame) -> DataFrame:
-    """Index lines joined with the lines that probe them, by key: (a, b, line_a, line_b), each pair once."""
-    own = rows.where("index").select("key", F.col("id").alias("a"), F.col("line").alias("line_a"))
-    other = rows.where("NOT index").select("key", F.col("id").alias("b"), F.col("line").alias("line_b"))
-    same = F.length("line_a") == F.length("line_b")
-    return own.join(other, "key").where((F.col("a") != F.col("b")) & (~same | (F.col("a") < F.col("b")))).drop("key").dropDuplicates(["a", "b"])
+def pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """Index lines joined with the lines that probe them, by key, where lengths and signatures allow the edits: (a, b)."""
+    a, b = rows.where("index").alias("a"), rows.where("NOT index").alias("b")
+    near = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= 2 * threshold
+    turn = (F.col("a.chars") < F.col("b.chars")) | ((F.col("a.chars") == F.col("b.chars")) & (F.col("a.id") < F.col("b.id")))
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & near & turn).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def links(lines: DataFrame, threshold: int = 2) -> DataFrame:
     """(a, b) for different lines within `threshold` edits, from rows (id, line) that may repeat; lines must be longer than the threshold.
 
-    Refinement stops after LEVELS rounds; the lines still under one key then differ only within a small region, and are paired.
+    Up to HOT lines under one key are compared with each other. Refinement stops after LEVELS rounds; the lines still under
+    one key then differ only within a small region, and are paired.
     """
-    keyed = lines.select("id", "line", F.posexplode(keys(threshold)).alias("pos", "key"))
-    found = keyed.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.min("pos").alias("_pos"))
+    rows = keyed(lines, threshold)
+    found = rows.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.min("pos").alias("_pos"))
     found = checkpointed(found.where((F.col("_lo") != F.col("_hi")) & (F.col("_pos") <= threshold)).select(F.col("key").alias("_key")))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    rows = keyed.join(found, F.col("key") == F.col("_key")).select("key", "pos", "id", "line")
+    rows = rows.join(found, F.col("key") == F.col("_key")).select("key", "pos", "id", "line")
     # A line's own segment stands in the index and is also the unshifted probe of its own length.
     rows = rows.withColumn("index", F.explode(F.when(F.col("pos") <= threshold, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
-    rows = shared(rows.select("key", "index", "id", "line", *regions(threshold)))
-    out = pairs(rows.where(F.col("n") <= HOT))
+    members = shared(rows.select("key", "index", "id", "line", *regions(threshold)))
+    region = F.col("line").substr(F.col("a"), F.col("b") - F.col("a"))
+    rows = members.select("key", "index", "id", signature("line").alias("sig"), F.length("line").alias("chars"), region.alias("region"), "size", "left", "n")
+    out = pairs(rows.where(F.col("n") <= HOT), threshold)
     hot = rows.where(F.col("n") > HOT)
     for level in range(LEVELS):
         if hot.isEmpty():
             break
         rows = shared(refine(hot))
         small = (F.col("n") <= HOT) if level < LEVELS - 1 else F.lit(True)
-        out = out.union(pairs(rows.where(small)))
+        out = out.union(pairs(rows.where(small), threshold))
         hot = rows.where(~small)
-    out = out.dropDuplicates(["a", "b"])
-    return out.where(within("line_a", "line_b", threshold)).select("a", "b")
+    texts = members.select("id", "line").dropDuplicates(["id"])
+    out = out.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    out = out.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
+    return strip_common(out).where(within("line_a", "line_b", threshold)).select("a", "b")
 
 
 def removals(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> DataFrame:
@@ -183,14 +226,16 @@ def removals(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> Data
     seen = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
     first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no", "id")).alias("first"), F.count("*").alias("n"))
     first = first.join(classes.union(classes.select(F.col("root").alias("id"), "root").distinct()), "id", "left")
-    plain = first.where("root IS NULL AND n > 1").select("id", "first")
+    first = checkpointed(first.where("n > 1 OR root IS NOT NULL").select("id", "root", "first"))
     linked = first.where("root IS NOT NULL")
-    best = linked.groupBy("root").agg(F.min("first").alias("first"))
-    first = plain.union(linked.select("id", "root").join(best, "root").select("id", "first"))
-    gone = seen.join(first.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
+    best = linked.groupBy("root").agg(F.min("first").alias("best")).select(F.col("root").alias("_root"), "best")
+    first = first.join(best, F.col("root") == F.col("_root"), "left").select(F.col("id").alias("_id"), F.coalesce("best", "first").alias("first"))
+    gone = seen.join(first, F.col("id") == F.col("_id"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line_no") == F.col("first.line_no"))
-    gone = gone.where(~stays).select("doc_id", "th", "line_no", (F.col("id") != F.col("first.id")).cast("bigint").alias("near")).distinct()
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line_no")).alias("removed"), F.sum("near").alias("n_near"))
+    gone = gone.where(~stays).select("doc_id", "th", "line_no", (F.col("id") != F.col("first.id")).cast("bigint").alias("near"))
+    # Repeated rows of one document lose a line once; the lines of a document are few, so a set in the aggregate suffices.
+    gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"), F.size(F.collect_set(F.when(F.col("near") == 1, F.col("line_no")))).cast("bigint").alias("n_near"))
+    return gone
 
 
 def decide(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> DataFrame:
