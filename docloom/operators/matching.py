@@ -39,8 +39,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float = 0.35) -> Dat
     """
     pairs = left.join(right, KEY)
     bound = F.greatest(ratio_bound(F.col("ls"), F.col("rs")), ratio_bound(F.col("lf"), F.col("rf")))
-    # A long document's pairs are dealt by right element, else one task would score them all.
-    pairs = pairs.where(bound >= least).repartition(KEY, "r").withColumn("sim", best_ratio(least)("ls", "rs", "lf", "rf"))
+    # A long document's pairs are dealt by right element, else one task would score them all; the count is given since the rows are few
+    # but dear, and would otherwise be coalesced by size.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.where(bound >= least).repartition(tasks, KEY, "r").withColumn("sim", best_ratio(least)("ls", "rs", "lf", "rf"))
     return pairs.where(F.col("sim") >= least).select(KEY, "l", "r", "sim")
 
 
