@@ -77,12 +77,12 @@ def nesting(paras: DataFrame) -> DataFrame:
     return S.list_nesting(df, seq="para_idx").where("reaches_list").select("doc_id", "para_idx", "list_class")
 
 
-@query("w12_forward_fill", "folders", sql="SELECT folder_seq, last_value(g IGNORE NULLS) OVER (PARTITION BY d ORDER BY folder_seq, folder_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS system FROM (SELECT folder_seq, folder_name, folder_seq // 1000 AS d, CASE WHEN folder_seq % 4 = 1 THEN subsystem_group END AS g FROM {folders})")
+@query("w12_forward_fill", "folders", sql="SELECT folder_seq, last_value(g IGNORE NULLS) OVER (PARTITION BY d ORDER BY folder_seq, folder_name, g NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS system FROM (SELECT folder_seq, folder_name, folder_seq // 1000 AS d, CASE WHEN folder_seq % 4 = 1 THEN subsystem_group END AS g FROM {folders})")
 def forward_fill(folders: DataFrame) -> DataFrame:
     """Rows inherit the system of the last row that opens a group."""
     df = folders.withColumn("d", F.floor(F.col("folder_seq") / 1000))
     given = F.when(F.col("folder_seq") % 4 == 1, F.col("subsystem_group"))
-    return df.select("folder_seq", S.forward_fill(given, Window.partitionBy("d").orderBy("folder_seq", "folder_name")).alias("system"))
+    return df.select("folder_seq", S.forward_fill(given, Window.partitionBy("d").orderBy("folder_seq", "folder_name", given)).alias("system"))
 
 
 @query("w13_renumber", "left_elements", sql="SELECT doc_id, idx, type, CASE WHEN type = '_skip' THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, type = '_skip' ORDER BY idx) END AS new_idx FROM (SELECT doc_id, idx, CASE WHEN idx % 4 = 0 THEN '_skip' ELSE type END AS type FROM {left_elements})")
