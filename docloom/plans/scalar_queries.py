@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import codes, predicates as P, rules, text as X
@@ -13,48 +15,47 @@ KEY = "doc_id, para_idx"
 Q = "{paras}"
 
 
-def on_paras(name: str, sql: str, /, **made) -> None:
-    """A query that adds columns to the keys of paragraphs."""
+def on_paras(name: str, sql: str, made: Callable[[], dict[str, Column]]) -> None:
+    """A query that adds columns to the keys of paragraphs. The columns are made when it runs, so that importing needs no session."""
 
     def run(paras: DataFrame) -> DataFrame:
-        return paras.select("doc_id", "para_idx", *[c.alias(k) for k, c in made.items()])
+        return paras.select("doc_id", "para_idx", *[c.alias(k) for k, c in made().items()])
 
     query(name, "paras", sql=f"SELECT {KEY}, {sql} FROM {Q}")(run)
 
 
-t = F.col("text")
-on_paras("p1_main_header", f"{D.main_header('text')} AS hit", hit=P.main_header(t))
-on_paras("p2_numbered_item", f"{D.numbered_item('text')} AS hit", hit=P.numbered_item(t))
-on_paras("p3_likely_by_text", f"{D.likely('text')} AS hit", hit=P.likely_by_text(t))
-on_paras("p10_list_level", "coalesce(ilvl, nullif(left_indent, 0), nullif(style_indent, 0), 0) AS level", level=F.coalesce("ilvl", F.nullif(F.col("left_indent"), F.lit(0)), F.nullif(F.col("style_indent"), F.lit(0)), F.lit(0)).cast("bigint"))
-on_paras("p11_warning", f"{D.has('text', D.word(rules.WARNING_WORDS))} AS hit", hit=P.is_warning(t))
-on_paras("p12_styles", f"{D.has('style', '(?i)вниман')} AS warning, {D.has('style', '(?i)примеч|замеч')} AS note", warning=P.warning_style("style"), note=P.note_style("style"))
-on_paras("p13_note", f"{D.has('text', rf'(?i)^{D.WS}*примечани[ея]([.:–-]|{D.WS})')} AS hit", hit=P.is_note(t))
-on_paras("p14_item_style", r"CASE WHEN regexp_matches(style, '(?i)ПУНКТ\s+\d') THEN len(string_split(regexp_extract(style, '(?i)ПУНКТ\s+(\d+(?:\.\d+)*)', 1), '.'))::bigint END AS level", level=P.item_style_level("style").cast("bigint"))
-on_paras("p40_page_footer", f"({D.has('text', r'Стр[.]' + D.WS + '*[0-9]')} AND length(text) < 200) OR {D.has(D.trim('text'), '^[0-9]{1,4}$')} AS hit", hit=P.page_footer(t))
-on_paras("p42_list_start", f"{D.has(D.trim('text'), rf'^(?:[-–—−•●○‣▪▫⁃]|[0-9]+[.)]{D.WS}|[0-9]+(?:[.][0-9]+)+{D.WS})')} AS hit", hit=P.list_start(t))
-on_paras("p47_section_number", rf"CASE WHEN {D.has('text', rf'^{D.WS}*\d+(?:\.\d+)*\.?{D.WS}+')} AND coalesce({D.upper_share(D.sub('text', rf'^{D.WS}*\d+(?:\.\d+)*\.?{D.WS}+'))}, 1.0) >= 0.7 THEN regexp_extract(text, '^{D.WS}*(\d+(?:\.\d+)*)\.?{D.WS}+', 1) END AS num", num=P.section_number(t))
-on_paras("p38_content_item", f"({D.has(D.trim('text'), rf'^[-–—−•●○‣▪▫⁃]{D.WS}+')} OR (ends_with({D.trim('text')}, ';') AND length({D.trim('text')}) < 120)) AS hit", hit=P.content_item(F.lit("paragraph"), t))
-on_paras("p37_imperative", f"(lower(regexp_extract(text, '^{D.WS}*([^ ]+)', 1)) IN ('снимите', 'проверьте')) AS hit", hit=P.imperative(t))
-on_paras("p43_font_class", f"CASE WHEN para_idx % 7 * 5 > 12 * 1.3 THEN 'header' WHEN {D.has(D.trim('text'), rf'^(?:[-–—−•●○]|[0-9]+[.)]{D.WS})')} THEN 'unnumbered_list' ELSE 'paragraph' END AS type", type=P.font_class(F.col("para_idx") % 7 * 5, t, F.lit(12)))
-on_paras("p44_context_factor", f"CASE WHEN {D.any_of('lower(text)', P.SAFETY_WORDS)} THEN 1.0::double ELSE 0.1::double END AS factor", factor=P.context_factor(F.lit("note"), t, F.lit("")))
-on_paras("p41_service_block", f"(length({D.trim('text')}) <= 2 OR {D.has(D.trim('text'), '(?i)^(?:Контр|чел[.])')}) AS hit", hit=P.service_block(t))
-on_paras("f6_norm_text", f"{D.norm_text('text')} AS norm", norm=X.norm_text(t))
-on_paras("f8_norm_procedure", rf"{D.sub(D.sub(D.squeeze('lower(' + D.trim('text') + ')'), r'^(?:[\d.]+\s+)+'), r'^[-–—•]\s*')} AS norm", norm=X.norm_procedure(t))
-on_paras("f10_forms", rf"substring({D.sub('lower(text)', r'[^\p{L}\p{N}]+')}, 1, 80) AS heavy, substring({D.squeeze('lower(' + D.trim('text') + ')')}, 1, 80) AS light", heavy=X.heavy_form(t), light=X.light_form(t))
-on_paras("f11_norm_name", rf"{D.sub(D.squeeze('lower(' + D.trim('text') + ')'), r'\.+$')} AS norm", norm=X.norm_name(t))
-on_paras("f14_clean_item", f"{D.trim(D.sub(D.trim('text'), '^[•◦▪▫⁃·–—*†‡§-]'))} AS bullet, {D.trim(D.sub(D.trim('text'), r'^\d+(?:\.|\)|\s+[.)])\s*'))} AS num", bullet=X.clean_item(t, F.lit("unnumbered_list")), num=F.when(X.like(X.pytrim(t), r"^\d+(?:\.|\)|\s+[.)])"), X.clean_item(t, F.lit("numbered_list"))).otherwise(X.pytrim(t)))
-on_paras("f15_safety_text", rf"{D.trim(D.sub(D.trim('text'), '(?i)^(?:ВНИМАНИЕ|ОСТОРОЖНО|ПРЕДУПРЕЖДЕНИЕ)[!:]?'))} AS safety, {D.trim('regexp_extract(text, ' + chr(39) + r'(?s)^[Пп]римечани[ея]\s*[.:–-]\s*(.+)' + chr(39) + ', 1)')} AS note", safety=X.clean_safety(t), note=X.note_body(t))
-on_paras("f16_sanitize", f"{D.trim(D.sub('text', '[<>:\"/|?*' + chr(92) + chr(92) + r'\x00-\x1f]'))} AS name", name=X.sanitize(t))
+t = "text"
+on_paras("p1_main_header", f"{D.main_header('text')} AS hit", lambda: dict(hit=P.main_header(t)))
+on_paras("p2_numbered_item", f"{D.numbered_item('text')} AS hit", lambda: dict(hit=P.numbered_item(t)))
+on_paras("p3_likely_by_text", f"{D.likely('text')} AS hit", lambda: dict(hit=P.likely_by_text(t)))
+on_paras("p10_list_level", "coalesce(ilvl, nullif(left_indent, 0), nullif(style_indent, 0), 0) AS level", lambda: dict(level=F.coalesce("ilvl", F.nullif(F.col("left_indent"), F.lit(0)), F.nullif(F.col("style_indent"), F.lit(0)), F.lit(0)).cast("bigint")))
+on_paras("p11_warning", f"{D.has('text', D.word(rules.WARNING_WORDS))} AS hit", lambda: dict(hit=P.is_warning(t)))
+on_paras("p12_styles", f"{D.has('style', '(?i)вниман')} AS warning, {D.has('style', '(?i)примеч|замеч')} AS note", lambda: dict(warning=P.warning_style("style"), note=P.note_style("style")))
+on_paras("p13_note", f"{D.has('text', rf'(?i)^{D.WS}*примечани[ея]([.:–-]|{D.WS})')} AS hit", lambda: dict(hit=P.is_note(t)))
+on_paras("p14_item_style", r"CASE WHEN regexp_matches(style, '(?i)ПУНКТ\s+\d') THEN len(string_split(regexp_extract(style, '(?i)ПУНКТ\s+(\d+(?:\.\d+)*)', 1), '.'))::bigint END AS level", lambda: dict(level=P.item_style_level("style").cast("bigint")))
+on_paras("p40_page_footer", f"({D.has('text', r'Стр[.]' + D.WS + '*[0-9]')} AND length(text) < 200) OR {D.has(D.trim('text'), '^[0-9]{1,4}$')} AS hit", lambda: dict(hit=P.page_footer(t)))
+on_paras("p42_list_start", f"{D.has(D.trim('text'), rf'^(?:[-–—−•●○‣▪▫⁃]|[0-9]+[.)]{D.WS}|[0-9]+(?:[.][0-9]+)+{D.WS})')} AS hit", lambda: dict(hit=P.list_start(t)))
+on_paras("p47_section_number", rf"CASE WHEN {D.has('text', rf'^{D.WS}*\d+(?:\.\d+)*\.?{D.WS}+')} AND coalesce({D.upper_share(D.sub('text', rf'^{D.WS}*\d+(?:\.\d+)*\.?{D.WS}+'))}, 1.0) >= 0.7 THEN regexp_extract(text, '^{D.WS}*(\d+(?:\.\d+)*)\.?{D.WS}+', 1) END AS num", lambda: dict(num=P.section_number(t)))
+on_paras("p38_content_item", f"({D.has(D.trim('text'), rf'^[-–—−•●○‣▪▫⁃]{D.WS}+')} OR (ends_with({D.trim('text')}, ';') AND length({D.trim('text')}) < 120)) AS hit", lambda: dict(hit=P.content_item(F.lit("paragraph"), t)))
+on_paras("p37_imperative", f"(lower(regexp_extract(text, '^{D.WS}*([^ ]+)', 1)) IN ('снимите', 'проверьте')) AS hit", lambda: dict(hit=P.imperative(t)))
+on_paras("p43_font_class", f"CASE WHEN para_idx % 7 * 5 > 12 * 1.3 THEN 'header' WHEN {D.has(D.trim('text'), rf'^(?:[-–—−•●○]|[0-9]+[.)]{D.WS})')} THEN 'unnumbered_list' ELSE 'paragraph' END AS type", lambda: dict(type=P.font_class(F.col("para_idx") % 7 * 5, t, F.lit(12))))
+on_paras("p44_context_factor", f"CASE WHEN {D.any_of('lower(text)', P.SAFETY_WORDS)} THEN 1.0::double ELSE 0.1::double END AS factor", lambda: dict(factor=P.context_factor(F.lit("note"), t, F.lit(""))))
+on_paras("p41_service_block", f"(length({D.trim('text')}) <= 2 OR {D.has(D.trim('text'), '(?i)^(?:Контр|чел[.])')}) AS hit", lambda: dict(hit=P.service_block(t)))
+on_paras("f6_norm_text", f"{D.norm_text('text')} AS norm", lambda: dict(norm=X.norm_text(t)))
+on_paras("f8_norm_procedure", rf"{D.sub(D.sub(D.squeeze('lower(' + D.trim('text') + ')'), r'^(?:[\d.]+\s+)+'), r'^[-–—•]\s*')} AS norm", lambda: dict(norm=X.norm_procedure(t)))
+on_paras("f10_forms", rf"substring({D.sub('lower(text)', r'[^\p{L}\p{N}]+')}, 1, 80) AS heavy, substring({D.squeeze('lower(' + D.trim('text') + ')')}, 1, 80) AS light", lambda: dict(heavy=X.heavy_form(t), light=X.light_form(t)))
+on_paras("f11_norm_name", rf"{D.sub(D.squeeze('lower(' + D.trim('text') + ')'), r'\.+$')} AS norm", lambda: dict(norm=X.norm_name(t)))
+on_paras("f14_clean_item", f"{D.trim(D.sub(D.trim('text'), '^[•◦▪▫⁃·–—*†‡§-]'))} AS bullet, {D.trim(D.sub(D.trim('text'), r'^\d+(?:\.|\)|\s+[.)])\s*'))} AS num", lambda: dict(bullet=X.clean_item(t, F.lit("unnumbered_list")), num=F.when(X.like(X.pytrim(t), r"^\d+(?:\.|\)|\s+[.)])"), X.clean_item(t, F.lit("numbered_list"))).otherwise(X.pytrim(t))))
+on_paras("f15_safety_text", rf"{D.trim(D.sub(D.trim('text'), '(?i)^(?:ВНИМАНИЕ|ОСТОРОЖНО|ПРЕДУПРЕЖДЕНИЕ)[!:]?'))} AS safety, {D.trim('regexp_extract(text, ' + chr(39) + r'(?s)^[Пп]римечани[ея]\s*[.:–-]\s*(.+)' + chr(39) + ', 1)')} AS note", lambda: dict(safety=X.clean_safety(t), note=X.note_body(t)))
+on_paras("f16_sanitize", f"{D.trim(D.sub('text', '[<>:\"/|?*' + chr(92) + chr(92) + r'\x00-\x1f]'))} AS name", lambda: dict(name=X.sanitize(t)))
 on_paras("f19_ids", f"""substring(sha256(para_idx::varchar || '|' || style || '|' || lower({D.head('text', 80)})), 1, 12) AS stable_id,
   substring(sha256(ilvl_or::varchar || '|' || (round_even(para_idx * 5.0, -1))::int::varchar || '|' || lower({D.head('text', 30)})), 1, 12) AS element_id,
-  substring(md5(para_idx::varchar || '|' || style || '|' || substring(text, 1, 60)), 1, 12) AS procedure_id""".replace("ilvl_or", "coalesce(ilvl, 0)"),
-  stable_id=X.stable_id("para_idx", "style", "text"), element_id=X.element_id(F.coalesce("ilvl", F.lit(0)), F.col("para_idx") * F.lit(5.0), "text"), procedure_id=X.procedure_id("para_idx", "style", "text"))
-on_paras("f20_snippets", "substring(text, 1, 60) AS text_start, right(text, 40) AS text_end, CASE WHEN length(text) > 40 THEN right(text, 40) ELSE '' END AS procedure_end", text_start=F.substring("text", 1, 60), text_end=F.right("text", F.lit(40)), procedure_end=F.when(F.length("text") > 40, F.right("text", F.lit(40))).otherwise(""))
-on_paras("f21_local_tag", "list_extract(string_split('{urn:x}' || style, '}'), -1) AS tag", tag=X.local_tag(F.concat(F.lit("{urn:x}"), "style")))
-on_paras("f24_figure_numbers", r"array_to_string(regexp_extract_all(text, '(?i)(?:рисунок|рис\.|figure)\s*(\d+)', 1), ',') AS numbers", numbers=F.array_join(F.regexp_extract_all("text", F.lit(r"(?iuU)(?:рисунок|рис\.|figure)\s*(\d+)"), F.lit(1)), ","))
-on_paras("f1_prefix_score", f"round_even({D.prefix_score('style', 'text')}, 6) AS score, round_even({D.prefix_score('substring(text, 1, 50)', 'text')}, 6) AS own", score=F.bround(X.prefix_score("style", "text"), 6), own=F.bround(X.prefix_score(F.substring("text", 1, 50), "text"), 6))
-on_paras("f7_norm_match_spaced", f"CASE WHEN text LIKE '  П р и%' THEN starts_with({D.squeeze('lower(text)')}, ' п р и м е ч а н и е') END AS closed", closed=F.when(t.like("  П р и%"), X.norm_match(t).startswith("примечание:")))
+  substring(md5(para_idx::varchar || '|' || style || '|' || substring(text, 1, 60)), 1, 12) AS procedure_id""".replace("ilvl_or", "coalesce(ilvl, 0)"), lambda: dict(stable_id=X.stable_id("para_idx", "style", "text"), element_id=X.element_id(F.coalesce("ilvl", F.lit(0)), F.col("para_idx") * F.lit(5.0), "text"), procedure_id=X.procedure_id("para_idx", "style", "text")))
+on_paras("f20_snippets", "substring(text, 1, 60) AS text_start, right(text, 40) AS text_end, CASE WHEN length(text) > 40 THEN right(text, 40) ELSE '' END AS procedure_end", lambda: dict(text_start=F.substring("text", 1, 60), text_end=F.right("text", F.lit(40)), procedure_end=F.when(F.length("text") > 40, F.right("text", F.lit(40))).otherwise("")))
+on_paras("f21_local_tag", "list_extract(string_split('{urn:x}' || style, '}'), -1) AS tag", lambda: dict(tag=X.local_tag(F.concat(F.lit("{urn:x}"), "style"))))
+on_paras("f24_figure_numbers", r"array_to_string(regexp_extract_all(text, '(?i)(?:рисунок|рис\.|figure)\s*(\d+)', 1), ',') AS numbers", lambda: dict(numbers=F.array_join(F.regexp_extract_all("text", F.lit(r"(?iuU)(?:рисунок|рис\.|figure)\s*(\d+)"), F.lit(1)), ",")))
+on_paras("f1_prefix_score", f"round_even({D.prefix_score('style', 'text')}, 6) AS score, round_even({D.prefix_score('substring(text, 1, 50)', 'text')}, 6) AS own", lambda: dict(score=F.bround(X.prefix_score("style", "text"), 6), own=F.bround(X.prefix_score(F.substring("text", 1, 50), "text"), 6)))
+on_paras("f7_norm_match_spaced", f"CASE WHEN text LIKE '  П р и%' THEN starts_with({D.squeeze('lower(text)')}, ' п р и м е ч а н и е') END AS closed", lambda: dict(closed=F.when(F.col(t).like("  П р и%"), X.norm_match(t).startswith("примечание:"))))
 
 
 @query("f2_combined_score", "left_elements", "right_elements", sql=f"""SELECT l.doc_id, l.idx, round_even(CASE WHEN {D.trim('coalesce(r.text_end, chr(32))')} = '' THEN {D.prefix_score('r.text_start', D.head('l.text_start'))} ELSE 0.7 * {D.prefix_score('r.text_start', D.head('l.text_start'))} + 0.3 * {D.prefix_score('r.text_end', D.tail('l.text_start'))} END, 6) AS score FROM {{left_elements}} l JOIN {{right_elements}} r ON l.doc_id = r.doc_id AND l.idx = r.idx""")

@@ -12,18 +12,18 @@ from docloom.plans.registry import query
 
 W = "OVER (PARTITION BY doc_id ORDER BY para_idx)"
 BEFORE = "OVER (PARTITION BY doc_id ORDER BY para_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-WP = S.by("doc_id", "para_idx")
+PLACE = ("doc_id", "para_idx")
 
 
 @query("w1_runs", "paras", sql=f"SELECT doc_id, run, min(para_idx) AS first, max(para_idx) AS last, count(*) AS n, any_value(style) AS style FROM (SELECT *, sum(new) {W} AS run FROM (SELECT *, CASE WHEN style IS DISTINCT FROM lag(style) {W} THEN 1 ELSE 0 END AS new FROM {{paras}})) GROUP BY doc_id, run")
 def runs(paras: DataFrame) -> DataFrame:
-    df = paras.withColumn("run", S.run_id(F.col("style"), WP))
+    df = paras.withColumn("run", S.run_id(F.col("style"), S.by(*PLACE)))
     return df.groupBy("doc_id", "run").agg(F.min("para_idx").alias("first"), F.max("para_idx").alias("last"), F.count("*").alias("n"), F.min_by("style", "para_idx").alias("style"))
 
 
 @query("w2_sections", "paras", sql=f"SELECT doc_id, section, count(*) AS n, sum(length(text))::bigint AS chars FROM (SELECT *, sum(CASE WHEN style = 'Heading 1' THEN 1 ELSE 0 END) {W} AS section FROM {{paras}}) GROUP BY ALL")
 def sections(paras: DataFrame) -> DataFrame:
-    df = paras.withColumn("section", S.section_id(F.col("style") == "Heading 1", WP))
+    df = paras.withColumn("section", S.section_id(F.col("style") == "Heading 1", S.by(*PLACE)))
     return df.groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 

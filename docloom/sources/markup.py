@@ -10,7 +10,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.functions.codes import dm_code, title_part, title_parts
 from docloom.functions.text import col
@@ -140,11 +139,11 @@ def dash_lists(blocks: DataFrame) -> DataFrame:
 
 
 BOX = "struct<page:int,x0:double,y0:double,x1:double,y1:double>"
-MARKUP = T.StructType.fromDDL(f"dmc_string string, docx_hash string, created_at string, modified_at string, source string, elements array<struct<idx:int,type:string,type_source:string,text_start:string,text_end:string,span:int,element_id:string,stable_id:string,bbox:{BOX},bbox_pages:array<{BOX}>>>")
-OVERRIDES = T.StructType.fromDDL("reclassify_rules array<struct<text_start:string,text_end:string,to_type:string>>, skip_rules array<struct<text_start:string>>, reclassify map<string,string>, skip_elements array<int>")
+MARKUP = f"dmc_string string, docx_hash string, created_at string, modified_at string, source string, elements array<struct<idx:int,type:string,type_source:string,text_start:string,text_end:string,span:int,element_id:string,stable_id:string,bbox:{BOX},bbox_pages:array<{BOX}>>>"
+OVERRIDES = "reclassify_rules array<struct<text_start:string,text_end:string,to_type:string>>, skip_rules array<struct<text_start:string>>, reclassify map<string,string>, skip_elements array<int>"
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents of a fixed schema; unknown keys drop, missing ones are null; a missing path gives an empty table."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
