@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import avi, bpe, langid, linedup, mixing, nearset, quality, secrets
+from docloom.llm import avi, bpe, fixity, langid, linedup, mixing, nearset, oracles, order, quality, secrets
 from docloom.llm.common import documents
 
 
@@ -28,6 +28,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixity.records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return fixity.report(rows, fixity.damaged(rows))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secrets.scan(docs, secrets.fit(docs)).drop("found")
@@ -37,6 +42,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.features(documents(spark, sf_dir))
 
 
+def op8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.index(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), ids=False)
 
@@ -50,10 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_lines": op3_lines,
     "op4_quality": op4_quality,
+    "op5_fixity": op5_fixity,
     "op6_secrets": op6_secrets,
     "op7_media": op7_media,
+    "op8_order": op8_order,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": oracles.MIXING, "op4_quality": oracles.QUALITY, "op5_fixity": oracles.FIXITY, "op10_minhash": oracles.NEAR}
