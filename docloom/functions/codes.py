@@ -18,14 +18,20 @@ PARTS = [
 ]
 
 
+def _parts(name: Column | str) -> Column:
+    """The twelve groups of a coded name from one match, as an array; any other name gives an array of one."""
+    return F.split(F.regexp_replace(col(name), CODE, "\x01".join(f"${i}" for i in range(1, 13))), "\x01")
+
+
 def dm_code(name: Column | str) -> Column:
     """Struct of the eleven code parts, all strings; null for names without a code."""
-    parts = [F.regexp_extract(col(name), CODE, i).alias(p) for i, p in enumerate(PARTS, 1)]
-    return F.when(like(name, CODE), F.struct(*parts))
+    found = _parts(name)
+    return F.when(F.size(found) == 12, F.struct(*[F.get(found, F.lit(i)).alias(p) for i, p in enumerate(PARTS)]))
 
 
 def title_part(name: Column | str) -> Column:
-    return F.when(like(name, CODE), pytrim(F.regexp_extract(col(name), CODE, 12)))
+    found = _parts(name)
+    return F.when(F.size(found) == 12, pytrim(F.get(found, F.lit(11))))
 
 
 def title_parts(title: Column | str) -> Column:
