@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 
 DOCUMENTS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
@@ -30,10 +32,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows of a batch that a function of map_rows sees at once.
+#: Rows of a batch between the JVM and Python.
 ROWS = 1000
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session hands Python at most ROWS rows a batch: the default of ten thousand texts takes much memory on both sides.
+
+    A smaller setting of the session stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS:
+        conf.set(key, str(ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, start: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
     """Narrow Arrow map. start() runs once a task and returns a function from the input's columns (lists) to output columns (lists or Arrow arrays).
 
@@ -43,12 +56,25 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., list]], schema: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                out = work(*[c.to_pylist() for c in whole.slice(at, ROWS).columns])
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, target)], schema=target)
-
-    return df.mapInArrow(run, schema)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    out = work(*[c.to_pylist() for c in whole.slice(at, ROWS).columns])
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, target)], schema=target)
+        finally:
+            del work
+            released()
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def released() -> None:
+    """Hands freed memory back to the system: an idle worker is kept, and would hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def to_arrow(schema: str) -> pa.Schema:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import DOCUMENTS, checkpointed, map_rows, pick, text_hash, to_arrow, without
+from docloom.llm.common import DOCUMENTS, checkpointed, map_rows, pick, released, small_batches, text_hash, to_arrow, without
 from docloom.llm.components import components
 
 #: Minwise tokens of a set: the low four bits of each make its sketch, the first PATH of them in full select its paths.
@@ -37,7 +37,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 class Shingler:
     """Distinct k-word shingles of a text as sorted 64-bit hashes. A-Z are lower-cased; a shorter text is one shingle, a text without words none."""
 
-    TABLE = 300_000
+    TABLE = 100_000
 
     def __init__(self, k: int):
         self.k, self.table = k, {}
@@ -285,9 +285,10 @@ def compare_nodes(rows: DataFrame, least: float, last: bool) -> DataFrame:
                         if r != i:
                             yield None, ids[i], ids[r]
 
-        return _batches(found(), target)
+        yield from _batches(found(), target)
+        released()
 
-    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "node bigint, a bigint, b bigint")
+    return small_batches(rows).repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "node bigint, a bigint, b bigint")
 
 
 def candidates(classes: DataFrame, trees: int, least: float) -> DataFrame:
@@ -356,7 +357,8 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: flo
                     if r != i:
                         yield ids[i], ids[r]
 
-        return _batches(found(), target)
+        yield from _batches(found(), target)
+        released()
 
     return sets.repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(run, "a bigint, b bigint")
 
