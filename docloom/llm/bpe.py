@@ -23,7 +23,7 @@ from docloom.llm.common import map_rows, pick
 #: No pair, or a pair without a merge.
 NONE = 1 << 62
 #: Words in each of the two generations of a task's table: a full young one becomes the old one, and a word found there moves back.
-TABLE = 120_000
+TABLE = 250_000
 
 
 def default_vocabulary() -> str:
