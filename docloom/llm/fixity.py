@@ -23,30 +23,46 @@ def header(url: Column, length: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(file, offset, length, page_id, record): pages as WARC records, in order of page_id within files of FILE ids; null ids share file -1.
+def record_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, record), narrow: pages as WARC records. Null html is an empty body."""
+    df = pick(pages, "page_id", "url", "html", types=PAGES)
+    body = F.coalesce("html", F.lit(""))
+    return df.select("page_id", F.concat(header(F.col("url"), F.octet_length(body)), body, F.lit("\r\n\r\n")).alias("record"))
+
+
+def digest(record: Column | str) -> Column:
+    return F.sha2((F.col(record) if isinstance(record, str) else record).cast("binary"), 256)
+
 
-    Equal rows are one record; ties in page_id go by the record's text. Null html is an empty body.
+def manifest(pages: DataFrame) -> DataFrame:
+    """(file, offset, length, page_id, hash): records in order of page_id within files of FILE ids; null ids share file -1.
+
+    Equal rows are one record; ties in page_id go by the record's hash. Only digests are shuffled, never texts.
     """
-    df = pick(pages, "page_id", "url", "html", types=PAGES).distinct()
-    body = F.coalesce("html", F.lit(""))
-    df = df.withColumn("record", F.concat(header(F.col("url"), F.octet_length(body)), body, F.lit("\r\n\r\n")))
-    df = df.select(F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(-1)).alias("file"), "page_id", F.octet_length("record").cast("bigint").alias("length"), "record")
-    before = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).select("file", "offset", "length", "page_id", "record")
+    df = record_texts(pages).select("page_id", F.octet_length("record").cast("bigint").alias("length"), digest("record").alias("hash")).distinct()
+    df = df.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(-1)))
+    before = Window.partitionBy("file").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).select("file", "offset", "length", "page_id", "hash")
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """(file, offset, length, page_id, record), the content of the WARC files: the texts joined to their manifest by id and hash."""
+    rows = record_texts(pages).withColumn("_h", digest("record")).withColumnRenamed("page_id", "_p").dropDuplicates(["_p", "_h"])
+    at = manifest(pages)
+    return at.join(rows, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("hash") == F.col("_h"))).select("file", "offset", "length", "page_id", "record")
 
 
 def leaves(rows: DataFrame) -> DataFrame:
-    """(file, offset, hash) of rows (file, offset, record)."""
-    return rows.select("file", "offset", F.sha2(F.col("record").cast("binary"), 256).alias("hash"))
+    """(file, offset, hash) of rows (file, offset, record), or of rows that have the hash already."""
+    return rows.select("file", "offset", "hash" if "hash" in rows.columns else digest("record").alias("hash"))
 
 
 def level(nodes: DataFrame, width: int) -> DataFrame:
     """Nodes of ranges `width` bytes wide over (file, offset, hash), offset being the range's start; a range holds few children."""
     children = F.array_sort(F.collect_list(F.struct("offset", "hash")))
-    digest = F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c.offset.cast("string"), c.hash)), "|").cast("binary"), 256)
+    joined = F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c.offset.cast("string"), c.hash)), "|").cast("binary"), 256)
     start = (F.floor(F.col("offset") / width) * width).cast("bigint")
-    return nodes.groupBy("file", start.alias("_start")).agg(digest.alias("hash")).select("file", F.col("_start").alias("offset"), "hash")
+    return nodes.groupBy("file", start.alias("_start")).agg(joined.alias("hash")).select("file", F.col("_start").alias("offset"), "hash")
 
 
 def tree(rows: DataFrame) -> list[DataFrame]:
@@ -86,16 +102,17 @@ def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     return found
 
 
-def report(rows: DataFrame, replica: DataFrame) -> DataFrame:
-    """One row a record of the first replica: page_id, file, offset, length, sha256, status (ok, corrupt, missing), located by the audit."""
-    a, b = tree(rows), tree(replica)
-    found = audit(a, b).select(F.col("file").alias("_f"), F.col("offset").alias("_o"), "status")
-    told = rows.drop("record").join(a[0], ["file", "offset"])
-    told = told.join(found, (F.col("file") == F.col("_f")) & (F.col("offset") == F.col("_o")), "left")
+def report(own: DataFrame, replica: DataFrame) -> DataFrame:
+    """One row a record of a manifest: page_id, file, offset, length, sha256, status (ok, corrupt, missing), located by the audit against a replica's rows."""
+    found = audit(tree(own), tree(replica)).select(F.col("file").alias("_f"), F.col("offset").alias("_o"), "status")
+    told = own.join(found, (F.col("file") == F.col("_f")) & (F.col("offset") == F.col("_o")), "left")
     return told.select("page_id", "file", "offset", "length", F.col("hash").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
-def damaged(rows: DataFrame) -> DataFrame:
-    """A replica with known damage, to audit: by a hash of its id every 89th record is altered, every 97th lost."""
+def damaged(pages: DataFrame, own: DataFrame) -> DataFrame:
+    """(file, offset, hash) of a replica with known damage, to audit: by a hash of its id every 89th record is altered, every 97th lost."""
     c = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("bigint")
-    return rows.where(F.coalesce(c % 97 != 0, F.lit(True))).withColumn("record", F.when(c % 89 == 0, F.concat(F.lit("X"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
+    rows = record_texts(pages).where(F.coalesce(c % 97 != 0, F.lit(True)))
+    stored = F.when(c % 89 == 0, F.concat(F.lit("X"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
+    rows = rows.select(F.col("page_id").alias("_p"), digest("record").alias("_h"), digest(stored).alias("_stored")).distinct()
+    return own.join(rows, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("hash") == F.col("_h"))).select("file", "offset", F.col("_stored").alias("hash"))

@@ -43,4 +43,4 @@ SELECT doc_id, len(sets.s)::bigint AS n_shingles, coalesce(c, doc_id) AS compone
 
 FIXITY = r"""WITH r AS (SELECT DISTINCT page_id, 'WARC/1.1' || n || 'WARC-Type: resource' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'Content-Length: ' || strlen(coalesce(html, '')) || n || n || coalesce(html, '') || n || n AS record FROM pages, (SELECT chr(13) || chr(10) AS n)),
 o AS (SELECT *, coalesce(page_id // 512, -1) AS file, strlen(record)::bigint AS length, ('0x' || substring(md5(page_id::varchar), 1, 8))::bigint AS c FROM r)
-SELECT page_id, file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset", length, sha256(record) AS sha256, CASE WHEN c % 97 = 0 THEN 'missing' WHEN c % 89 = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM o"""
+SELECT page_id, file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset", length, sha256(record) AS sha256, CASE WHEN c % 97 = 0 THEN 'missing' WHEN c % 89 = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM o"""

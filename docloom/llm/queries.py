@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import avi, bpe, fixity, langid, linedup, mixing, nearset, oracles, order, quality, secrets
-from docloom.llm.common import documents
+from docloom.llm.common import checkpointed, documents
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixity.records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return fixity.report(rows, fixity.damaged(rows))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    own = checkpointed(fixity.manifest(pages))
+    return fixity.report(own, fixity.damaged(pages, own))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

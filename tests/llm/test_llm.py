@@ -458,10 +458,13 @@ def test_fixity_locates_all_damage(spark):
     got = {(r.file, r.offset): r.status for r in fixity.audit(a, fixity.tree(other)).collect()}
     want = {(r.file, r.offset): "missing" if r.page_id % 50 == 7 else "corrupt" for held in parts.values() for r in held if r.page_id is not None and (r.page_id % 50 == 7 or r.page_id % 60 == 11)}
     assert got == want | {(0, 10**7): "extra"}
-    assert fixity.report(own, other).where("status <> 'ok'").count() == len(want)
+    listed = fixity.manifest(pages)
+    assert sorted(map(str, fixity.leaves(own).collect())) == sorted(map(str, fixity.leaves(listed).collect()))
+    assert fixity.report(listed, other).where("status <> 'ok'").count() == len(want)
     empty = fixity.records(pages.where("1 = 0"))
-    assert empty.count() == 0 and fixity.report(empty, empty).count() == 0
-    assert fixity.report(own, empty).where("status = 'missing'").count() == 703
+    nothing = fixity.manifest(pages.where("1 = 0"))
+    assert empty.count() == 0 and fixity.report(nothing, empty).count() == 0
+    assert fixity.report(listed, empty).where("status = 'missing'").count() == 703
 
 
 # -- training order --------------------------------------------------------------------------------------------------------------------------------------------
