@@ -25,8 +25,16 @@ def _parts(name: Column | str) -> Column:
 
 def dm_code(name: Column | str) -> Column:
     """Struct of the eleven code parts, all strings; null for names without a code."""
-    found = _parts(name)
-    return F.when(F.size(found) == 12, F.struct(*[F.get(found, F.lit(i)).alias(p) for i, p in enumerate(PARTS)]))
+    made = F.transform(F.array(_parts(name)), lambda found: F.when(F.size(found) == 12, F.struct(*[F.get(found, F.lit(i)).alias(p) for i, p in enumerate(PARTS)])))
+    return F.get(made, F.lit(0))
+
+
+def with_code(df: DataFrame, name: str) -> DataFrame:
+    """df with dm_code and its title (null for names without a code), each name matched once: the one-row generator keeps the optimizer from copying the match into every use."""
+    df = df.select("*", F.explode(F.array(_parts(name))).alias("_c"))
+    coded = F.size("_c") == 12
+    code = F.when(coded, F.struct(*[F.get("_c", F.lit(i)).alias(p) for i, p in enumerate(PARTS)]))
+    return df.select("*", code.alias("dm_code"), F.when(coded, pytrim(F.get("_c", F.lit(11)))).alias("dm_title")).drop("_c")
 
 
 def title_part(name: Column | str) -> Column:

@@ -115,7 +115,7 @@ PARSED = rf"SELECT *, CASE WHEN regexp_matches(folder_name, '{codes.CODE}') THEN
   CASE WHEN c IS NULL THEN 'name' WHEN NOT has_docx AND NOT has_doc THEN 'no document' END AS skip_reason, count(*) AS n FROM ({PARSED}) GROUP BY ALL""")
 def folder_kinds(folders: DataFrame) -> DataFrame:
     """Coded folders by system, kind of module and reason to skip: the flagship query."""
-    code = codes.dm_code("folder_name")
+    folders, code = codes.with_code(folders, "folder_name"), F.col("dm_code")
     kind = F.when(code.isNull(), "unparsed").when(codes.is_descriptive(code.infoCode), "descriptive").otherwise("procedure")
     skip = F.when(code.isNull(), "name").when(~F.col("has_docx") & ~F.col("has_doc"), "no document")
     df = folders.select(code.systemCode.alias("system"), F.concat(code.subSystemCode, code.subSubSystemCode).alias("subsystem"), kind.alias("kind"), skip.alias("skip_reason"))
@@ -124,8 +124,8 @@ def folder_kinds(folders: DataFrame) -> DataFrame:
 
 @query("p29_parse_code", "folders", sql=f"SELECT folder_seq, {', '.join(f'c.{p} AS {p}' for p in codes.PARTS)}, {D.trim('c.title')} AS title FROM ({PARSED})")
 def parse_code(folders: DataFrame) -> DataFrame:
-    code = codes.dm_code("folder_name")
-    return folders.select("folder_seq", *[code[p].alias(p) for p in codes.PARTS], codes.title_part("folder_name").alias("title"))
+    df = codes.with_code(folders, "folder_name")
+    return df.select("folder_seq", *[F.col(f"dm_code.{p}") for p in codes.PARTS], F.col("dm_title").alias("title"))
 
 
 @query("p30_title_parts", "folders", sql=rf"SELECT folder_seq, {D.trim(chr(39) * 2 + ' || regexp_extract(t, ' + chr(39) + '^(.*?)(?:[.]' + D.WS + '+(.*))?$' + chr(39) + ', 1)')} AS tech_name, {D.trim('regexp_extract(t, ' + chr(39) + '^(.*?)(?:[.]' + D.WS + '+(.*))?$' + chr(39) + ', 2)')} AS info_name FROM (SELECT folder_seq, {D.trim('c.title')} AS t FROM ({PARSED})) WHERE t IS NOT NULL")
@@ -136,7 +136,7 @@ def split_titles(folders: DataFrame) -> DataFrame:
 
 @query("p31_module_kind", "folders", sql=f"SELECT folder_seq, coalesce(c.infoCode::int BETWEEN 0 AND 99, false) AS descriptive, coalesce(c.infoCode::int >= 100, false) AS procedure FROM ({PARSED})")
 def module_kind(folders: DataFrame) -> DataFrame:
-    code = codes.dm_code("folder_name").infoCode
+    folders, code = codes.with_code(folders, "folder_name"), F.col("dm_code.infoCode")
     return folders.select("folder_seq", codes.is_descriptive(code).alias("descriptive"), codes.is_procedure(code).alias("procedure"))
 
 
@@ -148,7 +148,7 @@ def folder_dmc(folders: DataFrame) -> DataFrame:
 @query("f17_code_strings", "folders", sql=f"""SELECT folder_seq, 'DMC-' || c.modelIdentCode || '-' || c.systemDiffCode || '-' || c.systemCode || '-' || c.subSystemCode || c.subSubSystemCode || '-' || c.assyCode || '-' || c.disassyCode || c.disassyCodeVariant || '-' || c.infoCode || c.infoCodeVariant || '-' || c.itemLocationCode || '_001' AS dmc,
   'G' || c.modelIdentCode || '-' || c.systemDiffCode || '-' || c.systemCode || '-' || c.subSystemCode || c.subSubSystemCode || '-' || c.assyCode || '-' || c.disassyCode || c.disassyCodeVariant || '-' || c.infoCode || c.infoCodeVariant || '-' || c.itemLocationCode || '_001_RU-RU' AS graphic FROM ({PARSED}) WHERE c IS NOT NULL""")
 def code_strings(folders: DataFrame) -> DataFrame:
-    df = folders.select("folder_seq", codes.dm_code("folder_name").alias("c")).where("c IS NOT NULL")
+    df = codes.with_code(folders, "folder_name").select("folder_seq", F.col("dm_code").alias("c")).where("c IS NOT NULL")
     return df.select("folder_seq", codes.code_string(F.col("c")).alias("dmc"), codes.graphic_prefix(F.col("c")).alias("graphic"))
 
 
