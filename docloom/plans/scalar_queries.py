@@ -130,8 +130,8 @@ def parse_code(folders: DataFrame) -> DataFrame:
 
 @query("p30_title_parts", "folders", sql=rf"SELECT folder_seq, {D.trim(chr(39) * 2 + ' || regexp_extract(t, ' + chr(39) + '^(.*?)(?:[.]' + D.WS + '+(.*))?$' + chr(39) + ', 1)')} AS tech_name, {D.trim('regexp_extract(t, ' + chr(39) + '^(.*?)(?:[.]' + D.WS + '+(.*))?$' + chr(39) + ', 2)')} AS info_name FROM (SELECT folder_seq, {D.trim('c.title')} AS t FROM ({PARSED})) WHERE t IS NOT NULL")
 def split_titles(folders: DataFrame) -> DataFrame:
-    parts = codes.title_parts(codes.title_part("folder_name"))
-    return folders.select("folder_seq", parts.tech_name.alias("tech_name"), parts.info_name.alias("info_name")).where("tech_name IS NOT NULL")
+    parts = codes.title_parts("dm_title")
+    return codes.with_code(folders, "folder_name").select("folder_seq", parts.tech_name.alias("tech_name"), parts.info_name.alias("info_name")).where("tech_name IS NOT NULL")
 
 
 @query("p31_module_kind", "folders", sql=f"SELECT folder_seq, coalesce(c.infoCode::int BETWEEN 0 AND 99, false) AS descriptive, coalesce(c.infoCode::int >= 100, false) AS procedure FROM ({PARSED})")

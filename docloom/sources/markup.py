@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.codes import dm_code, title_part, title_parts
+from docloom.functions.codes import title_parts, with_code
 from docloom.functions.text import col
 
 INFO = "doc_id bigint, idx bigint, type string, text_start string, text_end string, span bigint"
@@ -173,10 +173,10 @@ def tasks(listing: DataFrame) -> DataFrame:
     name, folder, group = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-3))
     df = listing.select(name.alias("name"), folder.alias("folder"), group.alias("group"), "path").where(F.col("folder").startswith("[") & ~F.col("name").startswith("~$"))
     out = df.groupBy("folder").agg(F.min(F.when(~F.col("group").startswith("["), F.col("group"))).alias("subsystem_group"), F.min_by("path", F.when(F.lower("name").endswith(".docx"), F.col("name"))).alias("docx_path"), F.max(F.lower("name").endswith(".docx")).alias("_x"), F.min_by("path", F.when(F.lower("name").endswith(".doc"), F.col("name"))).alias("doc_path"), F.max(F.lower("name").endswith(".doc")).alias("_d"))
-    code = dm_code("folder")
-    names = title_parts(title_part("folder"))
+    out, code = with_code(out, "folder"), F.col("dm_code")
+    names = title_parts("dm_title")
     skip = F.when(code.isNull(), "name").when(~F.col("_x") & ~F.col("_d"), "no document")
-    return out.select("folder", "subsystem_group", code.alias("dm_code"), names.tech_name.alias("tech_name"), names.info_name.alias("info_name"), F.when(F.col("_x"), F.col("docx_path")).alias("docx_path"), F.when(F.col("_d"), F.col("doc_path")).alias("doc_path"), (~F.col("_x") & F.col("_d")).alias("needs_conversion"), skip.alias("skip_reason"))
+    return out.select("folder", "subsystem_group", "dm_code", names.tech_name.alias("tech_name"), names.info_name.alias("info_name"), F.when(F.col("_x"), F.col("docx_path")).alias("docx_path"), F.when(F.col("_d"), F.col("doc_path")).alias("doc_path"), (~F.col("_x") & F.col("_d")).alias("needs_conversion"), skip.alias("skip_reason"))
 
 
 def is_hierarchical(listing: DataFrame) -> DataFrame:
