@@ -21,7 +21,7 @@ from docloom.llm.components import components
 
 #: Keys looked up by broadcast up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Lines under one key that are paired at once, and the refinements tried to get there.
+#: Rows (lines by region) under one key that are paired at once, and the refinements tried to get there.
 HOT, LEVELS = 512, 4
 #: Removals applied by broadcast up to so many documents and lines; beyond, texts are shuffled to them.
 BROADCAST_DOCS, BROADCAST_LINES = 200_000, 2_000_000
@@ -142,9 +142,13 @@ def signature(line: str) -> Column:
     return F.expr(f"aggregate(split({line}, ''), 0L, (acc, c) -> acc ^ shiftleft(1L, ascii(c) % 64))")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Distinct rows of keys that at least two lines share, one of them in the index, with the number of rows of each key."""
-    rows = checkpointed(rows.dropDuplicates(["key", "index", "id"]))
+def shared(rows: DataFrame, *region: str) -> DataFrame:
+    """Distinct rows of keys that at least two lines share, one of them in the index, with the number of rows of each key.
+
+    Where a line is periodic, shifted look-ups cut the same substring, and the line stands under one key with several regions
+    (told apart by the columns `region`). Each is kept: refinement may meet the other line beside any one of them.
+    """
+    rows = checkpointed(rows.dropDuplicates(["key", "index", "id", *region]))
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.max("index").alias("_in"))
     counts = counts.where((F.col("_lo") != F.col("_hi")) & F.col("_in")).select("key", "n")
     return rows.join(counts, "key")
@@ -177,7 +181,11 @@ def refine(rows: DataFrame) -> DataFrame:
 
 
 def pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Index lines joined with the lines that probe them, by key, where lengths and signatures allow the edits: (a, b)."""
+    """Index lines joined with the lines that probe them, by key, where lengths and signatures allow the edits: (a, b).
+
+    Here a line counts once under a key, whatever its regions.
+    """
+    rows = rows.select("key", "index", "id", "sig", "chars").dropDuplicates(["key", "index", "id"])
     a, b = rows.where("index").alias("a"), rows.where("NOT index").alias("b")
     near = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= 2 * threshold
     turn = (F.col("a.chars") < F.col("b.chars")) | ((F.col("a.chars") == F.col("b.chars")) & (F.col("a.id") < F.col("b.id")))
@@ -187,7 +195,7 @@ def pairs(rows: DataFrame, threshold: int) -> DataFrame:
 def links(lines: DataFrame, threshold: int = 2) -> DataFrame:
     """(a, b) for different lines within `threshold` edits, from rows (id, line) that may repeat; lines must be longer than the threshold.
 
-    Up to HOT lines under one key are compared with each other. Refinement stops after LEVELS rounds; the lines still under
+    Up to HOT rows under one key are compared with each other. Refinement stops after LEVELS rounds; the lines still under
     one key then differ only within a small region, and are paired.
     """
     rows = keyed(lines, threshold)
@@ -198,7 +206,7 @@ def links(lines: DataFrame, threshold: int = 2) -> DataFrame:
     rows = rows.join(found, F.col("key") == F.col("_key")).select("key", "pos", "id", "line")
     # A line's own segment stands in the index and is also the unshifted probe of its own length.
     rows = rows.withColumn("index", F.explode(F.when(F.col("pos") <= threshold, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
-    members = shared(rows.select("key", "index", "id", "line", *regions(threshold)))
+    members = shared(rows.select("key", "index", "id", "line", *regions(threshold)), "a", "b")
     region = F.col("line").substr(F.col("a"), F.col("b") - F.col("a"))
     rows = members.select("key", "index", "id", signature("line").alias("sig"), F.length("line").alias("chars"), region.alias("region"), "size", "left", "n")
     out = pairs(rows.where(F.col("n") <= HOT), threshold)
@@ -206,7 +214,7 @@ def links(lines: DataFrame, threshold: int = 2) -> DataFrame:
     for level in range(LEVELS):
         if hot.isEmpty():
             break
-        rows = shared(refine(hot))
+        rows = shared(refine(hot), "region")
         small = (F.col("n") <= HOT) if level < LEVELS - 1 else F.lit(True)
         out = out.union(pairs(rows.where(small), threshold))
         hot = rows.where(~small)

@@ -176,6 +176,18 @@ def test_edit_join_is_complete(spark, monkeypatch, threshold, hot):
     assert got == {(i, j) for j in range(len(lines)) for i in range(j) if edits(lines[i], lines[j]) <= threshold}
 
 
+def test_edit_join_is_complete_on_periodic_lines(spark, monkeypatch):
+    """Shifted look-ups of dot leaders and rules cut equal substrings, so a line has several regions under one key."""
+    monkeypatch.setattr(linedup, "HOT", 6)
+    monkeypatch.setattr(linedup, "LEVELS", 6)
+    r = random.Random(12)
+    lines = {f"{r.choice(WORDS)} {r.choice(WORDS)}".ljust(52, "." if i % 3 else "-") + f" {r.randint(1, 999):3}" for i in range(120)}
+    lines = sorted(lines | {mutated(x, r.randint(1, 2), r, ".- ab") for x in sorted(lines)[::2]})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
+    got = {tuple(sorted(x)) for x in linedup.links(df, 2).collect()}
+    assert got == {(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and edits(lines[i], lines[j]) <= 2}
+
+
 def test_line_dedup(spark, odd, none):
     a, b, c = "the first line of some length", "the second line of some length", "a third one, different again"
     near = a.replace("first", "firsd")
