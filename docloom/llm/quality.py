@@ -71,32 +71,36 @@ def digests(docs: DataFrame) -> DataFrame:
     return map_rows(df, start, f"doc_id bigint, th bigint, source string, {DIGEST}")
 
 
-def frequent_lines(digest: DataFrame, share: float = 0.1, least: int = 50) -> DataFrame:
+def frequent_lines(digest: DataFrame, share: float = 0.1, least: int = 50, copies: bool = True) -> DataFrame:
     """(source, h) of lines in more distinct documents of a host than max(least, share * the host's documents).
 
-    The plain count bounds the distinct one from above, so documents are told apart only for lines whose plain count passes.
+    Without `copies`, the copies of one text in a host count once, as the document of the least id.
+    The plain count bounds the distinct ones from above, so documents are told apart only for lines whose plain count passes.
     """
-    lines = digest.select("source", "doc_id", F.explode("lines.h").alias("h"))
+    lines = digest.select("source", "doc_id", "th", F.explode("lines.h").alias("h"))
     limit = F.greatest(F.lit(float(least)), F.lit(float(share)) * F.col("docs"))
     hosts = digest.groupBy("source").agg(F.count("*").alias("docs")).withColumnRenamed("source", "_s")
     often = lines.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
     often = often.join(hosts, often.source.eqNullSafe(hosts._s)).where(F.col("n") > limit)
     often = often.select(F.col("source").alias("_s"), F.col("h").alias("_h"), "docs")
     exact = lines.join(often, lines.source.eqNullSafe(often._s) & (lines.h == often._h))
+    if not copies:
+        exact = exact.groupBy("source", "h", "docs", "th").agg(F.min("doc_id").alias("doc_id"))
     exact = exact.select("source", "h", "docs", "doc_id").distinct().groupBy("source", "h", "docs").agg(F.count("*").alias("n"))
     return exact.where(F.col("n") > limit).select("source", "h")
 
 
-def verdicts(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int = 70) -> DataFrame:
+def verdicts(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int = 70, copies: bool = True) -> DataFrame:
     """One row a document: doc_id, th (hash of the text), the counts, n_removed (words in frequent lines), base_failed and kept.
 
     kept is false if base_failed (under 50 words, or over half of them in repeated 3-word windows), or if frequent lines hold
     more than `depleted` percent of the words. The host of a document is its source; a null source is a host of its own.
     Repeated rows of one doc_id count as one document of a host, rows without an id likewise; each row is judged and stays.
+    Documents with one text count each (as in the SQL of op4_quality), or once for all of them without `copies`.
     The lines of a host that pass the limit number at most lines per document / share, which bounds the array per host.
     """
     digest = checkpointed(digests(docs))
-    hosts = frequent_lines(digest, share, least).groupBy(F.col("source").alias("_s")).agg(F.collect_set("h").alias("_often"))
+    hosts = frequent_lines(digest, share, least, copies).groupBy(F.col("source").alias("_s")).agg(F.collect_set("h").alias("_often"))
     joined = digest.join(hosts, digest.source.eqNullSafe(hosts._s), "left")
     removed = F.aggregate(F.filter("lines", lambda x: F.array_contains("_often", x.h)), F.lit(0).cast("bigint"), lambda a, x: a + x.w)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -111,5 +115,9 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
 
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
-    """The columns of documents, without the documents that verdicts() rejects; texts do not move while the rejected are few."""
-    return without(docs, verdicts(docs, **limits).where("NOT kept"))
+    """The columns of documents, without the documents that verdicts() rejects; texts do not move while the rejected are few.
+
+    Exact copies of a text are one voter here: a large group of them would else make all its own lines boilerplate and go
+    as a whole, before near-dedup can keep one.
+    """
+    return without(docs, verdicts(docs, **{"copies": False} | limits).where("NOT kept"))

@@ -232,6 +232,25 @@ def test_quality_line_frequency(spark, none):
     assert {r.doc_id for r in quality.keep(docs(spark, *rows), least=20).collect()} == {i for i in got if got[i].kept}
 
 
+def test_quality_keeps_a_text_with_many_copies(spark):
+    """Exact copies under different ids are no reason to call their own lines boilerplate; real boilerplate still is."""
+    clean, common = prose(80, 900), "Subscribe to our newsletter today and never miss an update again"
+    rows = [(i, clean, None, "a") for i in range(60)] + [(100 + i, prose(80, i), None, "a") for i in range(30)]
+    rows += [(200 + i, "\n".join([common] * 20 + [prose(8, i)]), None, "a") for i in range(25)]
+    kept = {r.doc_id for r in quality.keep(docs(spark, *rows), least=20).collect()}
+    assert kept == {r[0] for r in rows if r[0] < 200}
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline
+
+    clean = prose(80, 901)
+    df = docs(spark, *[(i, clean, "en", "a") for i in range(80)], *[(100 + i, prose(80, i), "en", "a") for i in range(30)])
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, "")
+    assert [r.doc_id for r in df.where(F.col("text") == clean).collect()] == [0]
+
+
 # -- secrets -----------------------------------------------------------------------------------------------------------------------------------
 
 
