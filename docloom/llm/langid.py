@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter has one machine word per slot and one bit per language in it: the AND of an n-gram's slots gives
-all languages that contain it, in one look-up for all of them. A document's masks are counted per language, each count is
+A bit-sliced Bloom filter has one bit per language in each slot, in as many machine words as that takes: the AND of an n-gram's
+slots gives all languages that contain it, in one look-up for all of them. A document's masks are counted per language, each count is
 corrected for the filter's false positives, and the largest corrected share decides.
 """
 
@@ -21,11 +21,13 @@ from docloom.llm.common import checkpointed, map_rows, pick, unit_hash
 ORDERS, HASHES, SLOTS = (3, 4), 3, 12
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 UNKNOWN = "und"
+#: Languages in one machine word.
+WORD = 64
 
 
 class Model(NamedTuple):
     langs: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # a word per slot, or a row of words beyond 64 languages
     rates: np.ndarray  # false-positive rate of each language
 
 
@@ -65,15 +67,15 @@ def places(h: np.ndarray, size: int) -> list[np.ndarray]:
     return [((low + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
 
 
-def train(labelled: DataFrame, sample: int = 500, least_share: float = 1e-5, most: int = 64) -> Model:
+def train(labelled: DataFrame, sample: int = 500, least_share: float = 1e-5) -> Model:
     """Filters from rows (doc_id, text, lang); null texts and labels teach nothing.
 
     Bounds: about `sample` whole documents per language, drawn by a hash of doc_id at the rate sample / documents of the
-    language; at most 1 / least_share n-grams per language, since rarer ones are left out; at most `most` languages, those
-    with most documents.
+    language; at most 1 / least_share n-grams per language, since rarer ones are left out. Every label is learned; n-grams
+    reach the driver WORD languages at a time.
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    counts = known.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Model([], np.zeros(1, np.uint64), np.zeros(0))
@@ -104,20 +106,26 @@ def train(labelled: DataFrame, sample: int = 500, least_share: float = 1e-5, mos
     tally = checkpointed(tally)
     total = {r["lang"]: r["n"] for r in tally.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     least = F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, max(2.0, v * least_share))]) if total else F.lit(None)
-    chosen = tally.where(F.col("n") >= least[F.col("lang")]).select("lang", "h").toPandas() if total else None
-    sets = [np.sort(chosen.h[chosen.lang == x].to_numpy(np.int64)).view(np.uint64) if total else np.zeros(0, np.uint64) for x in langs]
+    chosen = tally.where(F.col("n") >= least[F.col("lang")]).select("lang", "h") if total else None
+    sets: list[np.ndarray] = []
+    for at in range(0, len(langs), WORD):
+        part = langs[at : at + WORD]
+        held = chosen.where(F.col("lang").isin(part)).toPandas() if total else None
+        sets += [np.sort(held.h[held.lang == x].to_numpy(np.int64)).view(np.uint64) if total else np.zeros(0, np.uint64) for x in part]
     size = 1 << int(SLOTS * max(1, *map(len, sets))).bit_length()
-    kind = np.uint8 if len(langs) <= 8 else np.uint64
-    slots, rates = np.zeros(size, kind), []
-    for bit, own in enumerate(sets):
+    kind, words = np.uint8 if len(langs) <= 8 else np.uint64, -(-len(langs) // WORD)
+    slots, rates = np.zeros((size, words), kind), []
+    for n, own in enumerate(sets):
+        word, bit = slots[:, n // WORD], kind(1 << n % WORD)
         for at in places(own, size):
-            np.bitwise_or.at(slots, at, kind(1 << bit))
-        rates.append(float(np.count_nonzero(slots & kind(1 << bit))) / size)
+            word[at] |= bit
+        rates.append(float(np.count_nonzero(word & bit)) / size)
+    slots = slots if words > 1 else slots[:, 0].copy()
     return Model(langs, slots, np.array(rates) ** HASHES)
 
 
 def masks(model: Model, h: np.ndarray) -> np.ndarray:
-    """For each n-gram, the bitmask of the languages that contain it."""
+    """For each n-gram, the bitmask of the languages that contain it; a row of words beyond 64 languages."""
     first, *rest = places(h, len(model.slots))
     out = model.slots[first]
     for at in rest:
@@ -129,13 +137,14 @@ def shares(model: Model, h: np.ndarray) -> np.ndarray:
     """Corrected share of the n-grams that each language contains: (hits / n - false positives) / (1 - false positives)."""
     m = masks(model, h)
     byte = np.arange(256)
-    hits = np.zeros(8 * m.dtype.itemsize)
-    for k, column in enumerate(m.view(np.uint8).reshape(len(m), -1).T):
+    width = m.dtype.itemsize * (m.shape[1] if m.ndim > 1 else 1)
+    hits = np.zeros(8 * width)
+    for k, column in enumerate(m.view(np.uint8).reshape(len(m), width).T):
         seen = np.bincount(column, minlength=256)
         for bit in range(8):
             hits[8 * k + bit] = seen[(byte >> bit) & 1 == 1].sum()
     if sys.byteorder != "little":
-        hits = hits.reshape(-1, 8)[::-1].ravel()
+        hits = hits.reshape(-1, m.dtype.itemsize, 8)[:, ::-1].ravel()
     return np.clip((hits[: len(model.langs)] / max(1, len(h)) - model.rates) / (1 - model.rates), 0, 1)
 
 
@@ -145,7 +154,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     lang_pred is `und` with score 0 for null text, text without a letter, or an untaught model. Equal shares go to the first
     language in code point order. The score is the winner's share of the two best corrected shares, times its own.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train()
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train(), for each language
     kinds = {"doc_id": "bigint"}
 
     def start() -> Callable:

@@ -126,6 +126,16 @@ def test_language_many_languages(spark):
     assert langid.predict(train, model, ("doc_id", "lang")).where("lang_pred = lang").count() == 200
 
 
+def test_language_more_than_a_word_of_languages(spark):
+    r = random.Random(64)
+    own = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(150)]
+    rows = [(1000 * i + j, f"{x} {x[::-1]} " * (5 + j), f"l{i:03}") for i, x in enumerate(own) for j in range(2 + i % 3)]
+    model = langid.train(docs(spark, *rows))
+    assert model.langs == [f"l{i:03}" for i in range(150)]
+    got = langid.predict(docs(spark, *rows), model, ("doc_id", "lang"))
+    assert got.where("lang_pred = lang").count() == len(rows)
+
+
 # -- line dedup -----------------------------------------------------------------------------------------------------------------------
 
 
