@@ -172,6 +172,14 @@ def missing_content(typed: DataFrame, lines: DataFrame) -> DataFrame:
     return missing_texts(typed, lines.where("para_idx % 3 <> 1").select("doc_id", F.col("line").alias("text")), jaccard=None).select("doc_id", "seq")
 
 
+@query("j25_missing_similar", "typed", "doc_lines")
+def missing_similar(typed: DataFrame, lines: DataFrame) -> DataFrame:
+    """J25 with its third test: an element is also present where its words and a line's agree at a Jaccard similarity of 0.8."""
+    from docloom.operators.validation import missing_texts
+
+    return missing_texts(typed, lines.where("para_idx % 3 <> 1").select("doc_id", F.col("line").alias("text"))).select("doc_id", "seq")
+
+
 @query("j24_names_match", "folders")
 def name_pairs(folders: DataFrame) -> DataFrame:
     title = X.norm_name(codes.title_part("folder_name"))

@@ -206,3 +206,26 @@ def test_empty_tables(spark):
 
 def test_settings():
     assert Mk.settings("[a]\nx = 1\ny = 0.5\nz = yes\nw = text") == {"a": {"x": 1, "y": 0.5, "z": True, "w": "text"}}
+
+
+def test_missing_content_by_similar_words(spark, monkeypatch):
+    from docloom.plans import registry
+
+    rnd = random.Random(25)
+    words = ["болт", "гайка", "насос", "клапан", "фильтр", "шланг", "корпус", "крышка", "масло", "ось"]
+    draw = lambda: " ".join(rnd.sample(words, rnd.randint(4, 10)))
+    source = [(d, i, draw()) for d in range(3) for i in range(25)] + [(0, 99, "насос"), (9, 0, "документ без строк вывода")]
+    output = [(d, i, draw().upper()) for d in range(3) for i in range(12)]
+
+    def similar(a, b):
+        a, b = set(a.lower().split()), set(b.lower().split())
+        return bool(a and b) and len(a & b) / len(a | b) >= 0.8
+
+    held = [(d, t.lower()) for d, i, t in output if i % 3 != 1]
+    alone = {(d, i) for d, i, t in source if len(t) > 10 and not any(d == e and (t in o or o in t) for e, o in held)}
+    want = {(d, i) for d, i, t in source if (d, i) in alone and not any(d == e and similar(t, o) for e, o in held)}
+    assert want < alone
+    tables = {"typed": spark.createDataFrame(source, "doc_id long, seq long, content string"), "doc_lines": spark.createDataFrame(output, "doc_id long, para_idx long, line string")}
+    monkeypatch.setattr(registry, "table", lambda spark, sf_dir, name: tables[name])
+    assert {tuple(r) for r in registry.QUERIES["j25_missing_similar"](spark, "").collect()} == want
+    assert {tuple(r) for r in registry.QUERIES["j25_missing_content"](spark, "").collect()} == alone
