@@ -6,13 +6,10 @@ is emitted floor(rate) times plus once more with a probability equal to the rate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, checkpointed, pick, unit_hash
-
-#: The per-source table is broadcast up to this many rows and characters of names; beyond, the join shuffles and AQE splits hot sources.
-BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 4_000_000
+from docloom.llm.common import SPACE, checkpointed, in_order, pick, small, unit_hash
 
 
 def word_count(text: Column) -> Column:
@@ -27,21 +24,19 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
 
     Sources in code point order, null last, take the weights in turn and share `share` times all words by weight. No target
     exceeds cap * source_size; what is above is shared again by weight among the others until none is above. That is
-    target = min(cap * size, level * weight), where level follows from prefix sums over sources ordered by cap * size / weight.
-    The window over all sources runs on one row a source.
+    target = min(cap * size, level * weight). The level rises from an even share, as sources that it fills give up what is above,
+    and stands when no further source is filled: a few sums over the sources, which no task holds as a whole.
     """
-    total = F.sum("source_size").over(Window.partitionBy())
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    df = totals.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (turn + 1).cast("int")).cast("bigint"))
-    df = df.withColumns({"_most": F.col("source_size") * float(cap), "_all": total * float(share)})
-    order = Window.orderBy(F.col("_most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    df = df.withColumn("_level", (F.col("_all") - F.coalesce(F.sum("_most").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    # The first source in this order that its share does not fill sets the level for itself and all after it.
-    free = F.when(F.col("_most") > F.col("_level") * F.col("weight"), F.col("_level"))
-    level = F.min_by(free, F.when(free.isNotNull(), F.struct(F.col("_most") / F.col("weight"), F.col("source").isNull(), F.col("source")))).over(Window.partitionBy())
-    target = F.when(level.isNull(), F.col("_most")).otherwise(F.least("_most", level * F.col("weight")))
+    df = in_order(totals, F.col("source").asc_nulls_last())
+    df = df.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("bigint"))
+    df = checkpointed(df.select("source", "source_size", "weight", (F.col("source_size") * float(cap)).alias("_most")))
+    words, weight = df.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("weight")).first()
+    goal, level, before = words * float(share), None, None
+    while weight and weight != before:
+        level, before = (goal - (full if before else 0.0)) / weight, weight
+        free = F.col("_most") > F.lit(level) * F.col("weight")
+        full, weight = df.agg(F.coalesce(F.sum(F.when(~free, F.col("_most"))), F.lit(0.0)), F.sum(F.when(free, F.col("weight")))).first()
+    target = F.col("_most") if not weight else F.least("_most", F.lit(level) * F.col("weight"))
     return df.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
@@ -50,12 +45,6 @@ def draw(tries: int, seed: int) -> list[Column]:
     return [unit_hash(F.lit(seed + k), "doc_id") for k in range(tries)]
 
 
-def small(df: DataFrame) -> bool:
-    """Whether a table of sources is within the bounds of a broadcast."""
-    rows, chars = df.agg(F.count("*"), F.coalesce(F.sum(F.length("_source")), F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS
-
-
 def rates(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int, tries: int) -> tuple[DataFrame, bool]:
     """(_source, source_size, target, rate, draw), one row a source, and whether it may be broadcast.
 
