@@ -41,6 +41,13 @@ reach AS (SELECT rep AS id, rep AS c FROM cls UNION SELECT CASE WHEN l.x = r.id
 comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
 SELECT doc_id, len(sets.s)::bigint AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN cls ON sets.s = cls.s LEFT JOIN comp ON comp.id = cls.rep"""
 
-FIXITY = r"""WITH r AS (SELECT DISTINCT page_id, 'WARC/1.1' || n || 'WARC-Type: resource' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'Content-Length: ' || strlen(coalesce(html, '')) || n || n || coalesce(html, '') || n || n AS record FROM pages, (SELECT chr(13) || chr(10) AS n)),
-o AS (SELECT *, coalesce(page_id // 512, -1) AS file, strlen(record)::bigint AS length, ('0x' || substring(md5(page_id::varchar), 1, 8))::bigint AS c FROM r)
-SELECT page_id, file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset", length, sha256(record) AS sha256, CASE WHEN c % 97 = 0 THEN 'missing' WHEN c % 89 = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM o"""
+FIXITY = r"""WITH n AS (SELECT chr(13) || chr(10) AS n),
+r AS (SELECT page_id, md5(coalesce(page_id::varchar, '~') || '|' || coalesce(url, '')) AS u, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
+i AS (SELECT *, '<urn:uuid:' || substring(u, 1, 8) || '-' || substring(u, 9, 4) || '-' || substring(u, 13, 4) || '-' || substring(u, 17, 4) || '-' || substring(u, 21, 12) || '>' AS id FROM r),
+t AS (SELECT page_id, id, 'WARC/1.1' || n || 'WARC-Type: resource' || n || 'WARC-Record-ID: ' || id || n || 'WARC-Date: 2024-01-01T00:00:00Z' || n || 'WARC-Target-URI: ' || url || n || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(body) || n || n || body || n || n AS record FROM i, n),
+o AS (SELECT page_id, id, sha256(record) AS sha256, strlen(record)::bigint AS length, ('0x' || substring(sha256(record), 1, 5))::bigint AS h, ('0x' || substring(md5(id), 1, 8))::bigint AS c FROM t),
+f AS (SELECT *, coalesce(page_id // 512, -1 - h % 1048576) AS file, row_number() OVER (PARTITION BY page_id, sha256) - 1 AS copy FROM o),
+p AS (SELECT *, CASE WHEN sum(length) OVER (PARTITION BY file) > 33554432 THEN ((h + copy) % ceil(sum(length) OVER (PARTITION BY file) / 16777216.0))::bigint ELSE 0 END AS part FROM f)
+SELECT page_id, file, part, coalesce(sum(length) OVER w, 0)::bigint AS "offset", length, sha256, CASE WHEN c % 97 = 0 THEN 'missing' WHEN c % 89 = 0 THEN 'corrupt' ELSE 'ok' END AS status,
+  CASE WHEN c % 97 <> 0 THEN coalesce(sum(CASE WHEN c % 97 <> 0 THEN length END) OVER w, 0)::bigint ELSE -1 END AS replica_offset
+FROM p WINDOW w AS (PARTITION BY file, part ORDER BY page_id, sha256, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import avi, bpe, fixity, langid, linedup, mixing, nearset, oracles, order, quality, secrets
-from docloom.llm.common import checkpointed, documents
+from docloom.llm.common import checkpointed, documents, scratch
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    own = checkpointed(fixity.manifest(pages))
-    return fixity.report(own, fixity.damaged(pages, own))
+    """Two replicas are stored, the second with known damage; both are read back from their bytes and audited."""
+    pages, folder = spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark)
+    fixity.files(pages).write.parquet(f"{folder}/a")
+    first = spark.read.parquet(f"{folder}/a")
+    fixity.damaged(first).write.parquet(f"{folder}/b")
+    return fixity.report(checkpointed(fixity.manifest(pages)), first, spark.read.parquet(f"{folder}/b"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.index(documents(spark, sf_dir))
+    return order.index(order.materialise(documents(spark, sf_dir), scratch(spark)))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
