@@ -1,8 +1,8 @@
 """Quality rules: per-document counts and cross-document line frequency.
 
 Each document is read once, narrow, into a digest: its counts and the 64-bit hashes of its normalised lines with the words
-under each. Lines that more documents of a host carry than the limit are boilerplate; a document that loses too large a share
-of its words with them is rejected. Only digests are shuffled, never texts.
+under each. Lines that more documents of a host carry than the limit are boilerplate: they are cut out, and a document that loses
+too large a share of its words with them is rejected. Only digests are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, map_rows, pick, text_hash, without
+from docloom.llm.common import DOCUMENTS, checkpointed, map_rows, maybe_broadcast, pick, text_hash
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -37,9 +37,15 @@ def repeat_words(words: list[bytes]) -> int:
     return total
 
 
-def digest_of(text: str | None) -> tuple:
+def line_hash(words: list[bytes]) -> int:
+    """64-bit hash of a line in normal form: its words in lower case, one blank between them."""
     import xxhash
 
+    h = xxhash.xxh3_64_intdigest(b" ".join(words).decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def digest_of(text: str | None) -> tuple:
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -52,8 +58,7 @@ def digest_of(text: str | None) -> tuple:
             if line in seen:
                 repeated += 1
             seen.add(line)
-            h = xxhash.xxh3_64_intdigest(b" ".join(own).decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass"))
-            h = h - (1 << 64) if h >> 63 else h
+            h = line_hash(own)
             lines[h] = lines.get(h, 0) + len(own)
     return (
         len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated, repeat_words(words),
@@ -91,33 +96,63 @@ def frequent_lines(digest: DataFrame, share: float = 0.1, least: int = 50, copie
 
 
 def verdicts(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int = 70, copies: bool = True) -> DataFrame:
-    """One row a document: doc_id, th (hash of the text), the counts, n_removed (words in frequent lines), base_failed and kept.
+    """One row a document: doc_id, th (hash of the text), the counts, n_removed (words in frequent lines), cut (hashes of its frequent lines), base_failed and kept.
 
     kept is false if base_failed (under 50 words, or over half of them in repeated 3-word windows), or if frequent lines hold
     more than `depleted` percent of the words. The host of a document is its source; a null source is a host of its own.
     Repeated rows of one doc_id count as one document of a host, rows without an id likewise; each row is judged and stays.
     Documents with one text count each (as in the SQL of op4_quality), or once for all of them without `copies`.
-    The lines of a host that pass the limit number at most lines per document / share, which bounds the array per host.
+    Frequent lines meet the digests' lines by (host, hash); only documents that have one go on from there.
     """
     digest = checkpointed(digests(docs))
-    hosts = frequent_lines(digest, share, least, copies).groupBy(F.col("source").alias("_s")).agg(F.collect_set("h").alias("_often"))
-    joined = digest.join(hosts, digest.source.eqNullSafe(hosts._s), "left")
-    removed = F.aggregate(F.filter("lines", lambda x: F.array_contains("_often", x.h)), F.lit(0).cast("bigint"), lambda a, x: a + x.w)
+    often = checkpointed(frequent_lines(digest, share, least, copies).select(F.col("source").alias("_s"), F.col("h").alias("_h")))
+    lines = digest.select("doc_id", "th", "source", F.explode("lines").alias("_l"))
+    hit = lines.join(maybe_broadcast(often), lines.source.eqNullSafe(F.col("_s")) & (F.col("_l.h") == F.col("_h")))
+    # A set, since repeated rows of a document bring their lines again; a document's lines have a hash each.
+    hit = hit.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("source").alias("_s")).agg(F.collect_set("_l").alias("_cut"))
+    hit = maybe_broadcast(checkpointed(hit.select("_doc", "_th", "_s", F.transform("_cut", lambda x: x.h).alias("cut"), F.aggregate("_cut", F.lit(0).cast("bigint"), lambda a, x: a + x.w).alias("_removed"))))
+    joined = digest.join(hit, (digest.th == F.col("_th")) & digest.doc_id.eqNullSafe(F.col("_doc")) & digest.source.eqNullSafe(F.col("_s")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = joined.select("doc_id", "th", *counts, F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"), failed.alias("base_failed"))
+    out = joined.select("doc_id", "th", "source", *counts, F.coalesce("_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("cut", F.array().cast("array<bigint>")).alias("cut"), failed.alias("base_failed"))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed") <= depleted * F.col("n_words")))
 
 
 def judge(docs: DataFrame, **limits) -> DataFrame:
-    """verdicts() without the hash of the text."""
-    return verdicts(docs, **limits).drop("th")
+    """verdicts() without the hash of the text, the host and the hashes of lines."""
+    return verdicts(docs, **limits).drop("th", "source", "cut")
+
+
+def cut_lines(text: str, hashes: set[int]) -> str:
+    """text without its lines of these hashes."""
+    return "\n".join(line for line in text.split("\n") if not (words := line.encode("utf-8", "surrogatepass").split()) or line_hash(words) not in hashes)
 
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
-    """The columns of documents, without the documents that verdicts() rejects; texts do not move while the rejected are few.
+    """The columns of documents, without the documents that verdicts() rejects, and their texts without the frequent lines (n_chars set anew).
 
-    Exact copies of a text are one voter here: a large group of them would else make all its own lines boilerplate and go
-    as a whole, before near-dedup can keep one.
+    Documents without a frequent line stay as they are, and their texts do not move while the others are few. Exact copies of a text are one
+    voter here: a large group of them would else make all its own lines boilerplate and go as a whole, before near-dedup can keep one.
     """
-    return without(docs, verdicts(docs, **{"copies": False} | limits).where("NOT kept"))
+    found = checkpointed(verdicts(docs, **{"copies": False} | limits).where("NOT kept OR size(cut) > 0").select("doc_id", "th", "source", "kept", "cut"))
+    touched = maybe_broadcast(checkpointed(found.where("kept").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("source").alias("_s"), "cut").dropDuplicates(["_doc", "_th", "_s"])))
+    rows = pick(docs, *DOCUMENTS).withColumn("_own", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    rows = rows.join(touched, (F.col("_own") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_s"))).select(*DOCUMENTS, "cut")
+
+    def start() -> Callable:
+        def work(doc: list, text: list, lang: list, source: list, n_chars: list, cut: list) -> list:
+            left = [cut_lines(t, set(c)) for t, c in zip(text, cut)]
+            return [doc, left, lang, source, list(map(len, left))]
+
+        return work
+
+    # One (doc_id, text) under two hosts is touched by host, so the host decides here too.
+    return _others(docs, found).unionByName(map_rows(rows, start, ", ".join(f"{k} {v}" for k, v in DOCUMENTS.items())))
+
+
+def _others(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of documents that found (doc_id, th, source) does not name."""
+    gone = checkpointed(found.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("source").alias("_s")).distinct())
+    rows = pick(docs, *DOCUMENTS).withColumn("_own", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    same = (F.col("_own") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_s"))
+    return rows.join(maybe_broadcast(gone), same, "left_anti").drop("_own")
