@@ -4,7 +4,8 @@ A document's set is its distinct word shingles. Every set has a list of minwise
 them; a node that is still large branches again, by tokens that its path selects, until nodes are small; the
 sets of a small node are compared exhaustively by their sketches. Independent trees are repeated until a pair at the
 threshold is missed with less than the chance asked for. Sketches only select: what they connect is gathered once by
-candidate group, and every link is confirmed there on the full sets.
+candidate group, and every link is confirmed there on the full sets. Sizes of nodes and groups are counted before a task holds
+one: a node or group that no task may hold is dealt out in blocks, and blocks meet in pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import DOCUMENTS, checkpointed, map_rows, pick, released, small_batches, text_hash, to_arrow, without
+from docloom.llm.common import DOCUMENTS, checkpointed, map_rows, maybe_broadcast, pick, released, small_batches, text_hash, to_arrow, without
 from docloom.llm.components import components
 
 #: Minwise tokens of a set: the low four bits of each make its sketch, the first PATH of them in full select its paths.
@@ -26,8 +27,8 @@ LANES, PATH = 256, 64
 #: Sets of a node that are always compared exhaustively. A larger node is, too, if a few leaders gather nearly all of it, so
 #: that no more than WORK pairs are left; else it branches on.
 NODE, WORK, DEPTH, BRANCHES = 4096, 40_000_000, 7, 2
-#: Reps looked up by broadcast up to this many (40 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Sketches of a node that a task may hold. A larger node branches on unseen; at the last depth its blocks meet in pairs.
+HOLD = 32_768
 _RND = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLY = _RND.integers(1, 1 << 31, (LANES, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 FLIP = _RND.integers(0, 1 << 32, (LANES, 1), np.uint32)
@@ -110,49 +111,17 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
     return map_rows(df, start, "doc_id bigint, th bigint, n_shingles bigint, id bigint, path binary, sketch binary")
 
 
-def _hash(*parts: int) -> int:
-    return int.from_bytes(hashlib.blake2b(b"".join(p.to_bytes(8, "little", signed=True) for p in parts), digest_size=8).digest(), "little", signed=True)
-
-
 def roots(classes: DataFrame, trees: int) -> DataFrame:
     """The first branching of every tree: (node, id, sketch)."""
-
-    def start() -> Callable:
-        step = PATH // trees
-
-        def work(ids: list, paths: list, sketches: list) -> list:
-            out: list[list] = [[], [], []]
-            for i, p, sketch in zip(ids, paths, sketches):
-                a = np.frombuffer(p, np.uint32)
-                for t in range(trees):
-                    out[0].append(_hash(t, int(a[t * step])))
-                out[1] += [i] * trees
-                out[2] += [sketch] * trees
-            return out
-
-        return work
-
-    return map_rows(classes.select("id", "path", "sketch"), start, "node bigint, id bigint, sketch binary")
+    step = PATH // trees
+    nodes = [F.xxhash64(F.lit(t), F.substring("path", 4 * t * step + 1, 4)) for t in range(trees)]
+    return classes.select(F.explode(F.array(*nodes)).alias("node"), "id", "sketch")
 
 
 def branch(large: DataFrame) -> DataFrame:
     """The next branching of rows (node, id, path, sketch): the node's path selects the entries, each gives a child."""
-
-    def start() -> Callable:
-        def work(nodes: list, ids: list, paths: list, sketches: list) -> list:
-            out: list[list] = [[], [], []]
-            for n, i, p, sketch in zip(nodes, ids, paths, sketches):
-                a = np.frombuffer(p, np.uint32)
-                for b in range(BRANCHES):
-                    at = _hash(n, b) % PATH
-                    out[0].append(_hash(n, at, int(a[at])))
-                out[1] += [i] * BRANCHES
-                out[2] += [sketch] * BRANCHES
-            return out
-
-        return work
-
-    return map_rows(large.select("node", "id", "path", "sketch"), start, "node bigint, id bigint, sketch binary")
+    at = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(PATH)).cast("int") for b in range(BRANCHES)]
+    return large.select(F.explode(F.array(*[F.xxhash64("node", x, F.substring("path", 4 * x + 1, F.lit(4))) for x in at])).alias("node"), "id", "sketch")
 
 
 class Forest:
@@ -233,6 +202,22 @@ def connect(sketches: np.ndarray, least: float, accept: Callable[[int, int], boo
     return forest.all()
 
 
+def bridge(sketches: np.ndarray, known: list[int], least: float, accept: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Confirmed pairs that join sets of different known components, as few as that takes."""
+    _, first, own = np.unique(np.array(known, np.int64), return_index=True, return_inverse=True)
+    forest, out = Forest(len(known)), []
+    for i, f in enumerate(first[own].tolist()):
+        forest.join(i, f)
+    for i in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
+        top = forest.all()
+        others = np.flatnonzero(top != top[i])
+        for j in others[agreement(sketches[i], sketches[others]) >= least].tolist():
+            if forest.find(i) != forest.find(j) and accept(i, j):
+                forest.join(i, j)
+                out.append((i, j))
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list]]:
     """Runs of equal first column in sorted batches, with the other columns as lists; a run may span batches."""
     key, held = None, None
@@ -291,13 +276,31 @@ def compare_nodes(rows: DataFrame, least: float, last: bool) -> DataFrame:
     return small_batches(rows).repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "node bigint, a bigint, b bigint")
 
 
+def dealt(rows: DataFrame, key: str, sizes: DataFrame, most: int) -> DataFrame:
+    """rows under a key too large for a task, once for each pair of blocks that theirs is in; the key becomes the pair's. sizes: (key, n)."""
+    blocks = F.ceil(F.col("_n") / most).cast("int")
+    rows = rows.join(maybe_broadcast(sizes.select(F.col(key).alias("_key"), F.col("n").alias("_n"))), F.col(key) == F.col("_key"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn(key, F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_key", "_n", "_own", "_other")
+
+
 def candidates(classes: DataFrame, trees: int, least: float) -> DataFrame:
     """Candidate links (a, b) of all trees. Each level is written once; the loop ends when no node is too large."""
     rows, out = roots(classes, trees), []
     for depth in range(DEPTH):
-        made = checkpointed(compare_nodes(rows, least, depth == DEPTH - 1))
+        last = depth == DEPTH - 1
+        sizes = checkpointed(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HOLD))
+        huge = None
+        if not sizes.isEmpty():
+            few = maybe_broadcast(sizes.select("node"))
+            huge, rows = rows.join(few, "node", "left_semi"), rows.join(few, "node", "left_anti")
+        made = checkpointed(compare_nodes(rows, least, last))
         out.append(made.where("node IS NULL").select("a", "b"))
         large = made.where("node IS NOT NULL").select("node", F.col("a").alias("id"))
+        if huge is not None and last:
+            out.append(checkpointed(compare_nodes(dealt(huge, "node", sizes, HOLD), least, True)).select("a", "b"))
+        elif huge is not None:
+            large = large.union(huge.select("node", "id"))
         if large.isEmpty():
             break
         rows = branch(large.join(classes, "id").select("node", "id", "path", "sketch"))
@@ -307,12 +310,10 @@ def candidates(classes: DataFrame, trees: int, least: float) -> DataFrame:
     return links
 
 
-def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: float) -> DataFrame:
-    """Confirmed links (a, b) of rows (doc_id, id, grp): full sets are made from the whole texts again and meet in their group."""
+def full_sets(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(grp, id, sketch, hashes) of rows (doc_id, id, grp): full sets, made from the whole texts again."""
     kept = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    wanted = groups.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), "grp")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = maybe_broadcast(checkpointed(groups.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), "grp")))
     rows = kept.join(wanted, kept.doc_id == F.col("_doc")).select("_id", "grp", "text")
 
     def start() -> Callable:
@@ -329,18 +330,24 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: flo
 
         return work
 
-    sets = map_rows(rows, start, "grp bigint, id bigint, sketch binary, hashes binary")
+    return map_rows(rows, start, "grp bigint, id bigint, sketch binary, hashes binary")
+
+
+def confirm(sets: DataFrame, percent: int, least: float) -> DataFrame:
+    """Confirmed links (a, b), enough to connect what is linked, of rows (grp, id, sketch, hashes) that meet by grp; with a column `known`, only
+    links between different known components."""
+    columns = ["grp", "id", "sketch", "hashes", *(["known"] if "known" in sets.columns else [])]
     target = to_arrow("a bigint, b bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for _, (ids, sketches, hashes) in _groups(batches, "grp", "id", "sketch", "hashes"):
-                one = dict(zip(ids, zip(sketches, hashes)))  # repeated rows
+            for _, (ids, *held) in _groups(batches, *columns):
+                one = dict(zip(ids, zip(*held)))  # repeated rows
                 ids = list(one)
                 if len(ids) < 2:
                     continue
-                full = [np.frombuffer(h, np.uint64) for _, h in one.values()]
-                s = unpacked([x for x, _ in one.values()])
+                sketch, hashes, *known = map(list, zip(*one.values()))
+                full, s = [np.frombuffer(h, np.uint64) for h in hashes], unpacked(sketch)
 
                 def linked(i: int, j: int) -> bool:
                     x, y = full[i], full[j]
@@ -353,14 +360,62 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int, least: flo
                     both = int((y[at] == x).sum())
                     return 100 * both >= percent * (len(x) + len(y) - both)
 
-                for i, r in enumerate(connect(s, least, linked).tolist()):
-                    if r != i:
-                        yield ids[i], ids[r]
+                if known:
+                    for i, j in bridge(s, known[0], least, linked):
+                        yield ids[i], ids[j]
+                else:
+                    for i, r in enumerate(connect(s, least, linked).tolist()):
+                        if r != i:
+                            yield ids[i], ids[r]
 
         yield from _batches(found(), target)
         released()
 
-    return sets.repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(run, "a bigint, b bigint")
+    return sets.select(*columns).repartition("grp").sortWithinPartitions("grp", "id").mapInArrow(run, "a bigint, b bigint")
+
+
+def _rooted(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, grp, known) of rows (id, grp): the component of each over the links, its own id without one."""
+    found = components(links).select(F.col("id").alias("_id"), "root")
+    return checkpointed(ids.join(found, F.col("id") == F.col("_id"), "left").select("id", "grp", F.coalesce("root", "id").alias("known")))
+
+
+def confirm_large(sets: DataFrame, percent: int, least: float, most: int) -> DataFrame:
+    """confirm() of groups that no task may hold, exactly, from stored rows (grp, id, sketch, hashes).
+
+    Blocks of about `most` sets are confirmed by themselves, then one set of each component found. What is still apart meets in pairs
+    of blocks: sets outside the group's largest component with each other and with that one. A group of copies is whole after the first two
+    steps, so its largest component is never compared with itself.
+    """
+
+    def cells(ids: DataFrame, salt: int) -> DataFrame:
+        counts = maybe_broadcast(checkpointed(ids.groupBy(F.col("grp").alias("_g")).agg(F.ceil(F.count("*") / most).alias("_b"))))
+        return ids.join(counts, F.col("grp") == F.col("_g")).select("id", F.xxhash64("grp", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("_b"))).alias("cell"))
+
+    def met(placed: DataFrame) -> DataFrame:
+        placed = maybe_broadcast(checkpointed(placed.withColumnRenamed("id", "_id")))
+        rows = sets.join(placed, F.col("id") == F.col("_id"))
+        return rows.select(F.col("cell").alias("grp"), "id", "sketch", "hashes", *[c for c in placed.columns if c == "known"])
+
+    ids = sets.select("id", "grp").distinct()
+    links = checkpointed(confirm(met(cells(ids, 1)), percent, least))
+    own = _rooted(ids, links)
+    links = checkpointed(links.union(confirm(met(cells(own.where("id = known").select("id", "grp"), 2)), percent, least)))
+    own = _rooted(ids, links)
+    sizes = own.groupBy("grp", "known").agg(F.count("*").alias("n"))
+    total = checkpointed(sizes.groupBy(F.col("grp").alias("_g")).agg(F.max(F.struct("n", "known")).alias("_top"), F.sum("n").alias("_all"), F.count("*").alias("_c")).where("_c > 1"))
+    if total.isEmpty():
+        return links
+    rows = own.join(maybe_broadcast(total.select("_g", F.col("_top.known").alias("_main"), F.ceil(F.col("_top.n") / most).cast("int").alias("_m"), F.ceil((F.col("_all") - F.col("_top.n")) / most).cast("int").alias("_o"))), F.col("grp") == F.col("_g"))
+    main = F.col("known") == F.col("_main")
+    block = F.pmod(F.xxhash64("id", F.lit(3)), F.when(main, F.col("_m")).otherwise(F.col("_o"))).cast("int")
+    rows = rows.withColumns({"_own": block, "_in": main})
+    # Cells (other block, main block) are numbered -1 - main block; cells of two other blocks by both.
+    across = F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda o: F.xxhash64("grp", o, -1 - F.col("_own")))
+    inward = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda m: F.xxhash64("grp", F.col("_own"), -1 - m))
+    among = F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda o: F.xxhash64("grp", F.least("_own", o), F.greatest("_own", o)))
+    placed = rows.select("id", "known", F.explode(F.when(F.col("_in"), across).otherwise(F.concat(inward, among))).alias("cell"))
+    return links.union(confirm(met(placed), percent, least))
 
 
 def groups_of(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5, group: int = 5_000) -> DataFrame:
@@ -369,11 +424,12 @@ def groups_of(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles; component_id is the
     smallest doc_id reachable over links, kept is doc_id = component_id. Null or word-less text has an empty set, linked with
     nothing. Rows without a doc_id have no identity: they are never linked, component_id is null and kept is true. Repeated
-    rows share their component and are all kept if its smallest id is theirs. A candidate group of more than `group` sets is
-    confirmed by the nodes of its trees instead of at once.
+    rows share their component and are all kept if its smallest id is theirs. A candidate group of up to `group` sets is
+    confirmed by one task, a larger one in blocks, with the same links.
 
-    `miss` is the chance that all trees separate a pair at the threshold by their first branching; the sketch's estimate is
-    allowed five standard deviations.
+    `miss` is the chance that all trees separate a pair at the threshold by their first branching, and each further branching of a
+    node too large to compare parts it with a chance of (1 - similarity) ** BRANCHES in that tree; the sketch's estimate is allowed five
+    standard deviations.
     """
     similar = percent / 100
     trees = max(1, math.ceil(math.log(miss) / math.log(1 - similar)))
@@ -386,12 +442,14 @@ def groups_of(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-5
     groups = checkpointed(components(links).select("id", F.col("root").alias("grp")))
     groups = groups.union(groups.select(F.col("grp").alias("id"), "grp").distinct())
     members = groups.join(classes.select("id", F.col("rep").alias("doc_id")), "id")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > group).select("grp")
-    confirmed = confirm(docs, members.join(sizes, "grp", "left_anti"), k, percent, least)
-    if not sizes.isEmpty():
-        own = classes.join(members.join(sizes, "grp", "left_semi").select("id"), "id", "left_semi")
-        nodes = deep_nodes(own, trees).withColumnRenamed("node", "grp").join(own.select("id", F.col("rep").alias("doc_id")), "id")
-        confirmed = confirmed.union(confirm(docs, nodes, k, percent, least))
+    sizes = checkpointed(groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > group).select("grp"))
+    if sizes.isEmpty():
+        confirmed = confirm(full_sets(docs, members, k), percent, least)
+    else:
+        few = maybe_broadcast(sizes)
+        confirmed = confirm(full_sets(docs, members.join(few, "grp", "left_anti"), k), percent, least)
+        large = checkpointed(full_sets(docs, members.join(few, "grp", "left_semi"), k))
+        confirmed = confirmed.union(confirm_large(large, percent, least, group))
     linked = components(confirmed)
     reps = classes.select("id", "rep").join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
     reps = reps.join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("id").alias("_id"), "component_id")
@@ -422,21 +480,3 @@ def keep(docs: DataFrame, k: int = 5, **settings) -> DataFrame:
     own = pick(docs, *DOCUMENTS).withColumn("th", text_hash())
     own = own.join(twice, (F.col("th") == F.col("_th")) & (F.col("doc_id") == F.col("_doc")), "left_semi")
     return without(out, again).union(own.dropDuplicates(["doc_id", "th"]).drop("th"))
-
-
-def deep_nodes(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, id): every tree's small nodes over these sets, and what is left of the large ones at full depth."""
-    rows, out = roots(classes, trees).select("node", "id"), []
-    for depth in range(DEPTH):
-        rows = checkpointed(rows)
-        counts = rows.groupBy("node").agg(F.count("*").alias("n"))
-        big = counts.where(F.col("n") > NODE).select("node")
-        if depth == DEPTH - 1 or big.isEmpty():
-            out.append(rows)
-            break
-        out.append(rows.join(big, "node", "left_anti"))
-        rows = branch(rows.join(big, "node").join(classes, "id").select("node", "id", "path", "sketch")).select("node", "id")
-    nodes = out[0]
-    for x in out[1:]:
-        nodes = nodes.union(x)
-    return nodes.distinct()
