@@ -3,12 +3,14 @@
 A line is split into threshold + 1 segments: whatever `threshold` edits hit, one segment survives, shifted by a bounded amount.
 Each line is indexed by its segments, keyed by its length, and probes the indexes of its own and slightly smaller lengths with
 the substrings that can meet a segment there. Most keys occur in one line only, so keys are first aggregated without any text;
-the lines are read again for keys that two different lines share. A key of many lines is refined: what lies beside the
-matched segment keeps a known part of the edits and is partitioned in turn. Pairs are verified by a banded bit-parallel edit
-distance, and linked lines form classes.
+the lines are read again for keys that two different lines share. Pairs are verified by a banded bit-parallel edit distance, and
+linked lines form classes. For classes, each key's lines are first compared with one leader, in linear work, and components are formed;
+only lines of a key that are still in different components are then paired. A key of many such lines is refined: what lies beside the
+matched segment keeps a known part of the edits and is partitioned in turn.
 
 A line of at least `least_chars` characters stays where its class occurs first, by (doc_id, text hash, line number), and is removed
-everywhere else. Shorter lines and lines of blanks are left alone. Lines are identified by a 64-bit hash.
+everywhere else. Shorter lines and lines of blanks are left alone. Lines are identified by a 64-bit hash; a second one tells different
+lines of one hash apart, and such lines are left alone.
 """
 
 from __future__ import annotations
@@ -16,15 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, pick
+from docloom.llm.common import checkpointed, maybe_broadcast, pick
 from docloom.llm.components import components
 
-#: Keys looked up by broadcast up to this many (16 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
 #: Rows (lines by region) under one key that are paired at once, and the refinements tried to get there.
 HOT, LEVELS = 512, 4
-#: Removals applied by broadcast up to so many documents and lines; beyond, texts are shuffled to them.
-BROADCAST_DOCS, BROADCAST_LINES = 200_000, 2_000_000
 
 
 def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -143,15 +141,19 @@ def signature(line: str) -> Column:
 
 
 def shared(rows: DataFrame, *region: str) -> DataFrame:
-    """Distinct rows of keys that at least two lines share, one of them in the index, with the number of rows of each key.
+    """Distinct rows of keys that lines of at least two components (column comp) share, one line of them in the index, with the number n of rows of each key.
 
     Where a line is periodic, shifted look-ups cut the same substring, and the line stands under one key with several regions
     (told apart by the columns `region`). Each is kept: refinement may meet the other line beside any one of them.
     """
     rows = checkpointed(rows.dropDuplicates(["key", "index", "id", *region]))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.max("index").alias("_in"))
-    counts = counts.where((F.col("_lo") != F.col("_hi")) & F.col("_in")).select("key", "n")
-    return rows.join(counts, "key")
+    return rows.join(_several(rows), "key")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """(key, n, main) of the keys of shared(): n is the number of rows, main the component of the key's smallest line."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("index").alias("_in"), F.min_by("comp", "id").alias("main"))
+    return counts.where((F.col("_lo") != F.col("_hi")) & F.col("_in")).select("key", "n", "main")
 
 
 def refine(rows: DataFrame) -> DataFrame:
@@ -176,52 +178,94 @@ def refine(rows: DataFrame) -> DataFrame:
 
         return F.transform(shifts, shifted)
 
-    made = rows.select("index", "id", "sig", "chars", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), parts), one))).alias("_k"))
-    return made.select("_k.key", "index", "id", "sig", "chars", "_k.region", "_k.size", "_k.left").where("key IS NOT NULL")
+    made = rows.select("index", "id", "comp", "sig", "chars", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), parts), one))).alias("_k"))
+    return made.select("_k.key", "index", "id", "comp", "sig", "chars", "_k.region", "_k.size", "_k.left").where("key IS NOT NULL")
 
 
 def pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Index lines joined with the lines that probe them, by key, where lengths and signatures allow the edits: (a, b).
+    """Index lines joined with the lines of other components that probe them, by key, where lengths and signatures allow the edits: (a, b).
 
-    Here a line counts once under a key, whatever its regions.
+    Here a line counts once under a key, whatever its regions. Lines of the key's main component are not enumerated against each other.
     """
-    rows = rows.select("key", "index", "id", "sig", "chars").dropDuplicates(["key", "index", "id"])
-    a, b = rows.where("index").alias("a"), rows.where("NOT index").alias("b")
+    rows = rows.select("key", "index", "id", "comp", "sig", "chars", (F.col("comp") == F.col("main")).alias("main")).dropDuplicates(["key", "index", "id"])
     near = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= 2 * threshold
     turn = (F.col("a.chars") < F.col("b.chars")) | ((F.col("a.chars") == F.col("b.chars")) & (F.col("a.id") < F.col("b.id")))
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & near & turn).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & near & turn
 
+    def joined(index: DataFrame, probing: DataFrame) -> DataFrame:
+        return index.alias("a").join(probing.alias("b"), met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
-def links(lines: DataFrame, threshold: int = 2) -> DataFrame:
-    """(a, b) for different lines within `threshold` edits, from rows (id, line) that may repeat; lines must be longer than the threshold.
+    index, probing = rows.where("index"), rows.where("NOT index")
+    return joined(index.where("NOT main"), probing).union(joined(index.where("main"), probing.where("NOT main")))
 
-    Up to HOT rows under one key are compared with each other. Refinement stops after LEVELS rounds; the lines still under
-    one key then differ only within a small region, and are paired.
-    """
+
+def verified(found: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose lines (id, line), once each, are within the threshold."""
+    found = found.distinct().join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    found = found.join(lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
+    return strip_common(found).where(within("line_a", "line_b", threshold)).select("a", "b")
+
+
+def keyed_rows(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (key, index, id, sig, chars, region, size, left) of the keys that two lines share, one of them in the index; and their lines (id, line), once each."""
     rows = keyed(lines, threshold)
     found = rows.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.min("pos").alias("_pos"))
     found = checkpointed(found.where((F.col("_lo") != F.col("_hi")) & (F.col("_pos") <= threshold)).select(F.col("key").alias("_key")))
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    rows = rows.join(found, F.col("key") == F.col("_key")).select("key", "pos", "id", "line")
+    rows = rows.join(maybe_broadcast(found), F.col("key") == F.col("_key")).select("key", "pos", "id", "line")
     # A line's own segment stands in the index and is also the unshifted probe of its own length.
     rows = rows.withColumn("index", F.explode(F.when(F.col("pos") <= threshold, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
-    members = shared(rows.select("key", "index", "id", "line", *regions(threshold)), "a", "b")
+    members = checkpointed(rows.select("key", "index", "id", "line", *regions(threshold)).dropDuplicates(["key", "index", "id", "a", "b"]))
     region = F.col("line").substr(F.col("a"), F.col("b") - F.col("a"))
-    rows = members.select("key", "index", "id", signature("line").alias("sig"), F.length("line").alias("chars"), region.alias("region"), "size", "left", "n")
+    told = members.select("key", "index", "id", signature("line").alias("sig"), F.length("line").alias("chars"), region.alias("region"), "size", "left")
+    return told, members.select("id", "line").dropDuplicates(["id"])
+
+
+def joined_keys(rows: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows as keyed_rows() gives them, with a column comp: lines of one component are not paired.
+
+    Up to HOT rows under one key are compared with each other. Refinement stops after LEVELS rounds; the lines still under
+    one key then differ only within a small region, and are paired.
+    """
+    rows = rows.join(_several(rows), "key")
     out = pairs(rows.where(F.col("n") <= HOT), threshold)
     hot = rows.where(F.col("n") > HOT)
     for level in range(LEVELS):
         if hot.isEmpty():
             break
         rows = shared(refine(hot), "region")
-        small = (F.col("n") <= HOT) if level < LEVELS - 1 else F.lit(True)
-        out = out.union(pairs(rows.where(small), threshold))
-        hot = rows.where(~small)
-    texts = members.select("id", "line").dropDuplicates(["id"])
-    out = out.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    out = out.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b").select("a", "b", "line_a", "line_b")
-    return strip_common(out).where(within("line_a", "line_b", threshold)).select("a", "b")
+        few = (F.col("n") <= HOT) if level < LEVELS - 1 else F.lit(True)
+        out = out.union(pairs(rows.where(few), threshold))
+        hot = rows.where(~few)
+    return out
+
+
+def links(lines: DataFrame, threshold: int = 2) -> DataFrame:
+    """(a, b) for all different lines within `threshold` edits, from rows (id, line) that may repeat; lines must be longer than the threshold.
+
+    The number of links can be the square of the lines; classes() needs fewer.
+    """
+    rows, texts = keyed_rows(lines, threshold)
+    return verified(joined_keys(rows.withColumn("comp", F.col("id")), threshold), texts, threshold)
+
+
+def led(rows: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs (a, b) of every line of a key with the key's leader, its smallest line: as many as there are rows."""
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "sig", "chars")).alias("_f"))
+    near = (F.bit_count(F.col("sig").bitwiseXOR(F.col("_f.sig"))) <= 2 * threshold) & (F.abs(F.col("chars") - F.col("_f.chars")) <= threshold)
+    return rows.select("key", "id", "sig", "chars").join(first, "key").where(near & (F.col("id") != F.col("_f.id"))).select(F.col("_f.id").alias("a"), F.col("id").alias("b"))
+
+
+def classes(lines: DataFrame, threshold: int = 2) -> DataFrame:
+    """(id, root) of the lines that links of up to `threshold` edits connect, root the smallest id; the links themselves are only found as far as that takes.
+
+    Two lines within the threshold share a key. They are in one component after the keys' leaders are linked, or they are paired then.
+    """
+    rows, texts = keyed_rows(lines, threshold)
+    first = checkpointed(verified(led(rows, threshold), texts, threshold))
+    known = checkpointed(components(first).select(F.col("id").alias("_id"), "root"))
+    rows = rows.join(maybe_broadcast(known), F.col("id") == F.col("_id"), "left").withColumn("comp", F.coalesce("root", "id")).drop("_id", "root")
+    rest = checkpointed(verified(joined_keys(rows, threshold), texts, threshold))
+    return known.withColumnRenamed("_id", "id") if rest.isEmpty() else components(first.union(rest))
 
 
 def removals(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> DataFrame:
@@ -230,10 +274,12 @@ def removals(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> Data
     n_near counts removed lines whose text differs from the one that stays.
     """
     lines = line_rows(docs, least_chars)
-    classes = components(links(lines.select(F.xxhash64("line").alias("id"), "line"), threshold))
+    found = checkpointed(classes(lines.select(F.xxhash64("line").alias("id"), "line"), threshold))
     seen = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
-    first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no", "id")).alias("first"), F.count("*").alias("n"))
-    first = first.join(classes.union(classes.select(F.col("root").alias("id"), "root").distinct()), "id", "left")
+    # The second hash, of the line turned round, differs where two lines share the first.
+    check = F.xxhash64(F.reverse("line"))
+    first = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"), check.alias("_c")).groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no", "id")).alias("first"), F.count("*").alias("n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
+    first = first.where("_lo = _hi").join(found.union(found.select(F.col("root").alias("id"), "root").distinct()), "id", "left")
     first = checkpointed(first.where("n > 1 OR root IS NOT NULL").select("id", "root", "first"))
     linked = first.where("root IS NOT NULL")
     best = linked.groupBy("root").agg(F.min("first").alias("best")).select(F.col("root").alias("_root"), "best")
@@ -265,10 +311,7 @@ def dedup(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> DataFra
 
     Documents that lose nothing stay as they are.
     """
-    gone = checkpointed(removals(docs, threshold, least_chars).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th"))
-    n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
-    if n <= BROADCAST_DOCS and total <= BROADCAST_LINES:
-        gone = F.broadcast(gone)
+    gone = maybe_broadcast(checkpointed(removals(docs, threshold, least_chars).withColumnRenamed("doc_id", "_doc").withColumnRenamed("th", "_th")))
     df = pick(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn("_own", F.xxhash64("text"))
     df = df.join(gone, (F.col("_own") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     lines = F.split("text", "\n", -1)
