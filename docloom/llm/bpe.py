@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import unicodedata
 from collections.abc import Callable
@@ -70,6 +71,20 @@ class PairTree:
         return -1 if top == NONE else top & 0xFFFFFFFF
 
 
+def known(told: dict, steps: list[dict]) -> None:
+    """Refuses a vocabulary file whose steps are not those that WordBpe takes."""
+    normal = [{k: v for k, v in s.items()} for s in told["normalizer"]["normalizers"]]
+    if normal != [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]:
+        raise ValueError(f"normaliser {normal}")
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        raise ValueError(f"pre-tokenizer {steps}")
+    model = told["model"]
+    if model["type"] != "BPE" or told["decoder"] or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        raise ValueError("only plain byte-level BPE models without a decoder")
+    if any(t[k] for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that strip, normalise or want whole words")
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file of the byte-level word-end kind."""
 
@@ -87,8 +102,11 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.name = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         steps = told["pre_tokenizer"]["pretokenizers"]
+        known(told, steps)
         self.split = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), regex.V0)
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
+        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        #: What every added token begins with: a text without it holds none.
+        self.mark = os.path.commonprefix(list(self.special))
         self.alphabet = byte_alphabet()
         self.table: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
@@ -143,7 +161,7 @@ class WordBpe:
         """Ids of a whole text as bytes, and their decoded text (token names joined by a blank)."""
         packed: list[bytes] = []
         names: list[str] = []
-        for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
+        for part in self.cut.split(text) if self.cut and self.mark in text else [text]:
             if part in self.special:
                 packed.append(struct.pack("<I", self.special[part]))
                 names.append(part)

@@ -67,12 +67,13 @@ def places(h: np.ndarray, size: int) -> list[np.ndarray]:
     return [((low + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
 
 
-def train(labelled: DataFrame, sample: int = 500, least_share: float = 1e-5) -> Model:
+def train(labelled: DataFrame, sample: int = 500, least_share: float = 1e-5, few: int = 10_000) -> Model:
     """Filters from rows (doc_id, text, lang); null texts and labels teach nothing.
 
     Bounds: about `sample` whole documents per language, drawn by a hash of doc_id at the rate sample / documents of the
-    language; at most 1 / least_share n-grams per language, since rarer ones are left out. Every label is learned; n-grams
-    reach the driver WORD languages at a time.
+    language; at most 1 / least_share n-grams per language, since rarer ones are left out. An n-gram seen once is left out, too, where
+    the language's documents give `few` or more: a short one would else learn nothing. Every label is learned; n-grams
+    reach the driver as numbers, WORD languages at a time.
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.groupBy("lang").count().collect()
@@ -101,17 +102,17 @@ def train(labelled: DataFrame, sample: int = 500, least_share: float = 1e-5) ->
         return work
 
     tally = map_rows(pick(drawn, "text", "lang"), start, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-
-
-    tally = checkpointed(tally)
+    number = F.create_map(*[F.lit(x) for i, v in enumerate(langs) for x in (v, i)])
+    tally = checkpointed(tally.select(number[F.col("lang")].alias("lang"), "h", "n"))
     total = {r["lang"]: r["n"] for r in tally.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    least = F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, max(2.0, v * least_share))]) if total else F.lit(None)
-    chosen = tally.where(F.col("n") >= least[F.col("lang")]).select("lang", "h") if total else None
     sets: list[np.ndarray] = []
-    for at in range(0, len(langs), WORD):
-        part = langs[at : at + WORD]
-        held = chosen.where(F.col("lang").isin(part)).toPandas() if total else None
-        sets += [np.sort(held.h[held.lang == x].to_numpy(np.int64)).view(np.uint64) if total else np.zeros(0, np.uint64) for x in part]
+    if total:
+        least = F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, max(2.0 if v >= few else 1.0, v * least_share))])
+        chosen = tally.where(F.col("n") >= least[F.col("lang")]).select("lang", "h")
+        for at in range(0, len(langs), WORD):
+            held = chosen.where(F.col("lang").between(at, at + WORD - 1)).toPandas()
+            sets += [np.sort(held.h[held.lang == i].to_numpy(np.int64)).view(np.uint64) for i in range(at, min(at + WORD, len(langs)))]
+    sets = sets or [np.zeros(0, np.uint64)] * len(langs)
     size = 1 << int(SLOTS * max(1, *map(len, sets))).bit_length()
     kind, words = np.uint8 if len(langs) <= 8 else np.uint64, -(-len(langs) // WORD)
     slots, rates = np.zeros((size, words), kind), []

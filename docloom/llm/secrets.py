@@ -24,6 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a shorter run fails whole, so the length can stand in the pattern
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "markov")
+#: Columns of a table of labelled samples.
+LABELLED = {"text": "string", "secret": "boolean"}
 #: States of the models: start of a string, the printable ASCII characters, anything else.
 STATES = 97
 
@@ -72,24 +74,45 @@ def identifiers(text: str) -> Iterable[str]:
             yield ("_".join(near).lower(), "".join(x.capitalize() for x in near), "-".join(near[:2]).lower(), f"{w}_{i % 100}", "/".join(near))[i // 4 % 5]
 
 
-def fit(docs: DataFrame, sample: int = 400) -> Markov:
-    """Ordinary identifiers come from about `sample` whole documents drawn by a hash of doc_id; only transition counts are gathered."""
-    df = pick(docs, "doc_id", "text").where("text IS NOT NULL")
-    count = df.count()
-    drawn = df.where(unit_hash(F.lit("secrets"), "doc_id") < min(1.0, sample / max(1, count))).select("text")
+def _counts(texts: DataFrame, cut: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(a, b, n) of the transitions in what `cut` makes of each row's text, the one column."""
 
     def start() -> Callable:
         def work(text: list) -> list:
-            n = transitions(x for t in text for x in identifiers(ACCESS.sub(" ", HEX.sub(" ", ASSIGN.sub(" ", t)))))
+            n = transitions(x for t in text if t for x in cut(t))
             a, b = np.nonzero(n)
             return [a.tolist(), b.tolist(), n[a, b].tolist()]
 
         return work
 
+    return map_rows(texts, start, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def unmarked(text: str) -> Iterable[str]:
+    """Ordinary identifiers of a text, from what no pattern marks as a secret and no mix of digits and both cases makes suspect."""
+    plain = CANDIDATE.sub(lambda m: " " if re.search(r"\d", m[0]) else m[0], ACCESS.sub(" ", HEX.sub(" ", ASSIGN.sub(" ", text))))
+    return identifiers(plain)
+
+
+def fit(docs: DataFrame, sample: int = 400, labelled: DataFrame | None = None) -> Markov:
+    """Models of both labels; only transition counts are gathered.
+
+    Ordinary identifiers come from about `sample` whole documents drawn by a hash of doc_id, random strings from a seeded generator. Rows of
+    `labelled` (text, secret) add to either, as they are; rows without a text or a label teach nothing.
+    """
+    df = pick(docs, "doc_id", "text").where("text IS NOT NULL")
+    count = df.count()
+    drawn = df.where(unit_hash(F.lit("secrets"), "doc_id") < min(1.0, sample / max(1, count))).select("text")
     ordinary = transitions(identifiers("identifier value name index count user file path config result message data type list"))
-    for r in map_rows(drawn, start, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        ordinary[r["a"], r["b"]] += r["n"]
-    return train(transitions(random_samples()), ordinary)
+    chance = transitions(random_samples())
+    found = [(ordinary, _counts(drawn, unmarked))]
+    if labelled is not None:
+        told = pick(labelled, "text", "secret", types=LABELLED)
+        found += [(n, _counts(told.where(F.col("secret") == x).select("text"), lambda t: [t])) for n, x in ((chance, True), (ordinary, False))]
+    for n, counts in found:
+        for r in counts.collect():
+            n[r["a"], r["b"]] += r["n"]
+    return train(chance, ordinary)
 
 
 def ratio(model: Markov, token: str) -> float:
@@ -107,9 +130,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def more_spans(text: str, base: list[tuple[int, int, int]], model: Markov, margin: float, each: float) -> list[tuple[int, int, int]]:
-    out = []
+    """Candidates clear of all base spans that the models call random. Both lists are walked in order once."""
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        if all(m.end() <= s or e <= m.start() for s, _, e in base):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start():
             x = ratio(model, m[0])
             if x >= margin and x >= each * len(m[0]):
                 out.append((m.start(), 3, m.end()))
