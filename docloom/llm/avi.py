@@ -2,20 +2,22 @@
 
 Frames are lossless JPEG (process 14, SOF3, one 8-bit component), so bytes stored as samples come back unchanged. The writer's
 Huffman table gives category s a code of 9 - s bits, which makes every difference exactly 9 bits long with its s extra bits:
-frames pack and unpack as whole arrays. The decoder reads any table and the predictors 1 to 7; other tables take a loop.
+frames pack and unpack as whole arrays. The decoder reads any table and the predictors 1 to 7; other tables take a loop. Frames of
+other writers, baseline or extended sequential JPEG with any sampling, are decoded to their luminance.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docloom.llm.common import map_rows, pick
 
@@ -103,28 +105,198 @@ def any_differences(data: bytes, counts: list[int], categories: list[int], n: in
     return out
 
 
+#: Places of the 64 coefficients of a block in the order of the scan: by diagonals, turning at each end.
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+#: The Huffman tables that frames without any imply: code counts by length, and the symbols up to where all others follow in order. Fixed values.
+DC_COUNTS = ([0, 1, 5, 1, 1, 1, 1, 1, 1], [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1])
+AC_COUNTS = ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119])
+AC_FIRST = (
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+)
+
+
+#: What ends a scan: a marker that is neither a stuffed byte nor a restart.
+MARKER = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
+
+
+@lru_cache(1)
+def implied_tables() -> dict[int, tuple[bytes, bytes]]:
+    """Class and number of a table to its counts and symbols."""
+    out = {}
+    for n in (0, 1):
+        first = bytes.fromhex(AC_FIRST[n])
+        rest = sorted({16 * run + size for run in range(16) for size in range(1, 11)} - set(first))
+        out[n] = bytes(DC_COUNTS[n]).ljust(16, b"\0"), bytes(range(12))
+        out[16 + n] = bytes(AC_COUNTS[n]), first + bytes(rest)
+    return out
+
+
+@lru_cache(64)
+def lookup(counts: bytes, symbols: bytes) -> list[int]:
+    """length << 8 | symbol for each next 16 bits; 0 where no code matches."""
+    out, code, k = [0] * 65536, 0, 0
+    for length, m in enumerate(counts, 1):
+        for x in symbols[k : k + m]:
+            at, n = code << 16 - length, 1 << 16 - length
+            out[at : at + n] = [length << 8 | x] * n
+            code += 1
+        k, code = k + m, code << 1
+    return out
+
+
+@lru_cache(1)
+def cosines() -> np.ndarray:
+    x = np.arange(8)
+    c = np.cos((2 * x[:, None] + 1) * x * np.pi / 16) / 2
+    c[:, 0] = np.sqrt(1 / 8)
+    return c
+
+
+class Part(NamedTuple):
+    """A component of a frame: horizontal and vertical sampling, quantisation table, coefficients by block row and column."""
+
+    across: int
+    down: int
+    table: int
+    blocks: np.ndarray
+
+
+def read_scan(scan: bytes, units: list[list[tuple[Part, int, int, list[int], list[int]]]], every: int) -> None:
+    """Entropy decoding of one scan: units lists the blocks (part, row, column, DC and AC look-up) of each unit; predictions restart after `every` units."""
+    pieces, begin = [], 0
+    for i in range(len(scan) - 1):  # restart markers
+        if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7:
+            pieces.append(scan[begin:i])
+            begin = i + 2
+    pieces = [x.replace(b"\xff\x00", b"\xff") + bytes(8) for x in [*pieces, scan[begin:]]]
+    data, at, last, piece = pieces[0], 0, {}, 0
+
+    def bits(n: int) -> int:
+        nonlocal at
+        i = at >> 3
+        v = int.from_bytes(data[i : i + 4], "big") >> 32 - n - (at & 7) & (1 << n) - 1
+        at += n
+        return v
+
+    def symbol(table: list[int]) -> int:
+        nonlocal at
+        i = at >> 3
+        if i + 3 > len(data):
+            raise ValueError("scan ends early")
+        x = table[(data[i] << 16 | data[i + 1] << 8 | data[i + 2]) >> 8 - (at & 7) & 0xFFFF]
+        if not x:
+            raise ValueError("no such code")
+        at += x >> 8
+        return x & 255
+
+    def extended(size: int) -> int:
+        v = bits(size)
+        return v if v >> size - 1 else v - (1 << size) + 1
+
+    for n, unit in enumerate(units):
+        if every and n and n % every == 0:
+            piece += 1
+            if piece == len(pieces):
+                raise ValueError("restart marker missing")
+            data, at, last = pieces[piece], 0, {}
+        for part, row, column, dc, ac in unit:
+            block = part.blocks[row, column]
+            size = symbol(dc)
+            last[id(part)] = block[0] = last.get(id(part), 0) + (extended(size) if size else 0)
+            k = 1
+            while k < 64:
+                x = symbol(ac)
+                size = x & 15
+                if not size and x != 0xF0:
+                    break
+                k += x >> 4
+                if size:
+                    if k > 63:
+                        raise ValueError("too many coefficients")
+                    block[ZIGZAG[k]] = extended(size)
+                k += 1
+
+
+def luminance(part: Part, table: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Samples of a component at its own size."""
+    high, wide = part.blocks.shape[:2]
+    c = cosines()
+    x = c @ (part.blocks.astype(np.float64) * table).reshape(-1, 8, 8) @ c.T
+    x = np.clip(np.rint(x) + 128, 0, 255).astype(np.uint8)
+    return x.reshape(high, wide, 8, 8).swapaxes(1, 2).reshape(8 * high, 8 * wide)[:rows, :cols]
+
+
 def decode_frame(data: bytes) -> np.ndarray:
+    """Samples of a lossless frame of one component, or the luminance of a sequential one."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    at, shape, counts, categories = 2, None, [], []
+    at, shape, lossless = 2, None, False
+    parts: dict[int, Part] = {}
+    quant: dict[int, np.ndarray] = {}
+    tables = dict(implied_tables())
+    every, done = 0, set()
     while True:
+        while data[at : at + 2] == b"\xff\xff":  # fill bytes
+            at += 1
+        if data[at + 1 : at + 2] == b"\xd9" and done:
+            break
         code, length = struct.unpack_from(">xBH", data, at)
         body = data[at + 4 : at + 2 + length]
         at += 2 + length
         if code == 0xC4:
-            counts, categories = list(body[1:17]), list(body[17:])
-        elif code == 0xC3:
-            bits, rows, cols, parts = struct.unpack(">BHHB", body[:6])
-            if (bits, parts) != (8, 1):
-                raise ValueError("only one component of 8 bits")
+            while body:
+                n = sum(body[1:17])
+                tables[body[0]] = body[1:17], body[17 : 17 + n]
+                body = body[17 + n :]
+        elif code == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                own = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.float64)
+                quant[body[0] & 15] = np.zeros(64)
+                quant[body[0] & 15][ZIGZAG] = own
+                body = body[65 + 64 * wide :]
+        elif code == 0xDD:
+            every = struct.unpack(">H", body[:2])[0]
+        elif code in (0xC0, 0xC1, 0xC3):
+            bits, rows, cols, count = struct.unpack(">BHHB", body[:6])
+            lossless = code == 0xC3
+            if bits != 8 or (lossless and count != 1) or not rows or not cols:
+                raise ValueError("only samples of 8 bits, of one component in lossless frames")
             shape = rows, cols
+            told = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(count)]
+            most_x, most_y = max(x for _, x, _, _ in told), max(y for _, _, y, _ in told)
+            across, down = -(-cols // (8 * most_x)), -(-rows // (8 * most_y))
+            parts = {i: Part(x, y, q, np.zeros((0 if lossless else down * y, across * x, 64), np.int32)) for i, x, y, q in told}
         elif code == 0xDA:
-            predictor = body[3]
-            break
+            if not shape:
+                raise ValueError("scan before frame")
+            end = found.start() if (found := MARKER.search(data, at)) else len(data)
+            if lossless:
+                return lossless_samples(data[at:end], tables.get(body[2] >> 4), shape, body[3])
+            chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            coded = [(parts[i], lookup(*tables[t >> 4]), lookup(*tables[16 + (t & 15)])) for i, t in chosen]
+            if len(coded) == 1:
+                part, dc, ac = coded[0]
+                wide, high = -(-cols * part.across // (8 * most_x)), -(-rows * part.down // (8 * most_y))
+                units = [[(part, r, c, dc, ac)] for r in range(high) for c in range(wide)]
+            else:
+                units = [[(p, r * p.down + y, c * p.across + x, dc, ac) for p, dc, ac in coded for y in range(p.down) for x in range(p.across)] for r in range(down) for c in range(across)]
+            read_scan(data[at:end], units, every)
+            done |= {i for i, _ in chosen}
+            at = end
         elif 0xC0 <= code <= 0xCF and code not in (0xC8, 0xCC):
-            raise ValueError(f"JPEG process {code:x} is not lossless")
+            raise ValueError(f"JPEG process {code:x} is not read")
+    first = next(iter(parts.values()))
+    if first.table not in quant:
+        raise ValueError("no quantisation table")
+    return luminance(first, quant[first.table], -(-rows * first.down // most_y), -(-cols * first.across // most_x))
+
+
+def lossless_samples(scan: bytes, table: tuple[bytes, bytes], shape: tuple[int, int], predictor: int) -> np.ndarray:
+    counts, categories = list(table[0]), list(table[1])
     n = shape[0] * shape[1]
-    scan = data[at : data.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
+    scan = scan.replace(b"\xff\x00", b"\xff")
     if (counts, categories) == (COUNTS, CATEGORIES):
         bits = np.unpackbits(np.frombuffer(scan, np.uint8), count=9 * n).reshape(n, 9)
         d = VALUES[bits @ WEIGHTS]
@@ -241,42 +413,53 @@ def store(docs: DataFrame) -> DataFrame:
     return map_rows(pick(docs, "doc_id", "text"), lambda: lambda doc, text: [doc, [write_avi(padded(t)[1]) for t in text]], "doc_id bigint, media binary")
 
 
+#: Columns of clips().
+CLIP = "doc_id bigint, clip int, first_frame int, last_frame int, start_ms bigint, end_ms bigint, status string"
+
+
 def clips(media: DataFrame) -> DataFrame:
-    """(doc_id, clip, first_frame, last_frame, start_ms, end_ms) for rows (doc_id, media); null or broken media gives no rows."""
+    """CLIP rows of rows (doc_id, media): the shots of each with their times and status ok; media that is null or cannot be decoded gives one row
+    without a clip, whose status tells why, and media without a frame one of status empty.
+    """
 
     def start() -> Callable:
         def work(doc: list, data: list) -> list:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for d, x in zip(doc, data):
-                try:
-                    _, _, found, us = decode(x)
-                except (ValueError, KeyError, IndexError, TypeError, struct.error):
-                    continue
-                for k, (a, b) in enumerate(found):
-                    for column, v in zip(out, (d, k, a, b, a * us // 1000, (b + 1) * us // 1000)):
+                us, found, status = 0, [], "empty"
+                if x is None:
+                    status = "null"
+                else:
+                    try:
+                        _, _, found, us = decode(x)
+                    except (ValueError, KeyError, IndexError, TypeError, struct.error) as e:
+                        status = f"broken: {type(e).__name__} {e}"
+                rows = [(d, k, a, b, a * us // 1000, (b + 1) * us // 1000, "ok") for k, (a, b) in enumerate(found)] or [(d, *[None] * 5, status)]
+                for row in rows:
+                    for column, v in zip(out, row):
                         column.append(v)
             return out
 
         return work
 
-    return map_rows(media.select(F.col("doc_id").cast("bigint"), F.col("media")), start, "doc_id bigint, clip int, first_frame int, last_frame int, start_ms bigint, end_ms bigint")
+    return map_rows(pick(media, "doc_id", "media", types={"doc_id": "bigint", "media": "binary"}), start, CLIP)
 
 
 def features(docs: DataFrame) -> DataFrame:
     """Stores each text, reads the stored file back and describes it, one row a document; repeated rows stay.
 
-    feature: frames, then shots as first-last frame, then the mean histogram in thousandths.
+    feature: frames, then shots as first-last frame, then the mean histogram in thousandths. clips: the shots as start-end in milliseconds.
     """
 
     def one(text: str | None) -> tuple:
         n, payload = padded(text)
         media = write_avi(payload)
-        back, h, found, _ = decode(media)
+        back, h, found, us = decode(media)
         feature = f"{len(h)};{','.join(f'{a}-{b}' for a, b in found)};{','.join(str(int(x)) for x in np.rint(h.mean(axis=0) * 1000))}"
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, ",".join(f"{a * us // 1000}-{(b + 1) * us // 1000}" for a, b in found)
 
     def start() -> Callable:
         return lambda doc, text: [doc, *map(list, zip(*map(one, text)))]
 
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips string"
     return map_rows(pick(docs, "doc_id", "text"), start, schema)
