@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import avi, bpe, components as cc, fixity, langid, linedup, mixing, nearset, order, quality, secrets
+from docloom.llm import avi, bpe, common, components as cc, fixity, langid, linedup, mixing, nearset, order, quality, secrets
 from docloom.llm.common import checkpointed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,6 +46,34 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+# -- shared helpers ---------------------------------------------------------------------------------------------------------------
+
+
+def test_columns_are_found_as_the_session_finds_them(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "Doc_ID int, text string, other string")
+    assert common.pick(df, "doc_id", "text").first() == (1, "a") and common.pick(df, "doc_id").dtypes == [("doc_id", "bigint")]
+    both = df.toDF("doc_id", "text", "TEXT")
+    assert common.pick(both, "text", "doc_id").first() == ("a", 1)
+    with pytest.raises(ValueError):
+        common.pick(df, "lang")
+    with pytest.raises(ValueError):
+        common.pick(df.toDF("doc_id", "Text", "TEXT"), "text")
+
+
+def test_copies_and_places(spark):
+    rows = [(i % 7, f"t{i % 7}") for i in range(60)] + [(None, None)] * 5 + [(9, "hot")] * 300
+    df = spark.createDataFrame(rows, "a long, b string").repartition(5)
+    got = Counter((r.a, r.b, r.copy) for r in common.numbered_copies(df, "a").collect())
+    assert got == Counter((a, b, k) for (a, b), n in Counter(rows).items() for k in range(n))
+    r = random.Random(5)
+    weights = [(i, r.randint(0, 9)) for i in range(500)]
+    found = sorted((x.place, x.i, x.before) for x in common.in_order(spark.createDataFrame(weights, "i long, w long"), F.col("i").desc(), weight="w").collect())
+    at = 0
+    for n, (i, w) in enumerate(weights[::-1], 1):
+        assert found[n - 1] == (n, i, at)
+        at += w
+
+
 # -- mixing --------------------------------------------------------------------------------------------------------------------
 
 
@@ -136,6 +164,59 @@ def test_language_more_than_a_word_of_languages(spark):
     assert got.where("lang_pred = lang").count() == len(rows)
 
 
+def test_language_shares_equal_exact_sets(spark):
+    """The filter's shares against exact sets of n-grams, within the false-positive bound; the prediction against the exact model where that is clear."""
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(str(path)).select("doc_id", "text", "lang").collect()
+    letter = langid.letters()
+
+    def plain(text):
+        """n-grams one by one, without arrays."""
+        out, chars = [], " "
+        for c in f"{text.lower()} ":
+            if c.isalpha():
+                chars += c
+            elif not chars.endswith(" "):
+                chars += " "
+        for n in langid.ORDERS:
+            out += [chars[i : i + n] for i in range(len(chars) - n + 1)]
+        return out if any(c.isalpha() for c in chars) else None
+
+    taught = [x for x in rows if x.lang and x.text and zlib.crc32(str(x.doc_id).encode()) % 3 != 1]
+    counts = defaultdict(Counter)
+    for x in taught:
+        counts[x.lang].update(plain(x.text) or [])
+    exact = {k: {g for g, n in c.items() if n >= max(2 if sum(c.values()) >= 10_000 else 1, sum(c.values()) * 1e-5)} for k, c in counts.items()}
+    model = langid.train(docs(spark, *[(x.doc_id, x.text, x.lang) for x in taught]))
+    assert model.langs == sorted(exact)
+    got = {x.doc_id: x.lang_pred for x in langid.predict(docs(spark, *[(x.doc_id, x.text) for x in rows]), model).collect()}
+    for x in rows:
+        mine, h = plain(x.text or ""), langid.grams(x.text or "", letter)
+        assert (mine is None) == (h is None)
+        if mine is None:
+            assert got[x.doc_id] == "und"
+            continue
+        assert len(mine) == len(h)
+        want = np.array([sum(g in exact[k] for g in mine) / max(1, len(mine)) for k in model.langs])
+        # Whether a distinct n-gram passes by mistake is one draw, counted as often as it stands in the text.
+        often = sum(n * n for n in Counter(mine).values())
+        slack = 6 * np.sqrt(model.rates * (1 - model.rates) * often) / max(1, len(mine)) + 2 / max(1, len(mine))
+        assert (np.abs(langid.shares(model, h) - want) <= slack).all()
+        first, second = sorted(want)[::-1][:2]
+        if first - second > 2 * slack.max():
+            assert got[x.doc_id] == model.langs[int(np.argmax(want))]
+
+
+def test_language_short_and_equal_languages(spark):
+    """A language of one short document is learned; equal shares go to the first language in order."""
+    model = langid.train(docs(spark, (1, "kwyjibo zzyzx", "xx"), *[(10 + i, prose(60, i), "en") for i in range(30)]))
+    assert langid.predict(docs(spark, (1, "zzyzx kwyjibo")), model).first().lang_pred == "xx"
+    model = langid.train(docs(spark, (1, "same words here", "b"), (2, "same words here", "a")))
+    assert langid.predict(docs(spark, (3, "same words")), model).first().lang_pred == "a"
+
+
 # -- line dedup -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -198,6 +279,94 @@ def test_edit_join_is_complete_on_periodic_lines(spark, monkeypatch):
     assert got == {(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and edits(lines[i], lines[j]) <= 2}
 
 
+@pytest.mark.parametrize("hot", [512, 6])
+def test_line_classes_equal_components_of_all_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(linedup, "HOT", hot)
+    r = random.Random(31)
+    base = "".join(r.choice("abcdef ") for _ in range(60))
+    lines = sorted({mutated(base, r.randint(0, 6), r, "abcdef ") for _ in range(150)} | {"".join(r.choice("abc") for _ in range(25)) for _ in range(40)})
+    lines += [f"{n:05} {base}" for n in range(0, 4000, 37)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
+    up = list(range(len(lines)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for j in range(len(lines)):
+        for i in range(j):
+            if abs(len(lines[i]) - len(lines[j])) <= 2 and edits(lines[i], lines[j]) <= 2:
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    got = {x.id: x.root for x in linedup.classes(df, 2).collect()}
+    assert got == {i: find(i) for i in range(len(lines)) if find(i) != i}
+
+
+def test_line_classes_of_a_template_take_linear_work(spark, monkeypatch):
+    """Lines that all are within the threshold of each other: as many verified pairs as lines, not as many as pairs."""
+    pairs, plain = [], linedup.verified
+    monkeypatch.setattr(linedup, "verified", lambda found, lines, t: pairs.append(found.distinct().count()) or plain(found, lines, t))
+    base = prose(14, 3)
+    df = spark.createDataFrame([(i, f"{base[:40]}{chr(0x4E00 + i)}{base[40:]}") for i in range(1600)], "id long, line string")
+    got = linedup.classes(df, 2).collect()
+    assert len(got) == 1599 and {r.root for r in got} == {0} and sum(pairs) < 10_000
+
+
+def brute_removals(rows, threshold, least):
+    """(doc_id, text) rows to removed line numbers: each class of lines, by all pairs, stays at its first place only."""
+    seen = defaultdict(list)
+    for d, t in rows:
+        for n, line in enumerate((t or "").split("\n") if t is not None else []):
+            if len(line) >= least and line.strip(" "):
+                seen[line].append((d, n))
+    lines = sorted(seen)
+    up = {x: x for x in lines}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for j, y in enumerate(lines):
+        for x in lines[:j]:
+            if abs(len(x) - len(y)) <= threshold and edits(x, y) <= threshold:
+                up[find(y)] = find(x)
+    places = defaultdict(list)
+    for x in lines:
+        places[find(x)] += [(*p, x) for p in seen[x]]
+    gone = defaultdict(dict)
+    for held in places.values():
+        first = min(held)
+        for d, n, x in held:
+            if (d, n) != first[:2]:
+                gone[d][n] = x != first[2]
+    return gone
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """decide() and dedup() as wholes, over documents of shared, near and own lines."""
+    r = random.Random(77)
+    pool = [prose(8, 9000 + i) for i in range(25)]
+    rows = []
+    for i in range(60):
+        lines = [mutated(r.choice(pool), r.choice([0, 0, 1, 2, 3]), r, "abc ") if r.random() < 0.7 else prose(r.randint(0, 9), 100 * i + k) for k in range(r.randint(0, 8))]
+        rows.append((i, "\n".join(lines) if i % 13 else None))
+    want = brute_removals(rows, 2, 20)
+    got = {x.doc_id: x for x in linedup.decide(docs(spark, *rows)).collect()}
+    for d, t in rows:
+        lines = 0 if t is None else len(t.split("\n"))
+        removed = sorted(want[d])
+        assert (got[d].n_lines, got[d].n_removed, got[d].n_near, got[d].removed) == (lines, len(removed), sum(want[d].values()), ",".join(map(str, removed)))
+    texts = {x.doc_id: (x.text, x.n_chars) for x in linedup.dedup(docs(spark, *rows)).collect()}
+    for d, t in rows:
+        left = t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d])
+        if want[d] and not left.strip(" \t\n\v\f\r"):
+            assert d not in texts
+        else:
+            assert texts[d] == (left, len(left) if want[d] else None)
+
+
 def test_line_dedup(spark, odd, none):
     a, b, c = "the first line of some length", "the second line of some length", "a third one, different again"
     near = a.replace("first", "firsd")
@@ -242,6 +411,24 @@ def test_quality_line_frequency(spark, none):
     assert {r.doc_id for r in quality.keep(docs(spark, *rows), least=20).collect()} == {i for i in got if got[i].kept}
 
 
+def test_quality_cuts_frequent_lines(spark, odd, none):
+    """No kept text still holds a frequent line; what is depleted goes; other texts are untouched, hosts apart."""
+    common = "Subscribe to our  newsletter today and never miss an update again"
+    rows = [(i, f"{prose(40, i)}\n{common if i % 2 else common.upper()}\n\n{prose(40, 1000 + i)}", "en", "a", 7) for i in range(100)]
+    rows += [(200 + i, f"{common}\n{prose(80, 200 + i)}", "en", "b", 7) for i in range(3)] + [(300 + i, "\n".join([common] * 9 + [prose(9, 300 + i)]), "en", None, 7) for i in range(60)]
+    rows += [(400, rows[0][1], "en", "b", 7), (0, rows[0][1], "en", "a", 7), (None, rows[2][1], None, "a", None)]
+    got = quality.keep(docs(spark, *rows), least=20).collect()
+    assert Counter(r.doc_id for r in got) == Counter([*range(100), 0, 200, 201, 202, 400, None])
+    for r in got:
+        if r.source == "a":
+            i = 2 if r.doc_id is None else r.doc_id
+            assert r.text == f"{prose(40, i)}\n\n{prose(40, 1000 + i)}" and r.n_chars == len(r.text)
+        else:
+            assert common.lower() in r.text.lower() and r.n_chars == 7
+    assert quality.keep(odd, least=0).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert quality.keep(none).count() == 0
+
+
 def test_quality_keeps_a_text_with_many_copies(spark):
     """Exact copies under different ids are no reason to call their own lines boilerplate; real boilerplate still is."""
     clean, common = prose(80, 900), "Subscribe to our newsletter today and never miss an update again"
@@ -293,6 +480,32 @@ def test_secret_spans(spark, odd, none):
     assert secrets.scan(none, secrets.fit(none)).count() == 0
 
 
+def test_secret_markov_spans_equal_brute_force(spark):
+    """Every candidate scored character by character and tested against every base span."""
+    r = random.Random(21)
+    model = secrets.train(secrets.transitions(secrets.random_samples()), secrets.transitions(secrets.identifiers(" ".join(prose(300, i) for i in range(20)))))
+    pieces = [*secrets.random_samples(60, seed=5), "password=", "token: ", "AKIA" + "Q7" * 9, "deadbeef" * 5, *[f"{prose(5, i).replace(' ', '_')}" for i in range(40)], " ", " ", "\n", "é"]
+    for _ in range(200):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 30)))
+        base = brute_spans(text)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            x = sum(model.ratio[min(max(ord(a) - 31, 1), 96) if a else 0, ord(b) - 31] for a, b in zip(["", *m[0]], m[0]))
+            if x >= 12 and x >= 0.6 * len(m[0]) and all(m.end() <= s or e <= m.start() for _, s, e in base):
+                want.append((m.start(), 3, m.end()))
+        assert secrets.more_spans(text, secrets.base_spans(text), model, 12.0, 0.6) == want
+
+
+def test_secret_models_learn_from_labelled_rows(spark, odd):
+    """Labelled rows move the models: strings of a form of their own become secrets once they are labelled so."""
+    r = random.Random(4)
+    own = ["".join(r.choice("xyz") for _ in range(30)) for _ in range(400)]
+    told = spark.createDataFrame([(s, True) for s in own[:300]] + [(None, True), ("plain_words_here", False), ("x", None)], "text string, secret boolean")
+    plain, taught = secrets.fit(odd), secrets.fit(odd, labelled=told)
+    assert np.mean([secrets.ratio(taught, s) - secrets.ratio(plain, s) for s in own[300:]]) > 12
+    assert sum(secrets.ratio(taught, s) >= 12 for s in own[300:]) >= 95
+
+
 # -- media -----------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -346,11 +559,103 @@ def test_media_shots(spark):
     _, _, found, _ = avi.decode(avi.write_avi(b"".join(frame)))
     assert found == [(0, 2), (3, 5), (6, 6)]
     media = spark.createDataFrame([(1, avi.write_avi(b"".join(frame))), (2, b"junk"), (3, None)], "doc_id long, media binary")
-    assert [(r.clip, r.first_frame, r.start_ms, r.end_ms) for r in avi.clips(media).orderBy("clip").collect()] == [(0, 0, 0, 120), (1, 3, 120, 240), (2, 6, 240, 280)]
+    rows = avi.clips(media).collect()
+    assert sorted((r.clip, r.first_frame, r.start_ms, r.end_ms) for r in rows if r.status == "ok") == [(0, 0, 0, 120), (1, 3, 120, 240), (2, 6, 240, 280)]
+    assert {(r.doc_id, r.clip, r.status.split(":")[0]) for r in rows if r.status != "ok"} == {(2, None, "broken"), (3, None, "null")}
+    text = "a" * 4096 + "\x01" * 4096
+    assert avi.features(docs(spark, (1, text))).first().clips == "0-40,40-80"
     without = avi.write_avi(frame[0] * 2).replace(b"idx1", b"JUNK")
     assert avi.decode(without)[0] == frame[0] * 2
 
 
+class BaselineJpeg:
+    """A plain encoder of sequential frames, to have some to read: three components, sampling of the first, restarts, tables of its own or none."""
+
+    QUANT = [1 + i % 7 for i in range(64)]
+
+    def __init__(self, tables=True, every=0, down=2):
+        self.tables, self.every, self.down = tables, every, down
+        self.codes = {}
+        for n, (counts, symbols) in avi.implied_tables().items():
+            code, k = 0, 0
+            for length, m in enumerate(counts, 1):
+                for x in symbols[k : k + m]:
+                    self.codes[n, x] = f"{code:0{length}b}"
+                    code += 1
+                k, code = k + m, code << 1
+
+    def block(self, x, n, last):
+        basis = np.array([[(0.5 if u else 8**-0.5) * np.cos((2 * i + 1) * u * np.pi / 16) for u in range(8)] for i in range(8)])
+        q = np.rint((basis.T @ (x.astype(float) - 128) @ basis).ravel() / self.QUANT).astype(int)
+        places = [(0, 0)]  # the scan's order, walked step by step
+        r = c = 0
+        while len(places) < 64:
+            if (r + c) % 2 == 0:
+                r, c = (r, c + 1) if r == 0 and c < 7 else (r + 1, c) if c == 7 else (r - 1, c + 1)
+            else:
+                r, c = (r + 1, c) if c == 0 and r < 7 else (r, c + 1) if r == 7 else (r + 1, c - 1)
+            places.append((r, c))
+        v = [int(q[8 * r + c]) for r, c in places]
+
+        def amount(d):
+            size = abs(d).bit_length()
+            return size, f"{d if d >= 0 else d + (1 << size) - 1:0{size}b}" if size else ""
+
+        size, more = amount(v[0] - last)
+        bits, run = self.codes[n, size] + more, 0
+        for d in v[1:]:
+            if not d:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + self.codes[16 + n, 0xF0], run - 16
+            size, more = amount(d)
+            bits, run = bits + self.codes[16 + n, 16 * run + size] + more, 0
+        return bits + (self.codes[16 + n, 0] if run else ""), v[0]
+
+    def frame(self, y, cb, cr):
+        """y of whole units; cb and cr of half its size each way (of its size with down 1)."""
+        d, pieces, bits, last = self.down, [], "", [0, 0, 0]
+
+        def closed(bits):
+            bits += "1" * (-len(bits) % 8)
+            return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+        for n, (r, c) in enumerate((r, c) for r in range(cb.shape[0] // 8) for c in range(cb.shape[1] // 8)):
+            if self.every and n and n % self.every == 0:
+                pieces.append(closed(bits))
+                bits, last = "", [0, 0, 0]
+            for k, (plane, m) in enumerate(((y, d), (cb, 1), (cr, 1))):
+                for i in range(m):
+                    for j in range(m):
+                        at = 8 * (r * m + i), 8 * (c * m + j)
+                        b, last[k] = self.block(plane[at[0] : at[0] + 8, at[1] : at[1] + 8], min(k, 1), last[k])
+                        bits += b
+        pieces.append(closed(bits))
+        scan = b"".join(p + (bytes([0xFF, 0xD0 + i % 8]) if i < len(pieces) - 1 else b"") for i, p in enumerate(pieces))
+        out = b"\xff\xd8" + avi.marker(0xE0, b"AVI1") + avi.marker(0xDB, bytes([0, *[self.QUANT[i] for i in avi.ZIGZAG]]))
+        if self.tables:
+            out += avi.marker(0xC4, b"".join(bytes([n]) + counts + symbols for n, (counts, symbols) in avi.implied_tables().items()))
+        if self.every:
+            out += avi.marker(0xDD, struct.pack(">H", self.every))
+        out += avi.marker(0xC0, struct.pack(">BHHB", 8, y.shape[0] - 3, y.shape[1] - 5, 3) + bytes([1, 17 * d, 0, 2, 0x11, 0, 3, 0x11, 0]))
+        return out + avi.marker(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("tables,every,down", [(True, 0, 2), (False, 3, 2), (False, 0, 1), (True, 1, 1)])
+def test_media_decoder_reads_sequential_frames(tables, every, down):
+    """Frames as motion-JPEG writers make them: to luminance, within what quantisation loses."""
+    r = np.random.default_rng(5)
+    y = np.clip(np.add.outer(np.arange(48) * 3, np.arange(64) * 2) + r.integers(-9, 9, (48, 64)), 0, 255).astype(np.uint8)
+    small = (48 // down, 64 // down)
+    data = BaselineJpeg(tables, every, down).frame(y, r.integers(0, 256, small, np.uint8), r.integers(0, 256, small, np.uint8))
+    got = avi.decode_frame(data)
+    assert got.shape == (45, 59) and np.abs(got.astype(int) - y[:45, :59]).max() <= 8 and np.abs(got.astype(int) - y[:45, :59]).mean() < 2
+    for cut in (len(data) // 2, len(data) - 20):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            avi.decode_frame(data[:cut])
+
+
 # -- byte-pair encoding ----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -376,6 +681,17 @@ def test_bpe_equals_library(spark, odd, none):
     assert bpe.encode(none).count() == 0
 
 
+def test_bpe_refuses_other_vocabularies(tmp_path):
+    import json
+
+    told = json.loads(Path(bpe.default_vocabulary()).read_text(encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}}, {"decoder": {"type": "ByteLevel"}}, {"model": told["model"] | {"byte_fallback": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(told | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.WordBpe(str(path))
+
+
 def test_pair_tree():
     r = random.Random(6)
     for _ in range(200):
@@ -449,6 +765,59 @@ def test_near_duplicates_of_dense_nodes(spark, monkeypatch):
     assert sum(r.component_id == want[r.doc_id] for r in got) >= 0.98 * len(rows)
 
 
+@pytest.mark.parametrize("group,most", [(10, 12), (15, 40)])
+def test_near_duplicates_of_large_groups_are_exact(spark, monkeypatch, group, most):
+    """Groups and nodes that no task may hold meet in pairs of blocks: chains, dense copies and what a group holds beside its largest component."""
+    monkeypatch.setattr(nearset, "HOLD", most)
+    monkeypatch.setattr(nearset, "DEPTH", 1)
+    rows = near_copies(7, groups=4, each=40)
+    chain = prose(100, 5000).split()
+    for i in range(60):  # each like the next, the ends not at all
+        chain[i % 100] = f"new{i}"
+        rows.append((len(rows), " ".join(chain)))
+    rows += [(len(rows) + i, f"{rows[0][1]} {i}") for i in range(60)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nearset.duplicates(docs(spark, *rows), 2, group=group).collect())
+    assert got == sorted(brute_components(rows, 2))
+
+
+def test_near_duplicates_confirm_large_groups(spark):
+    """One group of several components, cut in blocks, against all pairs."""
+    rows = near_copies(11, groups=6, each=30)
+    df = docs(spark, *rows)
+    signed = nearset.digests(df, 2).collect()
+    ids = {r.doc_id: r.id for r in signed}
+    groups = spark.createDataFrame([(r.doc_id, r.id, 1) for r in signed], "doc_id long, id long, grp long")
+    sets = checkpointed(nearset.full_sets(df, groups, 2))
+    root = {r.id: r.root for r in cc.components(nearset.confirm_large(sets, 80, 0.5, 16)).collect()}
+    got, want = defaultdict(set), defaultdict(set)
+    for d, _, c in brute_components(rows, 2):
+        want[c].add(d)
+        got[root.get(ids[d], ids[d])].add(d)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_duplicates_recall_by_depth(spark, monkeypatch):
+    """Share of the links at the threshold that reach a common node where every node branches on `depth` times: what eight trees should find."""
+    monkeypatch.setattr(nearset, "NODE", 1)
+    monkeypatch.setattr(nearset, "WORK", 0)
+    monkeypatch.setattr(nearset, "HOLD", 1)  # every node of two is too large, down to the last depth
+    r = random.Random(3)
+    rows = []
+    for _ in range(400):
+        base = [f"w{r.randrange(10**9)}" for _ in range(181)]
+        other = base[:161] + [f"w{r.randrange(10**9)}" for _ in range(20)]  # 160 of 200 two-word shingles in common
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    df = docs(spark, *rows)
+    signed = checkpointed(nearset.digests(df, 2))
+    ids = {x.doc_id: x.id for x in signed.collect()}
+    classes = signed.select("id", "path", "sketch")
+    for depth in (1, 3):
+        monkeypatch.setattr(nearset, "DEPTH", depth)
+        found = {frozenset(x) for x in nearset.candidates(classes, 8, 0.5).collect()}
+        recall = sum(frozenset((ids[2 * i], ids[2 * i + 1])) in found for i in range(400)) / 400
+        assert recall >= 0.995
+
+
 def test_near_duplicates_keep_one(spark, odd, none):
     a = prose(80, 77)
     df = docs(spark, (5, a), (3, a), (3, a), (9, a + " x"), (4, prose(80, 78)), (1, None), (1, None), (None, a))
@@ -479,33 +848,85 @@ def test_components(spark):
 # -- fixity audit -------------------------------------------------------------------------------------------------------------------------------------------
 
 
-def test_fixity_locates_all_damage(spark):
-    rows = [(i, f"http://x/{i}", "é" * (i % 50) + prose(i % 300, i)) for i in range(700)] + [(3, "http://x/3", None), (None, "u", "h"), (None, None, None), (5, "http://x/5", "é" * 5 + prose(5, 5))]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"file": F.lit("x"), "record": F.lit("x"), "offset": F.lit("x")})
-    own = checkpointed(fixity.records(pages))
-    parts = defaultdict(list)
-    for r in own.collect():
-        parts[r.file].append(r)
-    for held in parts.values():  # offsets cover each file without gaps
+def fixity_pages(spark):
+    rows = [(i, f"http://x/{i}", "é" * (i % 50) + prose(i % 300, i)) for i in range(700)]
+    rows += [(3, "http://x/3", None), (None, "u", "h"), (None, None, None), *[(5, "http://x/5", "é" * 5 + prose(5, 5))] * 2, (9, "x", "WARC/1.1\r\n\r\nWARC/1.1\r\n")]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("file", "record", "offset", "copy", "part", "hash")})
+
+
+def test_fixity_files_hold_every_record(spark):
+    """Manifest, bytes and headers agree; repeated rows are records of their own."""
+    rows, pages = fixity_pages(spark)
+    stored = checkpointed(fixity.files(pages))
+    listed = {(r.file, r.part, r.offset): r for r in fixity.manifest(pages).collect()}
+    assert len(listed) == len(rows) and sum(r.page_id == 5 for r in listed.values()) == 3
+    found = {(r.file, r.part, r.offset): r for r in fixity.read(stored).collect()}
+    assert {k: (r.length, r.hash) for k, r in found.items()} == {k: (r.length, r.hash) for k, r in listed.items()}
+    for f in stored.collect():
         at = 0
-        for r in sorted(held, key=lambda r: r.offset):
-            assert r.offset == at and r.length == len(r.record.encode())
+        for (_, _, offset), r in sorted((k, r) for k, r in listed.items() if k[:2] == (f.file, f.part)):
+            record = bytes(f.data)[offset : offset + r.length]
+            assert offset == at and hashlib.sha256(record).hexdigest() == r.hash and record.startswith(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:")
             at += r.length
-    assert own.count() == 703
-    a = fixity.tree(own)
-    assert fixity.audit(a, fixity.tree(own)).count() == 0 and a[-1].count() == len(parts)
-    other = own.where("coalesce(page_id % 50, 0) <> 7").withColumn("record", F.when(F.col("page_id") % 60 == 11, F.concat("record", F.lit("!"))).otherwise(F.col("record")))
-    other = other.union(spark.createDataFrame([(0, 10**7, 1, 1, "new")], other.schema))
-    got = {(r.file, r.offset): r.status for r in fixity.audit(a, fixity.tree(other)).collect()}
-    want = {(r.file, r.offset): "missing" if r.page_id % 50 == 7 else "corrupt" for held in parts.values() for r in held if r.page_id is not None and (r.page_id % 50 == 7 or r.page_id % 60 == 11)}
-    assert got == want | {(0, 10**7): "extra"}
-    listed = fixity.manifest(pages)
-    assert sorted(map(str, fixity.leaves(own).collect())) == sorted(map(str, fixity.leaves(listed).collect()))
-    assert fixity.report(listed, other).where("status <> 'ok'").count() == len(want)
-    empty = fixity.records(pages.where("1 = 0"))
-    nothing = fixity.manifest(pages.where("1 = 0"))
-    assert empty.count() == 0 and fixity.report(nothing, empty).count() == 0
-    assert fixity.report(listed, empty).where("status = 'missing'").count() == 703
+        assert at == len(f.data)
+    assert sum(k[0] < 0 for k in listed) == 2  # rows without an id
+
+
+def test_fixity_splits_large_files(spark, monkeypatch):
+    rows, pages = fixity_pages(spark)
+    monkeypatch.setattr(fixity, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(fixity, "PART_BYTES", 20_000)
+    stored = checkpointed(fixity.files(pages.union(pages.where("page_id = 5").limit(1).crossJoin(spark.range(300)).drop("id"))))
+    assert stored.agg(F.max(F.length("data"))).first()[0] < 40_000 and fixity.read(stored).count() == len(rows) + 300
+
+
+def test_fixity_locates_all_damage(spark):
+    rows, pages = fixity_pages(spark)
+    stored = checkpointed(fixity.files(pages))
+    listed = checkpointed(fixity.manifest(pages))
+    assert fixity.report(listed, stored, stored).where("status <> 'ok' OR replica_offset <> offset").count() == 0
+    # The replica is written anew: records lost, altered anywhere, one added; all that follows a loss stands elsewhere.
+    lost, altered = {7, 8, 300, 511, 512, 699}, {20: 3, 301: 60, 400: -5, 698: 150}
+    want, files_b = {}, []
+    for f in stored.collect():
+        out = b""
+        for r in sorted((r for r in listed.collect() if (r.file, r.part) == (f.file, f.part)), key=lambda r: r.offset):
+            record = bytearray(bytes(f.data)[r.offset : r.offset + r.length])
+            own = r.page_id is not None and r.page_id not in (3, 5, 9)
+            if own and r.page_id in lost:
+                want[f.file, r.offset] = "missing", -1
+                continue
+            if own and r.page_id in altered:
+                record[altered[r.page_id]] ^= 1
+                want[f.file, r.offset] = None, len(out)
+            out += bytes(record)
+            if r.page_id == 100:
+                out += b"WARC/1.1\r\nWARC-Record-ID: <new>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+        files_b.append((f.file, f.part, out))
+    other = spark.createDataFrame(files_b, stored.schema)
+    got = {(r.file, r.offset): (r.status, r.replica_offset) for r in fixity.report(listed, stored, other).collect()}
+    offsets = {(r.file, r.offset): r.page_id for r in listed.collect()}
+    for k, (status, at) in got.items():
+        if k in want and want[k][0] == "missing":
+            assert (status, at) == want[k]
+        elif k in want:
+            assert (status, at) == ("corrupt", want[k][1])
+        else:
+            assert status == "ok" and at >= 0, (k, offsets[k])
+    assert sum(s == "corrupt" for s, _ in got.values()) == 4
+    audit = fixity.audit(fixity.tree(fixity.read(stored)), fixity.tree(fixity.read(other)))
+    assert audit.where("status = 'extra'").count() == 1
+    nothing = fixity.files(pages.where("1 = 0"))
+    assert nothing.count() == 0 and fixity.report(fixity.manifest(pages.where("1 = 0")), nothing, nothing).count() == 0
+    assert fixity.report(listed, stored, nothing).where("status = 'missing'").count() == len(rows)
+
+
+def test_fixity_descends_only_where_replicas_differ(spark):
+    _, pages = fixity_pages(spark)
+    a = fixity.tree(fixity.read(checkpointed(fixity.files(pages))))
+    b = list(a)
+    b[0] = b[0].withColumn("hash", F.lit("never read"))
+    assert fixity.audit(a, b).count() == 0  # equal roots
 
 
 # -- training order --------------------------------------------------------------------------------------------------------------------------------------------
@@ -519,20 +940,47 @@ def test_permutation(n):
         assert (x != order.permute(np.arange(n), n, "other")).mean() > 0.9 and abs(np.corrcoef(np.arange(n), x)[0, 1]) < 0.2
 
 
-def test_training_order(spark, odd, none):
-    got = order.index(odd, "key", stride=64, slots=16).collect()
-    texts = {(d, t) for d, t in ODD if t}
+def test_training_order(spark, odd, none, tmp_path):
+    stored = order.materialise(odd, str(tmp_path / "a"), "key", stride=64, slots=16)
+    got = order.index(stored, 64).collect()
+    # Repeated rows have sequences of their own.
+    texts = [(d, t) for d, t in ODD if t]
     parts = [(d, i, t.encode()[64 * i : 64 * i + 64]) for d, t in texts for i in range(-(-len(t.encode()) // 64))]
     assert sorted(r.slot for r in got) == list(range(len(parts)))
     want = Counter((d, i, len(p), hashlib.sha256(p.ljust(64, b"\0")).hexdigest()) for d, i, p in parts)
     assert Counter((r.doc_id, r.part, r.n_tokens, r.sha256) for r in got) == want
     assert all(r.shard == r.slot // 16 and r.offset == r.slot % 16 * 64 for r in got)
-    stored = checkpointed(order.shards(odd, "key", stride=64, slots=16))
     read = order.read_slots(stored, 5, 40, stride=64, slots=16).collect()
     digests = {r.slot: r.sha256 for r in got}
     assert {r.slot: hashlib.sha256(bytes(r.data)).hexdigest() for r in read} == {s: digests[s] for s in range(5, 45)}
-    assert sorted(map(str, order.index(odd.repartition(7), "key", stride=64, slots=16).collect())) == sorted(map(str, got))
-    assert order.index(none).count() == 0
+    again = order.materialise(odd.repartition(7), str(tmp_path / "b"), "key", stride=64, slots=16)
+    assert sorted(map(str, order.index(again, 64).collect())) == sorted(map(str, got))
+    assert order.index(order.materialise(none, str(tmp_path / "c"))).count() == 0
+
+
+def test_training_order_keeps_the_mix(spark, tmp_path):
+    """Three equal rows and another one are four sequences; the copies that mixing emits survive, in blocks of many."""
+    df = docs(spark, *[(1, "same text")] * 3, (2, "other"))
+    assert order.index(order.materialise(df, str(tmp_path / "a"))).count() == 4
+    mixed = mixing.emit(docs(spark, *[(i, prose(20 + i % 50, i), "en", f"s{i % 4}") for i in range(100)]))
+    got = order.index(order.materialise(mixed, str(tmp_path / "b"), stride=4096)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in mixed.collect())
+    many = docs(spark, *[(7, "hot")] * 500)
+    assert sorted(r.slot for r in order.index(order.materialise(many, str(tmp_path / "c"))).collect()) == list(range(500))
+
+
+def test_training_order_of_token_ids(spark, tmp_path):
+    r = random.Random(1)
+    lists = [[r.randrange(49408) for _ in range(r.randint(0, 300))] for _ in range(40)] + [None, []]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>")
+    stored = order.materialise(df, str(tmp_path / "a"), stride=16, slots=8)
+    back = {}
+    data = {x.slot: bytes(x.data) for x in order.read_slots(stored, 0, 10**6, stride=16, slots=8, width=4).collect()}
+    for x in order.index(stored, 16, 4).collect():
+        assert hashlib.sha256(data[x.slot]).hexdigest() == x.sha256
+        back[x.doc_id, x.part] = list(struct.unpack("<16I", data[x.slot]))[: x.n_tokens]
+    for i, ids in enumerate(lists):
+        assert [t for p in range(-(-len(ids or []) // 16)) for t in back[i, p]] == (ids or [])
 
 
 # -- pipeline -------------------------------------------------------------------------------------------------------------------------------------------------
