@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, linedup, mixing, nearset, quality
-from docloom.llm.common import documents, scratch
+from docloom.llm.common import documents, removed, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Tables between stages stay in the shared folder until the session's checkpoints are cleared."""
+    """The rows of the last stage, read from the shared folder. A stage's table is deleted once the next one is written."""
     docs, folder = documents(spark, sf_dir), scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
