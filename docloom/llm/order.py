@@ -151,7 +151,8 @@ def shards(docs: DataFrame, key: str = "order", stride: int = STRIDE, slots: int
 
 def materialise(docs: DataFrame, folder: str, key: str = "order", stride: int = STRIDE, slots: int = SLOTS) -> DataFrame:
     """Writes the shards as Parquet, one row a shard and a file a range of them, and gives what is stored. A lost task writes its range again."""
-    shards(docs, key, stride, slots).write.option("parquet.block.size", str(TASK_BYTES)).parquet(folder)
+    # Row groups of a few shards, so that a reader of some slots skips the others; no dictionary of records that do not recur.
+    shards(docs, key, stride, slots).write.options(**{"parquet.block.size": str(TASK_BYTES // 2), "parquet.enable.dictionary": "false"}).parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
