@@ -1013,6 +1013,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, got.collect()))
 
 
+def test_stages_take_odd_rows(spark, odd, none, tmp_path):
+    """Null ids, texts and sources, repeated rows and columns of clashing names through every stage, and through all of them in turn."""
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, "")
+        assert got.columns == columns and got.count() <= 2 * len(ODD) and stage(spark, none, "").count() == 0
+    kept = {r.doc_id for r in quality.keep(odd, least=0).collect()}
+    assert kept <= {None, 4, 5, 7}
+    assert Counter(r.doc_id for r in linedup.dedup(odd).collect())[4] == 2
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 4, 5, 7}
+    none.write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_checkpoint_cuts_lineage(spark):
     df = checkpointed(spark.range(10).withColumn("x", F.rand(1)))
     assert df.collect() == df.collect() and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
