@@ -216,7 +216,8 @@ def keyed_rows(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("index", F.explode(F.when(F.col("pos") <= threshold, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     members = checkpointed(rows.select("key", "index", "id", "line", *regions(threshold)).dropDuplicates(["key", "index", "id", "a", "b"]))
     region = F.col("line").substr(F.col("a"), F.col("b") - F.col("a"))
-    told = members.select("key", "index", "id", signature("line").alias("sig"), F.length("line").alias("chars"), region.alias("region"), "size", "left")
+    # Stored, too, since signatures are dear and these rows are read several times.
+    told = checkpointed(members.select("key", "index", "id", signature("line").alias("sig"), F.length("line").alias("chars"), region.alias("region"), "size", "left"))
     return told, members.select("id", "line").dropDuplicates(["id"])
 
 
@@ -276,8 +277,8 @@ def removals(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> Data
     lines = line_rows(docs, least_chars)
     found = checkpointed(classes(lines.select(F.xxhash64("line").alias("id"), "line"), threshold))
     seen = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
-    # The second hash, of the line turned round, differs where two lines share the first.
-    check = F.xxhash64(F.reverse("line"))
+    # The second hash, of another seed, differs where two lines share the first.
+    check = F.xxhash64(F.lit(1), "line")
     first = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"), check.alias("_c")).groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no", "id")).alias("first"), F.count("*").alias("n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
     first = first.where("_lo = _hi").join(found.union(found.select(F.col("root").alias("id"), "root").distinct()), "id", "left")
     first = checkpointed(first.where("n > 1 OR root IS NOT NULL").select("id", "root", "first"))
