@@ -126,3 +126,20 @@ def override(sys: Column | str, sub: Column | str, comp: Column | str, info: Col
             key = key & (col(comp) == c)
             exact = F.when(key, new) if exact is None else exact.when(key, new)
     return F.coalesce(exact, wild, col(info))
+
+
+def letters(n: Column) -> Column:
+    """A to Z for 0 to 25, then AA, AB and so on, to five letters: a code that stays unique and within letters where one letter does not do."""
+    out = None
+    first = 0
+    for width in range(1, 6):
+        digits = [F.char(65 + F.floor((n - first) / 26 ** (width - 1 - i)) % 26) for i in range(width)]
+        own = F.concat(*digits)
+        first += 26**width
+        out = F.when(n < first, own) if out is None else out.when(n < first, own)
+    return out
+
+
+def letter_number(variant: Column) -> Column:
+    """The number of a variant of one letter, 0 for A."""
+    return F.ascii(variant) - 65

@@ -165,3 +165,11 @@ def imperative(x: Column | str) -> Column:
 def inside(x0: Column, y0: Column, x1: Column, y1: Column, rect: Column) -> Column:
     """The centre of a block in a closed rectangle (struct x0, y0, x1, y1)."""
     return ((x0 + x1) / 2).between(rect.x0, rect.x1) & ((y0 + y1) / 2).between(rect.y0, rect.y1)
+
+
+def loose_list(text: Column | str, in_colon_list: Column | str) -> Column:
+    """Whether a row counts as a list item on the loose test: the text as written opens with a marker, or ends in ; or . without white space, or a colon above it opened a list."""
+    raw = F.col(text) if isinstance(text, str) else text
+    inside = F.col(in_colon_list) if isinstance(in_colon_list, str) else in_colon_list
+    t = pytrim(raw)
+    return F.when(starts_with_any(raw, rules.LIST_MARKERS) | t.endswith(";") | t.endswith(".") | inside, F.lit("unnumbered_list"))

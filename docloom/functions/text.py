@@ -16,7 +16,7 @@ def col(x: Column | str) -> Column:
 
 def pytrim(x: Column | str) -> Column:
     """Strips all Unicode white space, where trim() strips blanks only."""
-    return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col(x), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def squeeze(x: Column | str) -> Column:
@@ -151,7 +151,6 @@ def capital(x: Column) -> Column:
 
 def clean_title(x: Column | str) -> Column:
     """Control characters out, dashes unified, single blanks; a mostly upper-case title gets sentence case with capitals after dash and colon; final dots out."""
-    t = F.translate(pytrim(x), "\r\x07\x0b", "")
     t = F.translate(F.regexp_replace(F.regexp_replace(pytrim(x), "[\r\x07]", ""), "\x0b", " "), "−‒", "––")
     t = pytrim(squeeze(t))
     low = F.lower(t)

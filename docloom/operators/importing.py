@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import codes, rules
-from docloom.functions.similarity import seq_ratio
+from docloom.functions.similarity import ratio_bound, seq_ratio
 from docloom.functions.text import any_of, col, like, pytrim, sanitize
 
 #: P20 to P25: patterns of raw file names. Fixed values.
@@ -26,6 +26,11 @@ def junk(name: Column | str) -> Column:
     return n.startswith("~$") | n.startswith("~WRL") | F.lower(n).isin("thumbs.db", "desktop.ini") | n.endswith(".tmp")
 
 
+def work_name(text: Column | str) -> Column:
+    """The name of the work in the joined text of a card's boxes, up to the labour or the end; '' without one."""
+    return pytrim(F.regexp_extract(col(text), r"(?sU)[Нн]аименование\s+работы\s*(.+?)(?:[Тт]рудо[её]мкость|$)", 1))
+
+
 def _record(name: Column, pattern: str, kind: str, title: Column, special: Column | None = None, card: Column | None = None) -> Column:
     code = [F.regexp_extract(name, pattern, i) for i in (1, 2, 3)]
     return F.struct(
@@ -96,8 +101,9 @@ def folder_role(name: Column | str) -> Column:
 def mode(folders: DataFrame) -> DataFrame:
     """Component folders count only if no folder of a type exists. Adds used."""
     df = folders.withColumn("role", folder_role("name"))
-    typed = F.coalesce(F.bool_or(F.col("role").isin("graphics", "desc", "tech")).over(Window.partitionBy()), F.lit(False))
-    return df.withColumn("used", F.col("role").isNotNull() & (F.col("role").isin("graphics", "desc", "tech") | ~typed))
+    # One truth about all folders: a partial aggregate, of which one row reaches the driver.
+    typed = bool(df.agg(F.bool_or(F.col("role").isin("graphics", "desc", "tech"))).first()[0])
+    return df.withColumn("used", F.col("role").isNotNull() & (F.col("role").isin("graphics", "desc", "tech") | F.lit(not typed)))
 
 
 def dedup_files(files: DataFrame) -> DataFrame:
@@ -160,13 +166,29 @@ def build_modules(docs: DataFrame) -> DataFrame:
     # A table takes the letter of the 040 modules before it.
     before = F.coalesce(F.sum((F.col("info") == "040").cast("int")).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = df.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    df = df.withColumn("variant", F.when(F.col("variant") == "?", F.char(65 + before)).otherwise(F.col("variant")))
-    # The n-th repetition takes letter A + n, whatever its own letter.
-    again = F.row_number().over(Window.partitionBy(*key, "assy", "disassy", "info", "variant").orderBy("_place"))
-    df = df.withColumn("variant", F.when(again == 1, F.col("variant")).otherwise(F.char(64 + again)))
-    ratio = seq_ratio(F.lower("component_name"), F.lower("info_name"))
-    df = df.withColumn("info_name", F.when((F.col("info_name") != "") & (F.col("component_name") != "") & (ratio > 0.75), "").otherwise(F.col("info_name")))
-    return df.withColumn("dmc", codes.module_string(*[F.col(c) for c in ("sys", "sub", "comp", "assy", "disassy", "info", "variant")])).drop("_part", "_place")
+    df = df.withColumn("_v", F.when(F.col("variant") == "?", before).otherwise(codes.letter_number(F.col("variant"))))
+    # The n-th repetition takes the n-th letter after A, whatever its own letter; a code that is taken by then goes on after the last one.
+    group = [*key, "assy", "disassy", "info"]
+    again = F.row_number().over(Window.partitionBy(*group, "_v").orderBy("_place"))
+    df = df.withColumn("_v", F.when(again == 1, F.col("_v")).otherwise(again - 1))
+    taken = F.row_number().over(Window.partitionBy(*group, "_v").orderBy("_place")) > 1
+    df = df.withColumn("_taken", taken.cast("int"))
+    last = F.max("_v").over(Window.partitionBy(*group))
+    turn = F.sum("_taken").over(Window.partitionBy(*group).orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = df.withColumn("variant", codes.letters(F.when(F.col("_taken") == 1, last + turn).otherwise(F.col("_v"))))
+    df = suppress_names(df)
+    return df.withColumn("dmc", codes.module_string(*[F.col(c) for c in ("sys", "sub", "comp", "assy", "disassy", "info", "variant")])).drop("_part", "_place", "_v", "_taken")
+
+
+def suppress_names(modules: DataFrame, least: float = 0.75) -> DataFrame:
+    """info_name becomes empty where it is more than `least` like component_name, case aside. The ratio is computed once for each pair of
+    names whose lengths allow it; at most 2 * shorter / (sum of lengths) characters can match.
+    """
+    a, b = F.lower("component_name"), F.lower("info_name")
+    asked = modules.select(a.alias("_a"), b.alias("_b")).where((F.col("_a") != "") & (F.col("_b") != "") & (ratio_bound(F.col("_a"), F.col("_b")) > least)).distinct()
+    alike = asked.where(seq_ratio(F.col("_a"), F.col("_b")) > least).withColumn("_alike", F.lit(True))
+    out = modules.join(alike, (a == F.col("_a")) & (b == F.col("_b")), "left")
+    return out.withColumn("info_name", F.when(F.col("_alike"), F.lit("")).otherwise(F.col("info_name"))).drop("_a", "_b", "_alike")
 
 
 def attach_graphics(modules: DataFrame, graphics: DataFrame) -> DataFrame:

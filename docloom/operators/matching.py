@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions import predicates as P, rules
 from docloom.functions.similarity import best_ratio, ratio_bound, seq_ratio
 from docloom.functions.text import norm_text, pytrim, word_set
+from docloom.sources.store import stored
 
 KEY = "doc_id"
 
@@ -32,15 +34,28 @@ def normed(df: DataFrame, side: str) -> DataFrame:
     return df.select(KEY, F.col("idx").alias(side), norm_text("text_start").alias(f"{side}s"), norm_text(full).alias(f"{side}f"), norm_text("text_end").alias(f"{side}e"), F.col("type").alias(f"{side}t"))
 
 
+#: Elements of a document's left side that meet its right side in one task.
+BLOCK = 512
+
+
+def paired(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs of a document's elements. A document of more than `block` left elements is joined in blocks of them, each with a copy of the
+    right side, so that no task enumerates a long document's pairs alone.
+    """
+    sizes = left.groupBy(F.col(KEY).alias("_d")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    a = left.join(sizes, F.col(KEY) == F.col("_d")).withColumn("_part", F.pmod(F.xxhash64("l"), F.col("_n")).cast("int")).drop("_d", "_n")
+    b = right.join(sizes, F.col(KEY) == F.col("_d")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_d", "_n")
+    return a.join(b, [KEY, "_part"]).drop("_part")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = 0.35) -> DataFrame:
     """J2's candidates: pairs of a document whose similarity, the larger of start and full ratio, reaches `least`. (doc_id, l, r, sim)
 
     Pairs whose lengths bound both ratios below `least` are dropped before a ratio is computed, which loses none.
     """
-    pairs = left.join(right, KEY)
+    pairs = paired(left, right)
     bound = F.greatest(ratio_bound(F.col("ls"), F.col("rs")), ratio_bound(F.col("lf"), F.col("rf")))
-    # A long document's pairs are dealt by right element, else one task would score them all; the count is given since the rows are few
-    # but dear, and would otherwise be coalesced by size.
+    # Pairs are dealt by right element; the count is given since the rows are few but dear, and would otherwise be coalesced by size.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.where(bound >= least).repartition(tasks, KEY, "r").withColumn("sim", best_ratio(least)("ls", "rs", "lf", "rf"))
     return pairs.where(F.col("sim") >= least).select(KEY, "l", "r", "sim")
@@ -64,18 +79,23 @@ def greedy(pairs: DataFrame) -> DataFrame:
 
 def lcs(a: list, b: list) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence; walking back, the right list is left first unless the left step is strictly better."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i, x in enumerate(a):
-        row, above = best[i + 1], best[i]
-        for j, y in enumerate(b):
-            row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
-    out, i, j = [], n, m
+    if not a or not b:
+        return []
+    # A row of lengths at a time; of the table only one bit a cell is kept, whether the step up is strictly better.
+    names = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([names[v] for v in a]), np.array([names[v] for v in b])
+    above, up = np.zeros(len(y) + 1, np.int32), []
+    for v in x:
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.where(y == v, above[:-1] + 1, above[1:]), out=row[1:])
+        up.append(np.packbits(above[1:] > row[:-1]))
+        above = row
+    out, i, j = [], len(x), len(y)
     while i and j:
-        if a[i - 1] == b[j - 1]:
+        if x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif best[i - 1][j] > best[i][j - 1]:
+        elif up[i - 1][j - 1 >> 3] >> (7 - (j - 1 & 7)) & 1:
             i -= 1
         else:
             j -= 1
@@ -99,12 +119,16 @@ def contained(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left element with the right one that best contains it, many to one: ratio of ends (8 or more characters, 0.4) or share of
     its words (3 or more, 0.5); the first right of equals, the ends before the words.
     """
-    pairs = left.where(F.length("ls") >= 8).join(right.where("rf <> ''"), KEY)
-    end = F.when(F.length("le") >= 8, seq_ratio(F.col("le"), F.col("re")))
-    own = word_set("ls")
-    share = F.size(F.array_intersect(own, word_set("rf"))) / F.size(own)
-    score = F.greatest(F.when(end >= 0.4, end), F.when((F.size(own) >= 3) & (share >= 0.5), share))
-    pairs = pairs.withColumn("score", score).where("score IS NOT NULL")
+    # Words are split once an element; pairs whose lengths and words rule both tests out never reach Python.
+    a, b = left.where(F.length("ls") >= 8).withColumn("_lw", word_set("ls")), right.where("rf <> ''").withColumn("_rw", word_set("rf"))
+    pairs = paired(a.select(KEY, "l", "le", "_lw"), b.select(KEY, "r", "re", "_rw"))
+    share = F.size(F.array_intersect("_lw", "_rw")) / F.size("_lw")
+    pairs = pairs.withColumn("_share", F.when((F.size("_lw") >= 3) & (share >= 0.5), share))
+    asked = (F.length("le") >= 8) & (ratio_bound(F.col("le"), F.col("re")) >= 0.4)
+    pairs = pairs.where(F.col("_share").isNotNull() | asked).withColumn("le", F.when(asked, F.col("le"))).drop("_lw", "_rw")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, KEY, "r").withColumn("_end", seq_ratio(F.col("le"), F.col("re")))
+    pairs = pairs.withColumn("score", F.greatest(F.when(F.col("_end") >= 0.4, F.col("_end")), "_share")).where("score IS NOT NULL")
     return pairs.groupBy(KEY, "l").agg(F.max_by("r", F.struct("score", -F.col("r"))).alias("r"))
 
 
@@ -116,13 +140,13 @@ def compare(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     a, b = normed(left, "l"), normed(right, "r")
     first = by_stable_id(left, right)
     rest_l, rest_r = a.join(first, [KEY, "l"], "left_anti"), b.join(first, [KEY, "r"], "left_anti")
-    second = greedy(similar_pairs(rest_l, rest_r)).select(KEY, "l", "r").persist()
+    second = stored(greedy(similar_pairs(rest_l, rest_r)).select(KEY, "l", "r"))
     found = first.union(second)
     rest_l, rest_r = a.join(found, [KEY, "l"], "left_anti"), b.join(found, [KEY, "r"], "left_anti")
     third = align_types(rest_l.select(KEY, F.col("l").alias("idx"), F.col("lt").alias("type")), rest_r.select(KEY, F.col("r").alias("idx"), F.col("rt").alias("type")))
-    found = found.union(third)
+    found = stored(found.union(third))
     fourth = contained(a.join(found, [KEY, "l"], "left_anti"), b)
-    found = found.union(fourth)
+    found = stored(found.union(fourth))
     rows = found.join(a, [KEY, "l"]).join(b, [KEY, "r"])
 
     def score(x: Column, y: Column) -> Column:
@@ -134,7 +158,7 @@ def compare(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = F.when((F.col("_s") > 0) & (F.col("_e") > 0), (F.col("_s") + F.col("_e")) / 2).otherwise(F.greatest("_s", "_e"))
     top = F.greatest("_s", "_e")
     sim = F.bround(F.greatest(F.col("_b"), part, F.when(top >= 0.98, top).otherwise(F.lit(0.0))), 3)
-    matches = rows.select(KEY, "l", "r", F.col("lt").alias("type_l"), F.col("rt").alias("type_r"), sim.alias("sim"))
+    matches = stored(rows.select(KEY, "l", "r", F.col("lt").alias("type_l"), F.col("rt").alias("type_r"), sim.alias("sim")))
     counts = left.groupBy(KEY).agg(F.count("*").alias("n_l")).join(right.groupBy(KEY).agg(F.count("*").alias("n_r")), KEY, "full")
     return matches, counts.join(totals(matches), KEY, "left").select(KEY, F.coalesce("n_l", F.lit(0)).alias("left_count"), F.coalesce("n_r", F.lit(0)).alias("right_count"), F.coalesce("matched", F.lit(0)).alias("matched"), total_score())
 
@@ -186,38 +210,6 @@ def best(options: range, used: set, score: Callable[[int], float], least: float)
     return found
 
 
-def cursor_join(refs: DataFrame, elements: DataFrame) -> DataFrame:
-    """Reference rows (doc_id, idx, text_start, text_end, span) to elements (doc_id, seq, content), in order.
-
-    For each reference the best unused element from 5 before the cursor to 50 after, else anywhere; above 0.3, or 0.2 for a
-    start under 10 characters; the cursor moves past the match and its span. (doc_id, idx, seq)
-    """
-
-    def match(key, refs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("seq")
-        texts, seqs = own["content"].fillna("").tolist(), own["seq"].tolist()
-        used: set[int] = set()
-        cursor, out = 0, []
-        for r in refs.sort_values("idx").itertuples():
-            if not r.text_start:
-                continue
-            least = 0.2 if len(r.text_start) < 10 else 0.3
-
-            def score(i: int, r=r) -> float:
-                return both_ends(r.text_start, r.text_end, texts[i], True)
-
-            i = best(range(max(0, cursor - 5), min(len(texts), cursor + 50)), used, score, least)
-            if i is None:
-                i = best(range(len(texts)), used, score, least)
-            if i is not None:
-                used.add(i)
-                cursor = i + (int(r.span) or 1)
-                out.append((key[0], r.idx, seqs[i]))
-        return pd.DataFrame(out, columns=[KEY, "idx", "seq"])
-
-    return refs.groupBy(KEY).cogroup(elements.groupBy(KEY)).applyInPandas(match, "doc_id bigint, idx bigint, seq bigint")
-
-
 def sidecar(xml: DataFrame, source: DataFrame) -> DataFrame:
     """Each output element (doc_id, idx, type, text) with the best unused source element (doc_id, seq, type, content) by ratio of the first 120
     characters plus 0.1 for equal type; 0.3 at least; 0.5 if both are empty, the bonus alone if one is. (doc_id, idx, seq)
@@ -334,10 +326,10 @@ def overrides(elements: DataFrame, rules_: DataFrame, skips: DataFrame) -> DataF
     """
     start, end = pytrim(F.substring("content", 1, 60)), pytrim(F.right("content", F.lit(40)))
     r = rules_.where(pytrim("text_start") != "").select("doc_id", "rule_no", F.substring(pytrim("text_start"), 1, 30).alias("_s"), F.right(pytrim(F.coalesce("text_end", F.lit(""))), F.lit(20)).alias("_e"), "to_type")
-    # The first 3 characters must agree, so the join has an equality and no nested loop.
-    e = elements.select("doc_id", "seq", start.alias("_a"), end.alias("_b"))
+    # The first character must agree, so the join has an equality beside the document and a long document's pairs are fewer.
+    e = elements.select("doc_id", "seq", start.alias("_a"), end.alias("_b")).withColumn("_k", F.substring("_a", 1, 1))
     hit = F.startswith("_a", F.col("_s")) & (F.col("_a") != "") & ((F.col("_e") == "") | F.endswith("_b", F.col("_e")))
-    first = r.join(e, "doc_id").where(hit).groupBy("doc_id", "rule_no", "to_type").agg(F.min("seq").alias("seq"))
+    first = r.withColumn("_k", F.substring("_s", 1, 1)).join(e, ["doc_id", "_k"]).where(hit).groupBy("doc_id", "rule_no", "to_type").agg(F.min("seq").alias("seq"))
     table = F.create_map(*[F.lit(x) for kv in rules.OVERRIDE_TYPES.items() for x in kv])
     last = first.groupBy("doc_id", "seq").agg(F.max_by("to_type", "rule_no").alias("_t")).withColumn("_t", F.coalesce(F.try_element_at(table, F.col("_t")), F.col("_t")))
     out = elements.join(last, ["doc_id", "seq"], "left").withColumn("type", F.coalesce("_t", "type")).drop("_t")

@@ -32,6 +32,17 @@ def cache_key(text: Column | str, previous: Column | str, ending: Column | str,
     return F.md5(F.to_json(F.struct(col(ending).alias("prev_ending"), col(previous).alias("prev_type"), col(style).alias("style"), col(text).alias("text"))))
 
 
+def remember(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache (key, type, confidence) with new answers (key, type, confidence) in place of old ones; of several answers to one key the surest, then the first type."""
+    best = answers.groupBy("key").agg(F.min_by(F.struct("type", "confidence"), F.struct((-F.col("confidence")).alias("c"), F.col("type").alias("t"))).alias("_b")).select("key", "_b.type", "_b.confidence")
+    return cache.select("key", "type", "confidence").join(best.select("key"), "key", "left_anti").unionByName(best)
+
+
+def stats(cache: DataFrame, enabled: bool = False, available: bool = False, least: float = 0.7) -> DataFrame:
+    """One row: whether the service is used and answers, the size of the cache, and the confidence asked for."""
+    return cache.agg(F.lit(enabled).alias("llm_enabled"), F.lit(enabled and available).alias("llm_available"), F.count("*").alias("cache_size"), F.lit(least).alias("confidence_threshold"))
+
+
 def classify(rows: DataFrame, ask: Callable[[pd.Series], pd.Series] | None = None, heuristic: Column | None = None, cache: DataFrame | None = None, least: float = 0.7) -> DataFrame:
     """Adds vote (type, confidence, source): the cache's answer, else ask(prompts) of at least `least`, else the heuristic at 0.6, else paragraph at 0.3.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import codes, predicates as P, text as X
 from docloom.functions.similarity import names_match, seq_ratio
-from docloom.operators import classify as C, layout as L, matching as M, procedure as Pr, reports as R, sequence as S
+from docloom.operators import classify as C, convert as Cv, layout as L, marking as Mark, matching as M, procedure as Pr, reports as R, sequence as S
 from docloom.plans import duck as D
 from docloom.plans.registry import query
 
@@ -84,7 +84,7 @@ def ratios(left: DataFrame, right: DataFrame) -> DataFrame:
 
 @query("j5_cursor_join", "left_elements", "paras")
 def cursor(left: DataFrame, paras: DataFrame) -> DataFrame:
-    return M.cursor_join(left, paras.select("doc_id", F.col("para_idx").alias("seq"), F.col("text").alias("content")))
+    return Mark.cursor_join(left, paras.select("doc_id", F.col("para_idx").alias("seq"), F.col("text").alias("content")))
 
 
 @query("j9_split_points", "left_elements", "doc_lines", sql=f"SELECT doc_id, idx, min(seq) AS seq, arg_min(\"at\", seq)::bigint AS \"at\" FROM (SELECT l.doc_id, l.idx, e.para_idx AS seq, instr(lower(e.line), lower({D.trim('substring(' + D.trim('l.text_start') + ', 11, 30)')})) - 1 AS \"at\", substring({D.trim('l.text_start')}, 11, 30) AS p FROM {{left_elements}} l JOIN {{doc_lines}} e USING (doc_id)) WHERE \"at\" > 5 AND length({D.trim('p')}) >= 3 GROUP BY ALL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -53,6 +54,18 @@ def walk(x: ET.Element, nested: bool = False) -> Iterator[tuple[str, str]]:
             yield from walk(child, nested)
 
 
+#: A declaration of graphics and notations as modules have it; it ends at the first closed bracket. Nothing in it is ever expanded.
+DECLARED = re.compile(r"<!DOCTYPE\s+\w+\s*\[[^\]]*\]>")
+
+
+def parsed(xml: str | None) -> ET.Element | None:
+    """The root of a module; None for null and broken text. A declaration is left out, so entities beyond the standard five make a text broken."""
+    try:
+        return ET.fromstring(DECLARED.sub("", xml, count=1).encode("utf-8")) if xml else None
+    except ET.ParseError:
+        return None
+
+
 def read_modules(files: DataFrame) -> DataFrame:
     """Rows (doc_id, xml) to INFO, idx from 1. Broken XML gives no elements. Entities are not expanded beyond the standard five."""
 
@@ -60,10 +73,8 @@ def read_modules(files: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for doc, xml in zip(b["doc_id"], b["xml"]):
-                try:
-                    root = ET.fromstring(xml) if xml and "<!ENTITY" not in xml else None
-                except ET.ParseError:
-                    root = None
+                root = parsed(xml)
+                root = root.find(".//content") if root is not None and root.find(".//content") is not None else root
                 for n, (kind, text) in enumerate(walk(root) if root is not None else [], 1):
                     out.append((doc, n, kind, text[:60], text[-40:], 1))
             yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in INFO.split(",")])
@@ -157,14 +168,16 @@ def parse_markup(rows: DataFrame, column: str = "value") -> DataFrame:
 
 
 def module_headers(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, xml): code attributes and entity names from the first 4096 characters."""
+    """Rows (doc_id, xml): code attributes and names from the whole module, entity names from its first 4096 characters, as the reference lists them."""
     head = F.substring("xml", 1, 4096)
+    # The module's own code comes first; references to other modules repeat the attributes.
+    own = F.regexp_extract("xml", r"<dmCode\b([^>]*)>", 1)
 
     def attribute(name: str) -> Column:
-        return F.regexp_extract(head, rf'{name}="([^"]*)"', 1)
+        return F.regexp_extract(own, rf'\b{name}="([^"]*)"', 1)
 
     names = ["modelIdentCode", "systemCode", "subSystemCode", "assyCode", "infoCode"]
-    return files.select("doc_id", *[attribute(n).alias(n) for n in names], F.regexp_extract(head, r"<techName>([^<]*)</techName>", 1).alias("tech_name"), F.array_sort(F.array_distinct(F.regexp_extract_all(head, F.lit(r"<!ENTITY\s+(\S+)"), F.lit(1)))).alias("entities"))
+    return files.select("doc_id", *[attribute(n).alias(n) for n in names], F.regexp_extract("xml", r"<techName>([^<]*)</techName>", 1).alias("tech_name"), F.array_sort(F.array_distinct(F.regexp_extract_all(head, F.lit(r"<!ENTITY\s+(\S+)"), F.lit(1)))).alias("entities"))
 
 
 def tasks(listing: DataFrame) -> DataFrame:
@@ -229,7 +242,9 @@ def settings(text: str) -> dict[str, dict[str, str | bool | int | float]]:
 
 
 def forward_groups(rows: DataFrame) -> DataFrame:
-    """List rows (seq, system, dmc, filename): rows with a system and no code open a group, the following inherit it."""
-    w = Window.orderBy("seq")
+    """List rows (seq, system, dmc, filename, and the sheet they come from, if there are several): rows with a system and no code open a group,
+    the following of the sheet inherit it. Without a column sheet all rows are one list, which is a hand-made one of few rows.
+    """
+    w = Window.partitionBy(*[c for c in rows.columns if c == "sheet"]).orderBy("seq")
     opens = F.when(F.col("system").isNotNull() & F.col("dmc").isNull(), F.col("system"))
     return rows.withColumn("group", F.last(opens, ignorenulls=True).over(w)).where("dmc IS NOT NULL")
