@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import predicates as P
 from docloom.functions.text import like
+from docloom.operators.folds import ordered_fold
 
 
 def zones(blocks: DataFrame, height: float) -> DataFrame:
@@ -93,8 +93,8 @@ def _splits(cur: dict, prev: dict, b: dict, limit: float, indent: float) -> bool
 BLOCK = "doc_id bigint, page_num bigint, blk_seq bigint, x0 double, y0 double, x1 double, y1 double, text string, lines bigint, max_font_size double, is_bold boolean, is_italic boolean, is_table boolean"
 
 
-def merge_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    lines = pdf.sort_values(["y0", "blk_seq"], kind="stable").to_dict("records")
+def merge_page(rows: list) -> list[tuple]:
+    lines = [r._asdict() for r in rows]
     fonts = sorted(b["max_font_size"] for b in lines)
     font = fonts[len(fonts) // 2]
     gaps = [g for a, b in zip(lines, lines[1:]) if (g := b["y0"] - a["y1"]) > 0]
@@ -109,7 +109,7 @@ def merge_page(pdf: pd.DataFrame) -> pd.DataFrame:
             cur[k] = f(cur[k], b[k])
         cur["lines"] += b["lines"]
         cur["text"] += " " + b["text"]
-    return pd.DataFrame(captioned(merged)).reindex(columns=pdf.columns)
+    return [tuple(b[c] for c in rows[0]._fields) for b in captioned(merged)]
 
 
 def captioned(merged: list[dict]) -> list[dict]:
@@ -132,12 +132,11 @@ def captioned(merged: list[dict]) -> list[dict]:
 
 def merge_lines(blocks: DataFrame, tables: bool = True) -> DataFrame:
     """Lines of each page merged to paragraphs. The state of the fold (box, anchor, largest font so far) needs one pass in order, so a page
-    is the unit of a grouped map; pages are small and many.
+    is a group of an ordered fold; pages are small and many.
     """
     df = collapse_tables(blocks) if tables else blocks.withColumn("is_table", F.lit(False))
     columns = [c.strip().split()[0] for c in BLOCK.split(",")]
-    schema = BLOCK
-    made = df.select(*columns, "is_image").groupBy("doc_id", "page_num").applyInPandas(merge_page, schema + ", is_image boolean")
+    made = ordered_fold(df.select(*columns, "is_image"), ["doc_id", "page_num"], ["y0", "blk_seq"], merge_page, BLOCK + ", is_image boolean")
     return made.drop("is_image")
 
 
