@@ -167,10 +167,9 @@ class WordBpe:
                 names.append(part)
                 continue
             table, known = self.table, self.known
-            for w in self.split.findall(self.normal(part)):
-                a, b = table.get(w) or known(w)
-                packed.append(a)
-                names.append(b)
+            made = [table.get(w) or known(w) for w in self.split.findall(self.normal(part))]
+            packed += [a for a, _ in made]
+            names += [b for _, b in made]
         return b"".join(packed), " ".join(names)
 
     def decode(self, packed: bytes) -> str:

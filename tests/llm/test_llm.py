@@ -666,7 +666,8 @@ def test_bpe_equals_library(spark, odd, none):
     library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
     r = random.Random(8)
     alphabet = "abcXYZ's't'RE  \n\t\u0085 éÉΣσςİıſK12٣½!?<|>endoftext漢한é😀‍"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", "a<|endoftext|>B <|startoftext|>", "x" * 3000, "ab" * 2000, "'" * 99]
+    latin = "".join(map(chr, range(256)))
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["".join(r.choice(latin) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["".join(r.choice(latin[:128]) for _ in range(80)) for _ in range(500)] + ["", "a<|endoftext|>B <|startoftext|>", "x" * 3000, "ab" * 2000, "'" * 99]
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         packed, text = own.both(t)
         assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == e.ids
