@@ -173,6 +173,7 @@ def title_case(x: Column | str) -> Column:
 
 # -- F14, F15: prefixes of items and notes ---------------------------------------------------------------------------------
 
+#: Numbers that open list items, in order of test. Fixed values.
 NUMBER_MARKS = [
     r"^\d+\.\s*", r"^\d+\)\s*", r"^\(\d+\)\s*", r"^\d+\s*[.)]\s*", r"^[a-zA-Z]\.\s*", r"^[a-zA-Z]\)\s*", r"^\([a-zA-Z]\)\s*",
     r"^[IVXLCDM]+\.\s*", r"^[ivxlcdm]+\.\s*", r"^[IVXLCDM]+\)\s*", r"^[ivxlcdm]+\)\s*",

@@ -113,12 +113,16 @@ def write(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select("doc_id", "seq", "text", "style").groupBy("doc_id").applyInPandas(one, "doc_id bigint, content binary")
 
 
+#: Titles that name the book and not the document. Fixed values.
+BOILERPLATE = ["су-57", "руководство по технической эксплуатации", "руководство по техническому обслуживанию"]
+
+
 def titles(rows: DataFrame) -> DataFrame:
     """(doc_id, title): the first real paragraph among the first 15: 4 or more characters, neither boilerplate nor numbered."""
     from docloom.functions.text import clean_title, like, pytrim
 
     t = pytrim("text")
-    boilerplate = F.lower(t).isin("су-57", "руководство по технической эксплуатации", "руководство по техническому обслуживанию")
+    boilerplate = F.lower(t).isin(*BOILERPLATE)
     ok = rows.where("kind = 'p'").where((F.col("para_idx") < 15) & (F.length(t) >= 4) & ~boilerplate & ~like(t, r"(?U)^\d+[.)]?\s"))
     return ok.groupBy("doc_id").agg(F.min_by(clean_title("text"), "para_idx").alias("title"))
 

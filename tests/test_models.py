@@ -113,6 +113,28 @@ def test_containment(spark, sides):
     assert {(r.doc_id, r.l, r.r) for r in QUERIES["j4_contained"](spark, DATA).collect()} == want
 
 
+def test_ratios(spark, sides):
+    """F4 in argument order."""
+    left, right, _, _ = sides
+    rs = {(r.doc_id, r.idx): r.text_start for r in right.collect()}
+    want = {(a.doc_id, a.idx): round(ratio(a.text_start, rs[a.doc_id, a.idx]), 6) for a in left.collect() if (a.doc_id, a.idx) in rs and a.text_start is not None}
+    got = {(r.doc_id, r.idx): r.ratio for r in QUERIES["f4_seq_ratio"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1.5e-6 for k in want)
+
+
+def test_names_match(spark):
+    """Equal, or one of 15 or more opens the other, or alike enough."""
+    from docloom.functions.similarity import names_match
+
+    names = ["", "насос", "насос топливный", "насос топливный нт", "насос топливный нт-2", "блок управления", "управления блок", "блок управлениа", "a", "b"]
+    df = spark.createDataFrame([(x, y) for x in names for y in names], "a string, b string")
+    for r in df.select("a", "b", names_match(F.col("a"), F.col("b")).alias("m")).collect():
+        x, y = (r.a, r.b) if len(r.a) <= len(r.b) else (r.b, r.a)
+        opens = r.a == r.b or (len(x) >= 15 and y.startswith(x))
+        score = 1.0 if opens else 0.0 if not x else ratio(r.a, r.b)
+        assert (r.m.match, round(r.m.score, 9)) == (opens or score >= 0.85, round(score, 9))
+
+
 # -- reference markup -------------------------------------------------------------------------------------------------------
 
 
