@@ -22,6 +22,23 @@ def docx_round_trip(paras: DataFrame) -> DataFrame:
     return Of.read(files).where("kind = 'p'").select("doc_id", "para_idx", "text", "style")
 
 
+@query("s10_box_tables", "cells", sql="SELECT table_idx::bigint AS doc_id, 0::bigint AS table_idx, row_no::bigint AS row_no, col_no::bigint AS col_no, text || ' | second' AS paragraphs FROM {cells}")
+def box_tables(cells: DataFrame) -> DataFrame:
+    """Every other document holds its table in a text box."""
+    rows = cells.select(F.col("table_idx").cast("bigint").alias("doc_id"), "row_no", "col_no", F.concat(F.lit(" "), "text", F.lit("\n \nsecond")).alias("text"), (F.col("table_idx") % 2 == 0).alias("boxed"))
+    return Of.box_tables(Of.write_grids(rows)).select("doc_id", "table_idx", "row_no", "col_no", F.array_join("paragraphs", " | ").alias("paragraphs"))
+
+
+@query("s11_illustrations", "paras", sql=f"""SELECT doc_id, 'x-GRAPHIC' || image_no AS name, para_idx AS idx, start_char, end_char, sha256('image ' || text) AS image_sha256, CASE WHEN length(t) > 100 THEN substring(t, 1, 100) || '...' ELSE t END AS context
+  FROM (SELECT *, {D.trim('text')} AS t, end_char - length(text) AS start_char, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1 AS image_no
+    FROM (SELECT *, (sum(length(text)) OVER (PARTITION BY doc_id ORDER BY para_idx))::bigint AS end_char FROM {{paras}}) WHERE has_image)""")
+def illustrations(paras: DataFrame) -> DataFrame:
+    """Images written into office documents and found again, with their place in the text."""
+    image = F.when(F.col("has_image"), F.encode(F.concat(F.lit("image "), "text"), "UTF-8"))
+    files = Of.write(paras.select("doc_id", F.col("para_idx").alias("seq"), "text", "style", image.alias("image")))
+    return Of.illustrations(files, "x").select("doc_id", "name", "idx", "start_char", "end_char", F.sha2("image", 256).alias("image_sha256"), "context")
+
+
 @query("s12_titles", "paras", sql=rf"SELECT doc_id, min(para_idx) AS para_idx FROM {{paras}} WHERE para_idx < 15 AND length({D.trim('text')}) >= 4 AND NOT regexp_matches({D.trim('text')}, '^[0-9]+[.)]?{D.WS}') GROUP BY doc_id")
 def titles(paras: DataFrame) -> DataFrame:
     rows = paras.select("doc_id", F.lit("p").alias("kind"), "para_idx", "text")

@@ -1,6 +1,8 @@
 """Literal examples, properties against plain models, and edge cases of the operators."""
 
+import io
 import random
+import zipfile
 from difflib import SequenceMatcher
 
 import pytest
@@ -143,6 +145,58 @@ def test_office_round_trip(spark):
     assert tables.id == "tab-1" and list(tables.headers) == ["a", "b"]
 
 
+def office_file(body, relations=(), parts=()):
+    """A document of this body; relations are (id, target, external)."""
+    spaces = "".join(f' xmlns:{k}="{n[1:-1]}"' for k, n in (("w", Of.W), ("a", Of.A), ("r", Of.R), ("v", Of.V)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document{spaces}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="{i}" Target="{t}"' + (' TargetMode="External"' if e else "") + "/>" for i, t, e in relations) + "</Relationships>")
+        for name, data in parts:
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def paragraph(text, more=""):
+    return f"<w:p><w:r><w:t>{text}</w:t></w:r>{more}</w:p>"
+
+
+def test_merged_cells_and_box_texts():
+    """A cell is given for each place that it takes; the line of a paragraph is without the texts of its boxes."""
+    wide = f'<w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{paragraph("wide")}</w:tc>'
+    tall, below = f'<w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr>{paragraph("tall")}</w:tc>', "<w:tc><w:tcPr><w:vMerge/></w:tcPr><w:p/></w:tc>"
+    cell = f"<w:tc>{paragraph('a')}{paragraph('b')}</w:tc>"
+    table = f"<w:tbl><w:tr>{tall}{wide}</w:tr><w:tr>{below}{cell}{cell}</w:tr><w:tr>{below}{wide}</w:tr></w:tbl>"
+    box = f"<w:r><w:pict><v:shape><v:textbox><w:txbxContent>{paragraph('inside')}</w:txbxContent></v:textbox></v:shape></w:pict></w:r>"
+    line = f'<w:p><w:hyperlink><w:r><w:t>link</w:t><w:tab/></w:r></w:hyperlink><w:r><w:t>x</w:t><w:br/><w:br w:type="page"/><w:noBreakHyphen/></w:r>{box}</w:p>'
+    got = list(Of.parse(office_file(line + table)))
+    assert [(r["kind"], r["text"]) for r in got[:2]] == [("p", "link\tx\n-"), ("box", "inside")]
+    assert [(r["row_no"], r["col_no"], r["text"]) for r in got[2:]] == [
+        (0, 0, "tall"), (0, 1, "wide"), (0, 2, "wide"), (1, 0, "tall"), (1, 1, "a\nb"), (1, 2, "a\nb"), (2, 0, "tall"), (2, 1, "wide"), (2, 2, "wide"),
+    ]
+
+
+def test_tables_in_boxes_come_before_others(spark):
+    both, own = Of.build([], [["own"]], boxed=[["x\n\ny", ""]]), Of.build([], [["own", "z"]])
+    rows = [(1, both), (2, own), (3, b"no zip"), (4, None), (5, Of.build([]))]
+    got = Of.box_tables(spark.createDataFrame(rows, "doc_id long, content binary")).orderBy("doc_id", "col_no").collect()
+    assert [(r.doc_id, r.col_no, r.paragraphs) for r in got if not r.error] == [(1, 0, ["x", "y"]), (1, 1, []), (2, 0, ["own"]), (2, 1, ["z"])]
+    assert [r.doc_id for r in got if r.error] == [3, 4]
+
+
+def test_illustrations_and_positions(spark):
+    drawn = '<w:r><w:drawing><a:blip r:embed="{}"/></w:drawing></w:r>'.format
+    older = '<w:r><w:pict><v:shape><v:imagedata r:id="r2"/></v:shape></w:pict></w:r>'
+    body = paragraph("abc") + f"<w:p><w:r><w:t>de</w:t><w:br/><w:t>fgh</w:t></w:r>{drawn('r1')}</w:p>" + paragraph("", drawn("gone")) + paragraph("", drawn("far")) + paragraph("", drawn("lost"))
+    body += f"<w:tbl><w:tr><w:tc>{paragraph('x' * 120, older)}</w:tc></w:tr></w:tbl>"
+    file = office_file(body, [("r1", "media/image1.png", False), ("r2", "/word/media/image2.png", False), ("far", "http://h/image.png", True), ("lost", "media/image9.png", False)], [("word/media/image1.png", b"one"), ("word/media/image2.png", b"two")])
+    got = Of.illustrations(spark.createDataFrame([(7, file), (8, b"")], "doc_id long, content binary"), "p").orderBy("doc_id", "image_no").collect()
+    assert [(r.name, r.kind, r.idx, r.start_line, r.start_char, r.end_line, r.end_char, r.context, bytes(r.image)) for r in got if r.doc_id == 7] == [
+        ("p-GRAPHIC0", "p", 1, 1, 3, 2, 3, "de\nfgh", b"one"), ("p-GRAPHIC1", "table", 0, 2, 3, 2, 123, "x" * 100 + "...", b"two"),
+    ]
+    assert [r.error.split(":")[0] for r in got if r.doc_id == 8] == ["BadZipFile"]
+
+
 def test_modules_escape_and_walk(spark):
     rows = [(1, 0, "header", "А & Б"), (1, 1, "paragraph", "<b>"), (1, 2, "unnumbered_list", "x"), (1, 3, "unnumbered_list", "y"), (1, 4, "warning", "w")]
     df = A.modules(A.sections(spark.createDataFrame(rows, "doc_id long, seq long, type string, content string")))
