@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import predicates as P, rules
-from docloom.functions.similarity import best_ratio, ratio_bound, seq_ratio
+from docloom.functions.similarity import best_ratio, ratio_bound, seq_ratio, thousandths
 from docloom.functions.text import norm_text, pytrim, word_set
 from docloom.sources.store import stored
 
@@ -157,7 +157,9 @@ def compare(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumns({"_s": start, "_e": end, "_b": both})
     part = F.when((F.col("_s") > 0) & (F.col("_e") > 0), (F.col("_s") + F.col("_e")) / 2).otherwise(F.greatest("_s", "_e"))
     top = F.greatest("_s", "_e")
-    sim = F.bround(F.greatest(F.col("_b"), part, F.when(top >= 0.98, top).otherwise(F.lit(0.0))), 3)
+    # Its own column, since the rounding reads it several times.
+    rows = rows.withColumn("_sim", F.greatest(F.col("_b"), part, F.when(top >= 0.98, top).otherwise(F.lit(0.0))))
+    sim = thousandths(F.col("_sim"))
     matches = stored(rows.select(KEY, "l", "r", F.col("lt").alias("type_l"), F.col("rt").alias("type_r"), sim.alias("sim")))
     counts = left.groupBy(KEY).agg(F.count("*").alias("n_l")).join(right.groupBy(KEY).agg(F.count("*").alias("n_r")), KEY, "full")
     return matches, counts.join(totals(matches), KEY, "left").select(KEY, F.coalesce("n_l", F.lit(0)).alias("left_count"), F.coalesce("n_r", F.lit(0)).alias("right_count"), F.coalesce("matched", F.lit(0)).alias("matched"), total_score())

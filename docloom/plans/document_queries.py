@@ -55,10 +55,22 @@ def module_elements(paras: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count_if(F.col("type") == "heading").alias("headings"), F.count_if(F.col("type") != "heading").alias("others"))
 
 
+def with_annotations(pages: DataFrame) -> DataFrame:
+    """(doc_id, html) with a number, a type and an id in every block tag; the numbers fall, so that order by number isn't stream order."""
+    pieces = F.split("html", r"(?i)(?=<(?:h[1-6]|p|ul|ol|table|img)[\s>/])")
+    own = lambda x, i: F.concat(F.lit('<$1 data-anno-idx="'), (9000 - i).cast("string"), F.lit('" data-anno-type="$1" data-element-id="e'), (i % 3).cast("string"), F.lit('"'))
+    marked = F.transform(pieces, lambda x, i: F.regexp_replace(x, F.lit(r"(?i)^<(h[1-6]|p|ul|ol|table|img)(?=[\s>/])"), own(x, i)))
+    return pages.select(F.col("page_id").alias("doc_id"), F.array_join(marked, "").alias("html"))
+
+
 @query("s17_annotated", "pages")
 def annotated(pages: DataFrame) -> DataFrame:
-    html = F.regexp_replace("html", "<h1", '<h1 data-anno-idx="1" data-anno-type="heading"')
-    return Mk.read_annotated(pages.select(F.col("page_id").alias("doc_id"), html.alias("html")))
+    return Mk.read_annotated(with_annotations(pages))
+
+
+@query("s17_rendered", "pages")
+def rendered(pages: DataFrame) -> DataFrame:
+    return Mk.read_rendered(with_annotations(pages))
 
 
 @query("r1_annotate_blocks", "pages", sql=r"SELECT page_id, unnest(range(1, len(t) + 1)) AS anno_idx, unnest(t) AS tag FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<(h[1-6]|p|ul|ol|table|img)[\s>/]', 1), lambda x: lower(x)) AS t FROM {pages})")

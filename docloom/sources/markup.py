@@ -5,7 +5,7 @@ from __future__ import annotations
 import configparser
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -83,36 +83,36 @@ def read_modules(files: DataFrame) -> DataFrame:
 
 
 class Annotated(HTMLParser):
-    """Texts of elements that carry data-anno-idx and data-anno-type."""
+    """Elements that carry data-anno-idx, in stream order: number, type, stable id and pieces of text.
+
+    An element's text ends where as many tags are closed as were opened since, or where the next annotated element starts; so an inner
+    one takes what follows it. A tag without end, such as br, counts as opened. Numbers that are none mark no element.
+    """
 
     def __init__(self) -> None:
         super().__init__()
-        self.found: list[list] = []
-        self.open: list[tuple[str, int | None]] = []
+        self.found: list[tuple[int, str, str, list[str]]] = []
+        self.depth = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = dict(attrs)
-        at = None
-        if "data-anno-idx" in own:
-            at = len(self.found)
-            self.found.append([int(own["data-anno-idx"] or 0), own.get("data-anno-type") or "", ""])
-        if tag not in ("br", "img", "hr", "input", "meta", "link"):
-            self.open.append((tag, at))
+        number = (own.get("data-anno-idx") or "").strip()
+        if re.fullmatch(r"[+-]?[0-9]{1,18}", number):
+            self.found.append((int(number), own.get("data-anno-type") or "para", own.get("data-element-id") or "", []))
+            self.depth = 1
+        elif self.depth:
+            self.depth += 1
 
     def handle_endtag(self, tag: str) -> None:
-        while self.open:
-            if self.open.pop()[0] == tag:
-                break
+        self.depth = max(0, self.depth - 1)
 
     def handle_data(self, data: str) -> None:
-        for _, at in reversed(self.open):
-            if at is not None:
-                self.found[at][2] += data
-                break
+        if self.depth:
+            self.found[-1][3].append(data)
 
 
-def read_annotated(pages: DataFrame) -> DataFrame:
-    """Rows (doc_id, html) to INFO by idx."""
+def _annotated(pages: DataFrame, rows_of: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,12 +120,29 @@ def read_annotated(pages: DataFrame) -> DataFrame:
             for doc, html in zip(b["doc_id"], b["html"]):
                 p = Annotated()
                 p.feed(html or "")
-                for idx, kind, text in sorted(p.found, key=lambda x: x[0]):
-                    t = " ".join(text.split())
-                    out.append((doc, idx, kind, t[:60], t[-40:], 1))
-            yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in INFO.split(",")])
+                out += [(doc, *row) for row in rows_of(p.found)]
+            yield pd.DataFrame(out, columns=names)
+
+    return pages.select(F.col("doc_id").cast("bigint"), "html").mapInPandas(run, schema)
+
+
+def read_annotated(pages: DataFrame) -> DataFrame:
+    """S17, first form: rows (doc_id, html) to INFO with stable_id, by idx; pieces of text are stripped and joined by a blank."""
+
+    def rows_of(found: list) -> list[tuple]:
+        texts = [(idx, kind, " ".join(t for x in parts if (t := x.strip())), own) for idx, kind, own, parts in found]
+        return [(idx, kind, t[:60], t[-40:], 1, own) for idx, kind, t, own in sorted(texts, key=lambda x: x[0])]
+
+    return _annotated(pages, rows_of, INFO + ", stable_id string")
+
+
+def read_rendered(pages: DataFrame) -> DataFrame:
+    """S17, second form: rows (doc_id, html) to (doc_id, pos, idx, type, text) in stream order, pos from 0; the text is cut to 120 characters."""
+
+    def rows_of(found: list) -> list[tuple]:
+        return [(n, idx, kind, " ".join(parts).strip()[:120]) for n, (idx, kind, _, parts) in enumerate(found)]
 
-    return pages.select(F.col("doc_id").cast("bigint"), "html").mapInPandas(run, INFO)
+    return _annotated(pages, rows_of, "doc_id bigint, pos bigint, idx bigint, type string, text string")
 
 
 BLOCK_TAGS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "para", "ul": "unnumbered_list", "ol": "numbered_list", "table": "table", "img": "figure"}

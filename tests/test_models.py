@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import codes, rules
 from docloom.operators import convert as Cv, importing as imp, layout as L, marking, matching as M
-from docloom.plans import QUERIES
+from docloom.plans import QUERIES, document_queries
 from docloom.plans.registry import table
+from docloom.sources import markup as Mk
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -556,3 +557,113 @@ def test_module_headers_beyond_long_declarations(spark):
     xml = "<!DOCTYPE dmodule [" + "".join(f'<!ENTITY G{i} SYSTEM "G{i}.jpg" NDATA jpg>' for i in range(300)) + ']><dmodule><dmCode modelIdentCode="S5" systemCode="029" subSystemCode="1" assyCode="00" infoCode="040"/><techName>Насос</techName><dmRef><dmCode systemCode="000" infoCode="022"/></dmRef></dmodule>'
     got = Mk.module_headers(spark.createDataFrame([(1, xml)], "doc_id long, xml string")).first()
     assert (got.modelIdentCode, got.systemCode, got.infoCode, got.tech_name) == ("S5", "029", "040", "Насос") and "G1" in got.entities and len(got.entities) < 300
+
+
+def test_annotated_pages(spark):
+    """Tag and text events listed first, each annotated element then read up to the event that ends it."""
+    from html.parser import HTMLParser
+
+    class Events(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            listed.append(("open", dict(attrs)))
+
+        def handle_endtag(self, tag):
+            listed.append(("close", None))
+
+        def handle_data(self, data):
+            listed.append(("text", data))
+
+    first, second = set(), set()
+    pages = document_queries.with_annotations(table(spark, DATA, "pages"))
+    for r in pages.collect():
+        listed = []
+        Events().feed(r.html or "")
+        starts = [i for i, (k, a) in enumerate(listed) if k == "open" and "data-anno-idx" in a]
+        for pos, i in enumerate(starts):
+            depth, texts = 1, []
+            for k, x in listed[i + 1 : (starts + [len(listed)])[pos + 1]]:
+                depth += {"open": 1, "close": -1, "text": 0}[k]
+                if depth == 0:
+                    break
+                if k == "text":
+                    texts.append(x)
+            a, whole = listed[i][1], " ".join(x.strip() for x in texts if x.strip())
+            first.add((r.doc_id, int(a["data-anno-idx"]), a["data-anno-type"], whole[:60], whole[-40:], a["data-element-id"]))
+            second.add((r.doc_id, pos, int(a["data-anno-idx"]), a["data-anno-type"], " ".join(texts).strip()[:120]))
+    got = QUERIES["s17_annotated"](spark, DATA).select("doc_id", "idx", "type", "text_start", "text_end", "stable_id")
+    assert {tuple(r) for r in got.collect()} == first and len(first) > 500
+    assert {tuple(r) for r in QUERIES["s17_rendered"](spark, DATA).collect()} == second
+
+
+def test_annotated_ends(spark):
+    """Inner elements end outer ones, a tag without end keeps an element open, null and odd numbers mark nothing."""
+    html = '<div data-anno-idx="2" data-element-id="a">x <b> y</b>z<p data-anno-idx="1" data-anno-type="p">in</p>lost</div>'
+    rows = [(1, html), (2, '<p data-anno-idx="1">a<br>b</p>c<p data-anno-idx="x">d</p>'), (3, None), (4, "")]
+    pages = spark.createDataFrame(rows, "doc_id long, html string")
+    got = [(r.doc_id, r.idx, r.type, r.text_start, r.stable_id) for r in Mk.read_annotated(pages).collect()]
+    assert sorted(got) == [(1, 1, "p", "in", ""), (1, 2, "para", "x y z", "a"), (2, 1, "para", "a b c d", "")]
+    assert sorted((r.doc_id, r.pos, r.idx, r.text) for r in Mk.read_rendered(pages).collect()) == [(1, 0, 2, "x   y z"), (1, 1, 1, "in"), (2, 0, 1, "a b c d")]
+
+
+def test_comparison(spark, sides):
+    """A2: the phases one after the other on plain lists, then the similarity of each match and the score of each document."""
+    l_rows, r_rows, left, right = sides
+    ids = [by_doc(x.where("stable_id <> ''"), "idx") for x in (l_rows, r_rows)]
+    exact = lambda x, y: ratio(x, y) if x and y else 0.0
+    want = {}
+    for doc in left.keys() | right.keys():
+        ls, rs = left.get(doc, []), right.get(doc, [])
+        pairs, places = [], ({}, {})
+        for side, own in enumerate(ids):
+            for e in own.get(doc, []):
+                places[side].setdefault(e.stable_id, []).append(e.idx)
+        for key, found in places[0].items():
+            pairs += zip(found, places[1].get(key, []))
+        free = lambda: ([a for a in ls if a.l not in {p[0] for p in pairs}], [b for b in rs if b.r not in {p[1] for p in pairs}])
+        rest_l, rest_r = free()
+        scored = sorted((-s, a.l, b.r) for a in rest_l for b in rest_r if (s := max(exact(a.ls, b.rs), exact(a.lf, b.rf))) >= 0.35)
+        used = set(), set()
+        for _, l, r in scored:
+            if l not in used[0] and r not in used[1]:
+                used[0].add(l)
+                used[1].add(r)
+                pairs.append((l, r))
+        rest_l, rest_r = free()
+        x, y = ([rules.TYPE_CLASS.get(t, t) for t in kinds] for kinds in ([a.lt for a in rest_l], [b.rt for b in rest_r]))
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                t[i + 1][j + 1] = t[i][j] + 1 if x[i] == y[j] else max(t[i][j + 1], t[i + 1][j])
+        i, j = len(x), len(y)
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                pairs.append((rest_l[i].l, rest_r[j].r))
+            elif t[i - 1][j] > t[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        for a in free()[0]:
+            own, best = set(a.ls.split()), None
+            for b in rs if len(a.ls) >= 8 else []:
+                s = ratio(a.le, b.re) if b.rf and len(a.le) >= 8 else 0.0
+                share = len(own & set(b.rf.split())) / len(own) if len(own) >= 3 and b.rf else 0.0
+                s = max(s if s >= 0.4 else 0.0, share if share >= 0.5 else 0.0)
+                if s and (best is None or s > best[0]):
+                    best = s, b.r
+            pairs += [(a.l, best[1])] if best else []
+        at_l, at_r = {a.l: a for a in ls}, {b.r: b for b in rs}
+        sims, fit = [], 0
+        for l, r in pairs:
+            a, b = at_l[l], at_r[r]
+            s, e, both = exact(a.ls, b.rs), exact(a.le, b.re), exact(f"{a.ls} {a.le}".strip(), f"{b.rs} {b.re}".strip())
+            sims.append(round(max(both, (s + e) / 2 if s > 0 and e > 0 else max(s, e), max(s, e) if max(s, e) >= 0.98 else 0.0), 3))
+            kinds = {rules.TYPE_CLASS.get(a.lt, a.lt), rules.TYPE_CLASS.get(b.rt, b.rt)}
+            fit += len(kinds) == 1 or kinds == {"list", "heading"}
+        over = [s for s in sims if s > 0]
+        score = 0.0 if not ls or not rs else 0.4 * len(pairs) / max(len(ls), len(rs)) + 0.3 * (fit / len(pairs) if pairs else 0.0) + 0.3 * (sum(over) / len(over) if over else 0.0)
+        want[doc] = len(ls), len(rs), len(pairs), score
+    got = {r.doc_id: r for r in QUERIES["a2_comparison"](spark, DATA).collect()}
+    assert {d: (r.left_count, r.right_count, r.matched) for d, r in got.items()} == {d: w[:3] for d, w in want.items()}
+    assert all(abs(r.score - want[d][3]) <= 0.0005 + 1e-9 and r.converged == (r.score >= 0.95) for d, r in got.items())
+    assert {r.converged for r in got.values()} == {True, False}

@@ -136,6 +136,13 @@ def test_ratio(spark):
     assert got == [SequenceMatcher(None, "tide", "diet").ratio(), SequenceMatcher(None, "diet", "tide").ratio(), None, 1.0]
 
 
+def test_thousandths(spark):
+    rnd = random.Random(3)
+    xs = [k / 2000 for k in range(2001)] + [k / n for n in range(1, 200) for k in range(n + 1)] + [rnd.random() for _ in range(3000)] + [0.0625, 0.1875]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", similarity.thousandths(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [round(r.x, 3) for r in got] and one(spark, similarity.thousandths(F.col("x")), x=None) is None
+
+
 def test_office_round_trip(spark):
     data = Of.build([("Заголовок & <x>", "Heading 1"), ("", "Normal")], [["a", "b"], ["1", "2"]])
     got = Of.read(spark.createDataFrame([(1, data), (2, b"no zip")], "doc_id long, content binary")).collect()
