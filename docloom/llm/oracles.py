@@ -51,3 +51,26 @@ p AS (SELECT *, CASE WHEN sum(length) OVER (PARTITION BY file) > 33554432 THEN (
 SELECT page_id, file, part, coalesce(sum(length) OVER w, 0)::bigint AS "offset", length, sha256, CASE WHEN c % 97 = 0 THEN 'missing' WHEN c % 89 = 0 THEN 'corrupt' ELSE 'ok' END AS status,
   CASE WHEN c % 97 <> 0 THEN coalesce(sum(CASE WHEN c % 97 <> 0 THEN length END) OVER w, 0)::bigint ELSE -1 END AS replica_offset
 FROM p WINDOW w AS (PARTITION BY file, part ORDER BY page_id, sha256, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+#: CRC-32 of the words of both tables once each, by its table of 256 entries, which the reversed polynomial gives.
+IMPORTANCE = r"""WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(0, 256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+d AS (SELECT r, f, count(*) AS n FROM (SELECT r, unnest(w) AS f FROM w) GROUP BY r, f),
+known AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(f) + 1), lambda i: ('0x' || substring(hex(encode(f)), 2 * i - 1, 2))::bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 10000 AS b FROM (SELECT f FROM d UNION SELECT f FROM b), tab),
+corpus AS (SELECT b, sum(n)::double AS s FROM d JOIN known USING (f) GROUP BY b),
+target AS (SELECT b, count(*)::double AS t FROM b JOIN known USING (f) GROUP BY b),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM corpus) AS all_s, (SELECT coalesce(sum(t), 0) FROM target) AS all_t),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::bigint AS g FROM corpus LEFT JOIN target USING (b), sums),
+weights AS (SELECT r, sum(n)::bigint AS n, floor(sum(n * g)::double / sum(n))::bigint AS weight FROM d JOIN known USING (f) JOIN gain USING (b) GROUP BY r),
+scored AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint AS score FROM w LEFT JOIN weights USING (r)),
+ranks AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20 QUALIFY rank <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20))
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN ranks USING (r)"""
+
+NEGATIVES = r"""WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::bigint + 1) % 10 ELSE label::bigint END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, a.label AS l, r.id AS id, r.label AS label, list_dot_product(a.v, r.v)::bigint AS s FROM e a JOIN e r ON a.id % 100 = 0 AND a.id <> r.id),
+p AS (SELECT a, id AS p, s AS ps FROM s WHERE label = l QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, id) <= 5),
+n AS (SELECT p.a, p, ps, s.id AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p ORDER BY s.s DESC, s.id) AS rank FROM p JOIN s ON s.a = p.a AND s.label <> s.l AND 80 * ps <= 100 * s.s AND s.s <= ps QUALIFY rank <= 5)
+SELECT a AS anchor_id, p AS positive_id, rank::int AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import avi, bpe, fixity, langid, linedup, mixing, nearset, oracles, order, quality, secrets
+from docloom.llm import avi, bpe, fixity, importance, langid, linedup, mixing, nearset, negatives, oracles, order, pii, quality, secrets
 from docloom.llm.common import checkpointed, documents, scratch
 
 
@@ -58,6 +58,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearset.duplicates(documents(spark, sf_dir), k=2)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir)).drop("found")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order": op8_order,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
+    "op11_pii": op11_pii,
+    "op12_importance": op12_importance,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": oracles.MIXING, "op4_quality": oracles.QUALITY, "op5_fixity": oracles.FIXITY, "op10_minhash": oracles.NEAR}
+ORACLES: dict[str, str] = {"op1_mixing": oracles.MIXING, "op4_quality": oracles.QUALITY, "op5_fixity": oracles.FIXITY, "op10_minhash": oracles.NEAR, "op12_importance": oracles.IMPORTANCE, "op13_negatives": oracles.NEGATIVES}
