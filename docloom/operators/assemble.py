@@ -92,11 +92,11 @@ def table_titles(rows: DataFrame) -> DataFrame:
 
 
 def procedure_xml(steps: DataFrame) -> DataFrame:
-    """Steps (doc_id, seq, parent_seq, text), at most two deep, to one mainProcedure a document; ids run in pre-order."""
+    """Steps (doc_id, seq, parent_seq, text, and items, an array, if there are any), at most two deep, to one mainProcedure a document; ids run in pre-order."""
     top = F.coalesce("parent_seq", "seq")
     w = Window.partitionBy("doc_id").orderBy(top, F.col("parent_seq").isNotNull(), "seq")
     df = steps.withColumns({"_top": top, "_id": F.concat(F.lit("stp-"), F.lpad(F.row_number().over(w).cast("string"), 5, "0"))})
-    opening = F.concat(F.lit('<proceduralStep id="'), F.col("_id"), F.lit('">'), tag("para", esc("text")))
+    opening = F.concat(F.lit('<proceduralStep id="'), F.col("_id"), F.lit('">'), tag("para", F.concat(esc("text"), list_xml(F.col("items"))) if "items" in steps.columns else esc("text")))
     sub = F.when(F.col("parent_seq").isNotNull(), F.struct("seq", F.concat(opening, F.lit("</proceduralStep>")).alias("x")))
     out = df.groupBy("doc_id", "_top").agg(F.max(F.when(F.col("parent_seq").isNull(), opening)).alias("_o"), F.array_join(F.transform(F.array_sort(F.collect_list(sub)), lambda s: s.x), "").alias("_s"))
     whole = F.concat(F.coalesce("_o", F.lit("<proceduralStep>")), "_s", F.lit("</proceduralStep>"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import codes, predicates as P, rules
-from docloom.operators import assemble as A, convert as Cv, importing as imp, marking, sequence as S, votes
+from docloom.operators import assemble as A, assembly, convert as Cv, importing as imp, marking, sequence as S, votes
 from docloom.plans import duck as D
 from docloom.plans.document_queries import ESC
 from docloom.plans.registry import query
@@ -110,6 +110,18 @@ def converted(paras: DataFrame, refs: DataFrame) -> DataFrame:
     return Cv.convert(paras, heads(paras), refs)[1]
 
 
+@query("x1_descriptions", "paras")
+def descriptions(paras: DataFrame) -> DataFrame:
+    """Descriptions with tables and their titles, figures of several sheets, nested lists, cut paragraphs and warnings after content."""
+    k = (F.col("doc_id") + F.col("para_idx")) % 14
+    kinds = ["header", "paragraph", "unnumbered_list", "nested_unnumbered_list", "numbered_paragraph_header", "warning", "note", "illustration", "table", "caution", "numbered_list", "nested_numbered_list", "illustration_reference", "paragraph"]
+    kind = F.when(F.col("para_idx") % 37 == 36, "title").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (k + 1).cast("int")))
+    words = F.split(F.col("text"), " ")
+    cells = F.when((kind == "table") & (F.col("para_idx") % 2 == 0), F.array(F.slice(words, 1, 3), F.slice(words, 4, 2)))
+    rows = paras.select("doc_id", F.col("para_idx").alias("seq"), kind.alias("type"), F.col("text").alias("content"), cells.alias("rows"), F.when(k == 13, F.array(F.lit(40), F.lit(12))).alias("splits"), F.when(k == 7, (F.col("para_idx") % 3).cast("int")).alias("sheets"), F.floor(F.col("para_idx") / 2).alias("ref_idx"), F.lit("GS5").alias("graphic_prefix"))
+    return assembly.described(rows)
+
+
 @query("j6_marked", "left_elements", "paras")
 def marked(refs: DataFrame, paras: DataFrame) -> DataFrame:
     """J5 to J9 as one: every element with its type after the markup, by whom and in which phase."""

@@ -170,3 +170,28 @@ def test_given_schemas(spark):
     got = {(x.doc_id, x.message) for x in S.violations(trees.nodes(spark.createDataFrame(files, "doc_id long, xml string")), kinds).collect()}
     assert (1, "Element 'content': This element is not expected. Expected is one of ( {http://www.w3.org/1999/02/22-rdf-syntax-ns#}Description, identAndStatusSection ).") in got
     assert [m for d, m in got if d == 2 and m.startswith("Element 'warning': This element is not expected. Expected is one of ( note,")] and len(got) == 2
+
+
+@pytest.mark.skipif(not XSD.exists(), reason="no schemas")
+def test_generated_modules_against_the_given_schemas(spark):
+    """V4 with schemas: what the modules of documents with all kinds of elements violate is known, and is counted for each document."""
+    from docloom.operators import convert as Cv
+    from docloom.plans import QUERIES
+    from docloom.plans.convert_queries import heads
+    from docloom.plans.registry import table
+
+    data = "/root/testdata/sf0.001"
+    paras = table(spark, data, "paras").where("doc_id < 40")
+    refs = table(spark, data, "left_elements").where("doc_id < 40")
+    schemas = {k: S.read_schema(spark, str(XSD / f"{n}.xsd"), [str(XSD / "xlink.xsd")]) for k, n in (("description", "descript"), ("procedure", "proced"))}
+    modules = Cv.convert(paras, heads(paras), refs)[1]
+    nodes = trees.nodes(modules)
+    each = S.violations(nodes.where("doc_id % 2 = 0"), schemas["description"], ["dmodule"]).unionByName(S.violations(nodes.where("doc_id % 2 = 1"), schemas["procedure"], ["dmodule"])).collect()
+    counts = {}
+    for x in each:
+        counts[x.doc_id] = counts.get(x.doc_id, 0) + 1
+    got = {r.doc_id: r.errors for r in Cv.verify(paras, heads(paras), refs, schemas=schemas).collect()}
+    assert got == {d: counts.get(d, 0) for d in got} and len(got) > 30
+    # A warning never stands behind other content of its section, whatever the source has.
+    assert not [x for x in each if x.tag in ("warning", "caution", "title")]
+    assert "x1_descriptions" in QUERIES
