@@ -101,7 +101,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         told = sc.getConf().get("spark.checkpoint.dir")
-        if not told and not sc.master.startswith(("local[", "local")):
+        if not told and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, maybe_broadcast, pick
+from docloom.llm.common import BROADCAST_BYTES, ROW_BYTES, checkpointed, maybe_broadcast, pick
 from docloom.llm.components import components
 
 #: Rows (lines by region) under one key that are paired at once, and the refinements tried to get there.
@@ -182,17 +182,26 @@ def refine(rows: DataFrame) -> DataFrame:
     return made.select("_k.key", "index", "id", "comp", "sig", "chars", "_k.region", "_k.size", "_k.left").where("key IS NOT NULL")
 
 
-def pairs(rows: DataFrame, threshold: int) -> DataFrame:
+def pairs(rows: DataFrame, threshold: int, blocks: bool = False) -> DataFrame:
     """Index lines joined with the lines of other components that probe them, by key, where lengths and signatures allow the edits: (a, b).
 
     Here a line counts once under a key, whatever its regions. Lines of the key's main component are not enumerated against each other.
+    With `blocks`, the lines of a key are dealt to blocks of about HOT, which meet two by two: no task gets a key of any size as a whole.
     """
-    rows = rows.select("key", "index", "id", "comp", "sig", "chars", (F.col("comp") == F.col("main")).alias("main")).dropDuplicates(["key", "index", "id"])
+    rows = rows.select("key", "index", "id", "comp", "sig", "chars", "n", (F.col("comp") == F.col("main")).alias("main")).dropDuplicates(["key", "index", "id"])
     near = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= 2 * threshold
     turn = (F.col("a.chars") < F.col("b.chars")) | ((F.col("a.chars") == F.col("b.chars")) & (F.col("a.id") < F.col("b.id")))
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & near & turn
 
+    if blocks:
+        met = met & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        count = F.ceil(F.col("n") / HOT).cast("int")
+        return side.withColumn(own, F.pmod(F.xxhash64("id"), count).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), count - 1))) if blocks else side
+
     def joined(index: DataFrame, probing: DataFrame) -> DataFrame:
+        index, probing = dealt(index, "_i", "_j"), dealt(probing, "_j", "_i")
         return index.alias("a").join(probing.alias("b"), met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
     index, probing = rows.where("index"), rows.where("NOT index")
@@ -225,7 +234,7 @@ def joined_keys(rows: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs (a, b) of rows as keyed_rows() gives them, with a column comp: lines of one component are not paired.
 
     Up to HOT rows under one key are compared with each other. Refinement stops after LEVELS rounds; the lines still under
-    one key then differ only within a small region, and are paired.
+    one key then differ only within a small region, and are paired in blocks.
     """
     rows = rows.join(_several(rows), "key")
     out = pairs(rows.where(F.col("n") <= HOT), threshold)
@@ -234,9 +243,10 @@ def joined_keys(rows: DataFrame, threshold: int) -> DataFrame:
         if hot.isEmpty():
             break
         rows = shared(refine(hot), "region")
-        few = (F.col("n") <= HOT) if level < LEVELS - 1 else F.lit(True)
-        out = out.union(pairs(rows.where(few), threshold))
-        hot = rows.where(~few)
+        out = out.union(pairs(rows.where(F.col("n") <= HOT), threshold))
+        hot = rows.where(F.col("n") > HOT)
+    else:
+        out = out.union(pairs(hot, threshold, blocks=True))
     return out
 
 
@@ -269,25 +279,41 @@ def classes(lines: DataFrame, threshold: int = 2) -> DataFrame:
     return known.withColumnRenamed("_id", "id") if rest.isEmpty() else components(first.union(rest))
 
 
+def repeated(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Of a stored table (id, n, first), the most repeated lines, as many as `most` bytes hold: those of at least 2, 4, 8 or so occurrences."""
+    level = F.floor(F.log2("n")).cast("int")
+    counts = sorted((-r["_l"], r["_k"]) for r in table.where("n > 1").groupBy(level.alias("_l")).agg(F.count("*").alias("_k")).collect())
+    least, held = 64, 0
+    for minus, k in counts:
+        held += k * (ROW_BYTES + 64)
+        if held > most:
+            break
+        least = -minus
+    return table.where(level >= least).select(F.col("id").alias("_id"), F.col("first").alias("_first"))
+
+
 def removals(docs: DataFrame, threshold: int = 2, least_chars: int = 20) -> DataFrame:
     """(doc_id, th, removed: sorted array of line numbers from 0, n_near), one row for each document that loses a line.
 
-    n_near counts removed lines whose text differs from the one that stays.
+    n_near counts removed lines whose text differs from the one that stays. Of a line that occurs often only the first occurrence is looked up: the others are
+    known by its hash. Which lines these are is broadcast, as far as that fits; a line left out for that is looked up a few times over, with one result.
     """
-    lines = line_rows(docs, least_chars)
-    found = checkpointed(classes(lines.select(F.xxhash64("line").alias("id"), "line"), threshold))
-    seen = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
+    lines = line_rows(docs, least_chars).withColumn("id", F.xxhash64("line"))
+    place = F.struct("doc_id", "th", "line_no", "id")
     # The second hash, of another seed, differs where two lines share the first.
     check = F.xxhash64(F.lit(1), "line")
-    first = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"), check.alias("_c")).groupBy("id").agg(F.min(F.struct("doc_id", "th", "line_no", "id")).alias("first"), F.count("*").alias("n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
-    first = first.where("_lo = _hi").join(found.union(found.select(F.col("root").alias("id"), "root").distinct()), "id", "left")
+    table = lines.select("doc_id", "th", "line_no", "id", check.alias("_c")).groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
+    table = checkpointed(table)
+    at = lambda first: F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("th") == first["th"]) & (F.col("line_no") == first["line_no"])
+    once = lines.join(F.broadcast(repeated(table)), F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | at(F.col("_first")))
+    found = checkpointed(classes(once.select("id", "line"), threshold))
+    first = table.where("_lo = _hi").join(found.union(found.select(F.col("root").alias("id"), "root").distinct()), "id", "left")
     first = checkpointed(first.where("n > 1 OR root IS NOT NULL").select("id", "root", "first"))
     linked = first.where("root IS NOT NULL")
     best = linked.groupBy("root").agg(F.min("first").alias("best")).select(F.col("root").alias("_root"), "best")
     first = first.join(best, F.col("root") == F.col("_root"), "left").select(F.col("id").alias("_id"), F.coalesce("best", "first").alias("first"))
-    gone = seen.join(first, F.col("id") == F.col("_id"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line_no") == F.col("first.line_no"))
-    gone = gone.where(~stays).select("doc_id", "th", "line_no", (F.col("id") != F.col("first.id")).cast("bigint").alias("near"))
+    gone = lines.select("doc_id", "th", "line_no", "id").join(first, F.col("id") == F.col("_id"))
+    gone = gone.where(~at(F.col("first"))).select("doc_id", "th", "line_no", (F.col("id") != F.col("first.id")).cast("bigint").alias("near"))
     # Repeated rows of one document lose a line once; the lines of a document are few, so a set in the aggregate suffices.
     gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"), F.size(F.collect_set(F.when(F.col("near") == 1, F.col("line_no")))).cast("bigint").alias("n_near"))
     return gone

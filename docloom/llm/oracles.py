@@ -16,12 +16,13 @@ drawn AS (SELECT source, arg_min(k, off * 1000.0 + k / 1000.0) AS k FROM tries G
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN {UNIT} < rate - floor(rate) THEN 1 ELSE 0 END))::bigint AS taken
 FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source JOIN drawn d ON s.source IS NOT DISTINCT FROM d.source"""
 
-QUALITY = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS w, row_number() OVER () AS r FROM documents),
-lines AS (SELECT r, doc_id, source, n, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d)),
+QUALITY = f"""WITH d AS (SELECT doc_id, source, md5(text) AS t, coalesce(text, '') AS text, {WORDS} AS w, row_number() OVER () AS r FROM documents),
+voter AS (SELECT source, t, coalesce(min(doc_id), -1) AS v FROM d GROUP BY source, t),
+lines AS (SELECT r, t, source, n, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw FROM (SELECT r, t, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d)),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM lines WHERE len(lw) > 0 GROUP BY r),
-norm AS (SELECT r, doc_id, source, lower(array_to_string(lw, ' ')) AS h, len(lw) AS k FROM lines WHERE len(lw) > 0),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-often AS (SELECT n.source, h FROM norm n JOIN hosts o ON n.source IS NOT DISTINCT FROM o.source GROUP BY n.source, h, docs HAVING count(DISTINCT coalesce(doc_id, -1)) > greatest(50.0, 0.1 * docs)),
+norm AS (SELECT r, t, source, lower(array_to_string(lw, ' ')) AS h, len(lw) AS k FROM lines WHERE len(lw) > 0),
+hosts AS (SELECT source, count(DISTINCT v) AS docs FROM voter GROUP BY source),
+often AS (SELECT n.source, h FROM norm n JOIN voter v ON n.source IS NOT DISTINCT FROM v.source AND n.t = v.t JOIN hosts o ON n.source IS NOT DISTINCT FROM o.source GROUP BY n.source, h, docs HAVING count(DISTINCT v) > greatest(50.0, 0.1 * docs)),
 gone AS (SELECT r, sum(k)::bigint AS n FROM norm n WHERE EXISTS (SELECT 1 FROM often o WHERE o.h = n.h AND o.source IS NOT DISTINCT FROM n.source) GROUP BY r),
 wins AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS c FROM wins) WHERE c > 1) GROUP BY r),

@@ -76,32 +76,32 @@ def digests(docs: DataFrame) -> DataFrame:
     return map_rows(df, start, f"doc_id bigint, th bigint, source string, {DIGEST}")
 
 
-def frequent_lines(digest: DataFrame, share: float = 0.1, least: int = 50, copies: bool = True) -> DataFrame:
-    """(source, h) of lines in more distinct documents of a host than max(least, share * the host's documents).
+def frequent_lines(digest: DataFrame, share: float = 0.1, least: int = 50, copies: bool = False) -> DataFrame:
+    """(source, h) of lines that more voters of a host carry than max(least, share * the host's voters).
 
-    Without `copies`, the copies of one text in a host count once, as the document of the least id.
-    The plain count bounds the distinct ones from above, so documents are told apart only for lines whose plain count passes.
+    A voter is a document of the host, repeated rows of one doc_id being one; without `copies`, the copies of one text are one voter, the document of
+    the least id, in the count and in the limit alike. The plain count bounds the voters from above, so they are told apart only for lines whose plain count passes.
     """
+    def voters(rows: DataFrame, *by: str) -> DataFrame:
+        one = rows if copies else rows.groupBy("source", *by, "th").agg(F.min("doc_id").alias("doc_id"))
+        return one.select("source", *by, "doc_id").distinct().groupBy("source", *by).agg(F.count("*").alias("n"))
+
     lines = digest.select("source", "doc_id", "th", F.explode("lines.h").alias("h"))
-    limit = F.greatest(F.lit(float(least)), F.lit(float(share)) * F.col("docs"))
-    hosts = digest.groupBy("source").agg(F.count("*").alias("docs")).withColumnRenamed("source", "_s")
+    hosts = voters(digest.select("source", "doc_id", "th")).select(F.col("source").alias("_s"), F.greatest(F.lit(float(least)), F.lit(float(share)) * F.col("n")).alias("limit"))
     often = lines.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    often = often.join(hosts, often.source.eqNullSafe(hosts._s)).where(F.col("n") > limit)
-    often = often.select(F.col("source").alias("_s"), F.col("h").alias("_h"), "docs")
+    often = often.join(hosts, often.source.eqNullSafe(hosts._s)).where(F.col("n") > F.col("limit"))
+    often = often.select(F.col("source").alias("_s"), F.col("h").alias("_h"), "limit")
     exact = lines.join(often, lines.source.eqNullSafe(often._s) & (lines.h == often._h))
-    if not copies:
-        exact = exact.groupBy("source", "h", "docs", "th").agg(F.min("doc_id").alias("doc_id"))
-    exact = exact.select("source", "h", "docs", "doc_id").distinct().groupBy("source", "h", "docs").agg(F.count("*").alias("n"))
-    return exact.where(F.col("n") > limit).select("source", "h")
+    return voters(exact, "h", "limit").where(F.col("n") > F.col("limit")).select("source", "h")
 
 
-def verdicts(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int = 70, copies: bool = True) -> DataFrame:
+def verdicts(docs: DataFrame, share: float = 0.1, least: int = 50, depleted: int = 70, copies: bool = False) -> DataFrame:
     """One row a document: doc_id, th (hash of the text), the counts, n_removed (words in frequent lines), cut (hashes of its frequent lines), base_failed and kept.
 
     kept is false if base_failed (under 50 words, or over half of them in repeated 3-word windows), or if frequent lines hold
     more than `depleted` percent of the words. The host of a document is its source; a null source is a host of its own.
     Repeated rows of one doc_id count as one document of a host, rows without an id likewise; each row is judged and stays.
-    Documents with one text count each (as in the SQL of op4_quality), or once for all of them without `copies`.
+    Documents with one text count once for all of them, so a text copied many times does not make its own lines boilerplate; with `copies`, each counts.
     Frequent lines meet the digests' lines by (host, hash); only documents that have one go on from there.
     """
     digest = checkpointed(digests(docs))
@@ -134,7 +134,7 @@ def keep(docs: DataFrame, **limits) -> DataFrame:
     Documents without a frequent line stay as they are, and their texts do not move while the others are few. Exact copies of a text are one
     voter here: a large group of them would else make all its own lines boilerplate and go as a whole, before near-dedup can keep one.
     """
-    found = checkpointed(verdicts(docs, **{"copies": False} | limits).where("NOT kept OR size(cut) > 0").select("doc_id", "th", "source", "kept", "cut"))
+    found = checkpointed(verdicts(docs, **limits).where("NOT kept OR size(cut) > 0").select("doc_id", "th", "source", "kept", "cut"))
     touched = maybe_broadcast(checkpointed(found.where("kept").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("source").alias("_s"), "cut").dropDuplicates(["_doc", "_th", "_s"])))
     rows = pick(docs, *DOCUMENTS).withColumn("_own", F.coalesce(F.xxhash64("text"), F.lit(0)))
     rows = rows.join(touched, (F.col("_own") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_s"))).select(*DOCUMENTS, "cut")
