@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import codes, predicates as P, rules
-from docloom.operators import assemble as A, assembly, convert as Cv, importing as imp, marking, sequence as S, votes
+from docloom.operators import assemble as A, assembly, convert as Cv, importing as imp, marking, rendering, sequence as S, votes
 from docloom.plans import duck as D
 from docloom.plans.document_queries import ESC
 from docloom.plans.registry import query
@@ -136,6 +136,18 @@ def verified(paras: DataFrame, refs: DataFrame) -> DataFrame:
     return Cv.verify(paras, heads(paras), refs)
 
 
+@query("r3_pages", "paras")
+def pages(paras: DataFrame) -> DataFrame:
+    """Pages with sections, nested lists of both kinds, dash lists and tables with spans."""
+    rows = paras.select("doc_id", F.col("para_idx").alias("pos"), "kind", "text", "style", "num_id", "ilvl")
+    words = F.slice(F.split("text", " "), 1, 6)
+    cells = paras.where("kind = 'table'").select("doc_id", F.col("para_idx").alias("pos"), F.posexplode(words).alias("n", "text"))
+    # Six places in two rows; the first cell takes two of them.
+    cells = cells.select("doc_id", "pos", F.greatest(F.col("n") - 1, F.lit(0)).alias("cell"), F.floor(F.col("n") / 3).alias("row_no"), (F.col("n") % 3).alias("col_no"), "text")
+    numbers = paras.where("num_id IS NOT NULL").select("doc_id", "num_id", "ilvl", (F.col("num_id") % 2 == 0).alias("ordered")).distinct()
+    return rendering.rendered(rows, cells, numbers)
+
+
 @query("r3_document_html", "paras", sql=f"""SELECT doc_id, coalesce(string_agg(CASE WHEN t = '' THEN NULL WHEN kind = 'table' THEN '<table><tr><td>' || t || '</td></tr></table>' WHEN style = 'Heading 1' THEN '<h1>' || t || '</h1>' ELSE '<p>' || t || '</p>' END, '' ORDER BY para_idx), '') AS html
 FROM (SELECT *, {ESC.format(T)} AS t FROM {{paras}}) GROUP BY doc_id""")
 def document_html(paras: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 V = "{urn:schemas-microsoft-com:vml}"
-ROWS = "doc_id bigint, pos bigint, kind string, para_idx bigint, table_idx bigint, row_no bigint, col_no bigint, text string, style string, num_id bigint, ilvl bigint, left_indent bigint, has_image boolean, image_ref string, error string"
+ROWS = "doc_id bigint, pos bigint, kind string, para_idx bigint, table_idx bigint, row_no bigint, col_no bigint, cell bigint, text string, style string, num_id bigint, ilvl bigint, left_indent bigint, has_image boolean, image_ref string, error string"
 
 
 CELLS = "doc_id bigint, table_idx bigint, row_no bigint, col_no bigint, paragraphs array<string>, error string"
@@ -103,11 +103,13 @@ def parse(data: bytes) -> Iterator[dict]:
                     yield {"pos": pos, "kind": "box", "para_idx": paras} | _paragraph(p)
             paras += 1
         elif x.tag == W + "tbl":
+            known: dict[int, int] = {}
             for r, row in enumerate(_grid(x)):
                 for c, cell in enumerate(row):
+                    number = known.setdefault(id(cell), len(known))
                     parts = [_paragraph(p) for p in cell.findall(W + "p")]
                     one = parts[0] if parts else {}
-                    yield {"pos": pos, "kind": "table", "table_idx": tables, "row_no": r, "col_no": c} | one | {"text": "\n".join(p["text"] for p in parts), "has_image": any(p["has_image"] for p in parts)}
+                    yield {"pos": pos, "kind": "table", "table_idx": tables, "row_no": r, "col_no": c, "cell": number} | one | {"text": "\n".join(p["text"] for p in parts), "has_image": any(p["has_image"] for p in parts)}
             tables += 1
         else:
             continue
