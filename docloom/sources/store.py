@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -13,7 +14,12 @@ def stored(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         told = sc.getConf().get("spark.checkpoint.dir")
-        if not told and not sc.master.startswith("local"):
+        if not told and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int = 128, most: int = 64 << 20) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if its counted rows take `most` bytes at most."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
