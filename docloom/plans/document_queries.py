@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.operators import assemble as A, validation as V
+from docloom.functions.codes import PARTS
+from docloom.operators import assemble as A, publications as Pu, validation as V
 from docloom.plans import duck as D
 from docloom.plans.registry import query
 from docloom.sources import markup as Mk, office as Of
@@ -179,6 +180,38 @@ def publication(refs: DataFrame) -> DataFrame:
     return df.select(F.regexp_count("xml", F.lit("<pmEntry>")).cast("bigint").alias("entries"), F.regexp_count("xml", F.lit("<dmRef>")).cast("bigint").alias("refs"))
 
 
+def _publication_refs(refs: DataFrame) -> DataFrame:
+    """A publication a system; some references without a code, some without a name."""
+    code = {n: F.lit(None).cast("string") for n in PARTS} | {"systemCode": F.col("system_code"), "subSystemCode": F.substring("sub_key", 1, 1), "subSubSystemCode": F.substring("sub_key", 2, 1), "assyCode": F.col("assy"), "infoCode": F.col("info_code")}
+    made = F.when(F.col("pos") % 11 != 0, F.struct(*[v.alias(n) for n, v in code.items()]))
+    named = F.when(F.col("pos") % 3 == 0, "").otherwise(F.concat("tech_name", F.lit(" & "), "info_code"))
+    return refs.select(F.col("system_code").alias("publication"), "pos", made.alias("dm_code"), named.alias("tech_name"), "info_name", F.col("tag").alias("subsystem_name"))
+
+
+PM_CODE = """'<dmRef><dmRefIdent><dmCode modelIdentCode="M<1" systemDiffCode="A" systemCode="' || CASE WHEN coded THEN publication ELSE '00' END || '" subSystemCode="' || CASE WHEN coded THEN left(sub, 1) ELSE '0' END || '" subSubSystemCode="' || CASE WHEN coded THEN right(sub, 1) ELSE '0' END
+|| '" assyCode="' || CASE WHEN coded THEN assy ELSE '00' END || '" disassyCode="00" disassyCodeVariant="A" infoCode="' || CASE WHEN coded THEN info_code ELSE '000' END || '" infoCodeVariant="A" itemLocationCode="A"/><issueInfo issueNumber="001" inWork="00"/><language languageIsoCode="ru" countryIsoCode="RU"/></dmRefIdent><dmRefAddressItems><dmTitle><techName>'
+|| replace(t, '&', '&amp;') || '</techName><infoName>' || info_name || '</infoName></dmTitle></dmRefAddressItems></dmRef>'""".replace("M<1", "M&lt;1")
+
+
+@query("k3_publication_rows", "dm_refs", sql=f"""WITH b AS (SELECT system_code AS publication, pos, pos % 11 <> 0 AS coded, sub_key AS sub, assy, info_code, info_name, tag, CASE WHEN pos % 3 = 0 THEN '' ELSE tech_name || ' & ' || info_code END AS t FROM {{dm_refs}}),
+r AS (SELECT *, {PM_CODE} AS xml FROM b), s AS (SELECT publication, sub, coalesce(arg_min(t, pos) FILTER (assy = '00' AND t <> ''), arg_min(tag, pos) FILTER (tag IS NOT NULL), '') AS n FROM r WHERE coded GROUP BY ALL),
+c AS (SELECT publication, sub, assy, min(pos) AS f, arg_min(t, pos) AS n FROM r WHERE coded AND assy <> '00' GROUP BY ALL),
+a AS (SELECT publication, 3 AS part, '' AS sub, 0 AS place, 0 AS first_pos, '' AS assy, 0 AS leaf, pos, xml FROM r WHERE NOT coded
+UNION ALL SELECT publication, 4, sub, 0, 0, '', 0, 0, '<pmEntry><pmEntryTitle>' || replace(trim(publication || '-' || sub || ' ' || n), '&', '&amp;') || '</pmEntryTitle>' FROM s UNION ALL SELECT publication, 4, sub, 3, 0, '', 0, 0, '</pmEntry>' FROM s
+UNION ALL SELECT publication, 4, sub, 1, 0, '', 0, pos, xml FROM r WHERE coded AND assy = '00'
+UNION ALL SELECT publication, 4, sub, 2, f, assy, 0, 0, '<pmEntry><pmEntryTitle>' || replace(trim(publication || '-' || sub || '-' || assy || ' ' || n), '&', '&amp;') || '</pmEntryTitle>' FROM c UNION ALL SELECT publication, 4, sub, 2, f, assy, 2, 0, '</pmEntry>' FROM c
+UNION ALL SELECT publication, 4, r.sub, 2, f, r.assy, 1, pos, xml FROM r JOIN c USING (publication, sub, assy) WHERE coded
+UNION ALL SELECT publication, 1, '', 0, 0, '', 0, pos, '<!ENTITY G' || pos || ' SYSTEM "' || dmc || '.jpg" NDATA jpg>' FROM (SELECT system_code AS publication, pos, dmc FROM {{dm_refs}} WHERE info_code::int % 5 = 0))
+SELECT publication, part, sub, place, first_pos, assy, leaf, pos, xml FROM a""")
+def publication_rows(refs: DataFrame) -> DataFrame:
+    """K3: every entry and reference of every publication, in its place."""
+    rows = _publication_refs(refs)
+    texts = {"model_ident": "M<1"} | {n: None for n in Pu.HEAD} | {"issued": None}
+    heads = rows.select("publication").distinct().select("publication", *[F.lit(v).cast("date" if n == "issued" else "string").alias(n) for n, v in texts.items()])
+    graphics = refs.where(F.col("info_code").cast("int") % 5 == 0).select(F.col("system_code").alias("publication"), "pos", F.concat(F.lit("G"), F.col("pos").cast("string")).alias("ident"), F.concat(F.lit("images/"), "dmc", F.lit(".jpg")).alias("file"))
+    return Pu.pieces(heads, rows, graphics).where(F.col("part").isin(Pu.ENTITIES, Pu.LOOSE, Pu.SUBSYSTEMS))
+
+
 @query("k4_sidecar", "left_elements", sql="SELECT doc_id, count(*) AS n FROM {left_elements} GROUP BY doc_id")
 def sidecar(left: DataFrame) -> DataFrame:
     df = A.sidecar_json(left.withColumnRenamed("idx", "seq"))
