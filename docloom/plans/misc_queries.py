@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import predicates as P, text as X
-from docloom.operators import classify as C, importing as imp, layout as L, matching as M, pages, sequence as S, votes
+from docloom.operators import classify as C, importing as imp, layout as L, matching as M, pages, sequence as S, tables, votes
 from docloom.plans import duck as D
 from docloom.plans.registry import query
 from docloom.streaming import ingest
@@ -24,6 +24,20 @@ def page_elements(left: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.where("source_idx IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("g5_parse_blocks", "pages", sql=r"SELECT page_id, unnest(range(1, len(t) + 1)) AS anno_idx, unnest(t) AS tag FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<(h[1-6]|p|ul|ol|table|img)[\s>/]', 1), lambda x: lower(x)) AS t FROM {pages})")
+def parse_blocks(pages_: DataFrame) -> DataFrame:
+    """The table function called from SQL for every page."""
+    tables.register(pages_.sparkSession)
+    return pages_.sparkSession.sql("SELECT page_id, b.anno_idx, b.tag FROM {p}, LATERAL parse_blocks(html) b", p=pages_)
+
+
+@query("g5_classify_document", "paras")
+def classify_document(paras: DataFrame) -> DataFrame:
+    """P17 as a table function over documents, each in order."""
+    tables.register(paras.sparkSession)
+    return paras.sparkSession.sql("SELECT * FROM classify_document(TABLE({p}) PARTITION BY doc_id ORDER BY para_idx)", p=C.flags(paras))
+
+
 @query("j18_numbering", "paras", sql="SELECT doc_id, para_idx, CASE WHEN num_id IS NULL THEN NULL WHEN num_id = 1 THEN 'numbered_list' WHEN num_id = 2 THEN 'unnumbered_list' ELSE 'unnumbered_list' END AS kind FROM {paras}")
 def numbering(paras: DataFrame) -> DataFrame:
     """Numbering definitions by id; a missing one is unnumbered. The definitions of a document are few, AQE picks the join."""

@@ -126,14 +126,15 @@ def _annotated(pages: DataFrame, rows_of: Callable[[list], list[tuple]], schema:
     return pages.select(F.col("doc_id").cast("bigint"), "html").mapInPandas(run, schema)
 
 
-def read_annotated(pages: DataFrame) -> DataFrame:
-    """S17, first form: rows (doc_id, html) to INFO with stable_id, by idx; pieces of text are stripped and joined by a blank."""
+def annotated_rows(found: list) -> list[tuple]:
+    """What read_annotated gives of a page, without its id."""
+    texts = [(idx, kind, " ".join(t for x in parts if (t := x.strip())), own) for idx, kind, own, parts in found]
+    return [(idx, kind, t[:60], t[-40:], 1, own) for idx, kind, t, own in sorted(texts, key=lambda x: x[0])]
 
-    def rows_of(found: list) -> list[tuple]:
-        texts = [(idx, kind, " ".join(t for x in parts if (t := x.strip())), own) for idx, kind, own, parts in found]
-        return [(idx, kind, t[:60], t[-40:], 1, own) for idx, kind, t, own in sorted(texts, key=lambda x: x[0])]
 
-    return _annotated(pages, rows_of, INFO + ", stable_id string")
+def read_annotated(pages: DataFrame) -> DataFrame:
+    """S17, first form: rows (doc_id, html) to INFO with stable_id, by idx; pieces of text are stripped and joined by a blank."""
+    return _annotated(pages, annotated_rows, INFO + ", stable_id string")
 
 
 def read_rendered(pages: DataFrame) -> DataFrame:
