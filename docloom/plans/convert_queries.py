@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from docloom.operators import assemble as A, assembly, convert as Cv, importing
 from docloom.plans import duck as D
 from docloom.plans.document_queries import ESC
 from docloom.plans.registry import query
-from docloom.sources import markup as Mk
+from docloom.sources import files, markup as Mk
+from docloom.sources.store import shared
 
 #: The types that the assembly queries give to paragraphs, in both engines.
 TYPED = "CASE WHEN style = 'Heading 1' THEN 'header' WHEN starts_with({t}, '• ') THEN 'unnumbered_list' WHEN style = '07. Внимание для п.1' THEN 'warning' WHEN style = '07. Примеч. для 1.2' THEN 'note' ELSE 'paragraph' END"
@@ -39,12 +42,27 @@ def section_xml(paras: DataFrame) -> DataFrame:
     return A.sections(elements(paras))
 
 
-@query("s16_module_rows", "paras", sql=f"WITH {PLACED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, b, seq) AS idx, CASE type WHEN 'header' THEN 'heading' WHEN 'paragraph' THEN 'para' ELSE type END AS type, substring({D.squeeze('content')}, 1, 60) AS text_start, right({D.squeeze('content')}, 40) AS text_end FROM s")
+#: What a walk over the modules of these elements finds.
+MODULE_ROWS = f"WITH {PLACED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, b, seq) AS idx, CASE type WHEN 'header' THEN 'heading' WHEN 'paragraph' THEN 'para' ELSE type END AS type, substring({D.squeeze('content')}, 1, 60) AS text_start, right({D.squeeze('content')}, 40) AS text_end FROM s"
+
+
+@query("s16_module_rows", "paras", sql=MODULE_ROWS)
 def module_rows(paras: DataFrame) -> DataFrame:
     """S16 on K1: assembled modules walked again, every element with its type and text."""
     return Mk.read_modules(A.modules(A.sections(elements(paras)))).select("doc_id", "idx", "type", "text_start", "text_end")
 
 
+@query("k2_module_files", "paras", sql=MODULE_ROWS)
+def module_files(paras: DataFrame) -> DataFrame:
+    """Modules written as files of their own in the shared folder, read back by partitioned readers and walked."""
+    spark = paras.sparkSession
+    folder = f"{shared(spark)}/modules-{uuid4().hex}"
+    made = A.modules(A.sections(elements(paras)))
+    files.write(made.select(F.format_string("doc-%d.xml", "doc_id").alias("file"), F.col("xml").alias("content")), folder)
+    found = files.read(spark, folder).select(F.regexp_extract("file", r"-(-?\d+)", 1).cast("bigint").alias("doc_id"), F.col("content").alias("xml"))
+    return Mk.read_modules(found).select("doc_id", "idx", "type", "text_start", "text_end")
+
+
 @query("x4_procedure_xml", "paras", sql=f"""WITH p AS (SELECT doc_id, para_idx, text, style = 'Heading 1' AS h, max(CASE WHEN style = 'Heading 1' THEN para_idx END) OVER (PARTITION BY doc_id ORDER BY para_idx) AS g, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) AS n FROM {{paras}}),
 q AS (SELECT doc_id, para_idx, CASE WHEN h OR g IS NULL THEN para_idx ELSE g END AS top, '<proceduralStep id="stp-' || lpad(n::varchar, 5, '0') || '"><para>' || {ESC.format('text')} || '</para>' AS o FROM p),
 r AS (SELECT doc_id, top, min(CASE WHEN top = para_idx THEN o END) || coalesce(string_agg(CASE WHEN top <> para_idx THEN o || '</proceduralStep>' END, '' ORDER BY para_idx), '') || '</proceduralStep>' AS x FROM q GROUP BY ALL)

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df computed once, kept by a reliable checkpoint in the folder that spark.checkpoint.dir names. Unset, a folder of our own serves a local session;
-    on a cluster, whose executors would not see it, that is an error."""
-    sc = df.sparkSession.sparkContext
+    """df computed once, kept by a reliable checkpoint in the shared folder."""
+    shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Unset, a folder of our own serves a local session; on a cluster, whose executors would not see it, that is an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         told = sc.getConf().get("spark.checkpoint.dir")
         if not told and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int = 128, most: int = 64 << 20) -> DataFrame:
