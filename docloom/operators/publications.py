@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.codes import PARTS
 from docloom.functions.text import pytrim
 from docloom.operators.assemble import esc, tag
+from docloom.sources.store import broadcast_if_small, stored
 
 #: What a reference's code has where a part is missing, the model aside. Fixed values.
 CODE = {
@@ -72,6 +73,12 @@ def _entry(title: Column) -> Column:
     return F.concat(F.lit("<pmEntry>"), tag("pmEntryTitle", esc(title)))
 
 
+def entries(df: DataFrame, title: Column, opens: int, closes: int) -> DataFrame:
+    """An entry's opening and its end, two pieces (_at, _x) a row."""
+    ends = [F.struct(F.lit(at).alias("_at"), x.alias("_x")) for at, x in ((opens, _entry(title)), (closes, F.lit("</pmEntry>")))]
+    return df.select("*", F.inline(F.array(*ends)))
+
+
 def _pieces(df: DataFrame, xml: Column, **at: int | str | Column) -> DataFrame:
     """(publication, ORDER, xml): pieces at one place; what is not given is empty."""
     kinds = {"sub": "string", "assy": "string", "first_pos": "bigint", "pos": "bigint"}
@@ -89,18 +96,21 @@ def pieces(heads: DataFrame, refs: DataFrame, graphics: DataFrame | None = None,
     subsystem_name; its system is that of its first reference. Rows whose publication has no head make no file; a head without references makes one without entries.
 
     Entries come from aggregates, which combine before they shuffle, and join back to references for the component's place only; no task holds a publication.
+    Heads are stored, and broadcast if they are few; else AQE splits a publication that holds many of the references.
     """
     told = F.coalesce("model_ident", F.lit(model))
     heads = heads.where("publication IS NOT NULL").select("publication", told.alias("model_ident"), *[n for n in (*HEAD, "issued")])
     part = {n: F.coalesce(F.col("dm_code")[n], F.lit(v)) for n, v in CODE.items()}
     code = code_xml({"modelIdentCode": F.coalesce(F.col("dm_code")["modelIdentCode"], "model_ident")} | part)
     text = reference_xml(code, F.col("tech_name"), F.col("info_name"))
-    rows = refs.select("publication", "pos", "dm_code", "tech_name", "info_name", "subsystem_name").join(heads.select("publication", "model_ident"), "publication")
+    heads = stored(heads)
+    known = broadcast_if_small(heads.select("publication", "model_ident"), row_bytes=256)
+    rows = refs.select("publication", "pos", "dm_code", "tech_name", "info_name", "subsystem_name").join(known, "publication")
     rows = rows.select(
         "publication", "pos", F.col("dm_code").isNotNull().alias("coded"), part["systemCode"].alias("system"), F.concat(part["subSystemCode"], part["subSubSystemCode"]).alias("sub"), part["assyCode"].alias("assy"),
         F.coalesce("tech_name", F.lit("")).alias("tech"), F.coalesce("subsystem_name", F.lit("")).alias("told"), text.alias("xml"),
     )
-    loose, coded, direct = rows.where("NOT coded"), rows.where("coded"), F.col("assy") == "00"
+    coded, direct = rows.where("coded"), F.col("assy") == "00"
     # Nulls of pos come first, as in the order of pieces.
     nth = F.struct(F.col("pos").isNotNull(), "pos").alias("nth")
     subs = coded.groupBy("publication", "sub").agg(
@@ -110,26 +120,25 @@ def pieces(heads: DataFrame, refs: DataFrame, graphics: DataFrame | None = None,
     parts = coded.where(~direct).groupBy("publication", "sub", "assy").agg(F.min(F.struct(nth, "tech")).alias("_n"))
     parts = parts.select("publication", "sub", "assy", F.col("_n.nth.pos").alias("first_pos"), F.col("_n.tech").alias("name"))
     titled = parts.join(subs.select("publication", "sub", "key"), ["publication", "sub"])
-    placed = coded.where(~direct).join(parts.select("publication", "sub", "assy", "first_pos"), ["publication", "sub", "assy"])
-    own = {"part": SUBSYSTEMS, "sub": F.col("sub")}
-    inner = own | {"place": COMPONENTS, "first_pos": F.col("first_pos"), "assy": F.col("assy")}
+    # One pass over all references: those of a component find its place, the others have theirs from their own columns.
+    own = parts.select("publication", "sub", "assy", F.lit(True).alias("coded"), F.col("first_pos").alias("_f"), F.lit(True).alias("_in"))
+    placed = rows.join(own, ["publication", "sub", "assy", "coded"], "left")
+    inside = F.coalesce("_in", F.lit(False))
+    at = {"part": F.when(F.col("coded"), SUBSYSTEMS).otherwise(LOOSE), "sub": F.when(F.col("coded"), F.col("sub")).otherwise(""), "place": F.when(inside, COMPONENTS).when(F.col("coded"), DIRECT).otherwise(0)}
+    at |= {"first_pos": F.when(inside, F.col("_f")).otherwise(0), "assy": F.when(inside, F.col("assy")).otherwise(""), "leaf": inside.cast("int"), "pos": F.col("pos")}
     ends = F.concat(*[reference_xml(code_xml(shared_code(F.col("model_ident"), info)), F.lit(""), F.lit(n), i) for i, info, n in SHARED], F.lit("</pmEntry></content></pm>"))
     out = [
         _pieces(heads, F.lit(DOCTYPE), part=OPENING),
         _pieces(heads, F.concat(F.lit("]>\n" + ROOT), identification(F.col("model_ident")), F.lit("<content>"), _entry(name(F.col("model_ident")))), part=TOP),
-        _pieces(loose, F.col("xml"), part=LOOSE, pos=F.col("pos")),
-        _pieces(subs, _entry(pytrim(F.concat("key", F.lit(" "), "name"))), **own, place=OPEN),
-        _pieces(coded.where(direct), F.col("xml"), **own, place=DIRECT, pos=F.col("pos")),
-        _pieces(titled, _entry(pytrim(F.concat("key", F.lit("-"), "assy", F.lit(" "), "name"))), **inner, leaf=0),
-        _pieces(placed, F.col("xml"), **inner, leaf=1, pos=F.col("pos")),
-        _pieces(titled, F.lit("</pmEntry>"), **inner, leaf=2),
-        _pieces(subs, F.lit("</pmEntry>"), **own, place=CLOSE),
+        _pieces(placed, F.col("xml"), **at),
+        _pieces(entries(subs, pytrim(F.concat("key", F.lit(" "), "name")), OPEN, CLOSE), F.col("_x"), part=SUBSYSTEMS, sub=F.col("sub"), place=F.col("_at")),
+        _pieces(entries(titled, pytrim(F.concat("key", F.lit("-"), "assy", F.lit(" "), "name")), 0, 2), F.col("_x"), part=SUBSYSTEMS, sub=F.col("sub"), place=COMPONENTS, first_pos=F.col("first_pos"), assy=F.col("assy"), leaf=F.col("_at")),
         _pieces(heads, ends, part=END),
     ]
     if graphics is not None:
         entity = F.concat(F.lit("<!ENTITY "), "ident", F.lit(' SYSTEM "'), F.element_at(F.split("file", "/"), -1), F.lit('" NDATA jpg>'))
-        known = graphics.where("ident IS NOT NULL AND file IS NOT NULL").select("publication", "pos", "ident", "file").join(heads.select("publication"), "publication", "left_semi")
-        out.insert(1, _pieces(known, entity, part=ENTITIES, pos=F.col("pos")))
+        drawn = graphics.where("ident IS NOT NULL AND file IS NOT NULL").select("publication", "pos", "ident", "file").join(heads.select("publication"), "publication", "left_semi")
+        out.insert(1, _pieces(drawn, entity, part=ENTITIES, pos=F.col("pos")))
     return reduce(DataFrame.unionByName, out)
 
 
