@@ -140,6 +140,16 @@ def letters(n: Column) -> Column:
     return out
 
 
+def letters_number(variant: Column | str) -> Column:
+    """The number that letters() made a variant of, 0 for A."""
+    return F.aggregate(F.split(variant, ""), F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64) - 1
+
+
+def character(n: Column) -> Column:
+    """The character n places after A."""
+    return F.decode(F.unhex(F.lpad(F.hex((n + 65).cast("bigint")), 8, "0")), "UTF-32")
+
+
 def letter_number(variant: Column) -> Column:
     """The number of a variant of one letter, 0 for A."""
     return F.ascii(variant) - 65
