@@ -111,13 +111,17 @@ def entities(refs: DataFrame) -> DataFrame:
     return refs.groupBy("doc_id").agg(F.concat(F.lit("<!DOCTYPE dmodule ["), F.array_join(lines, ""), F.lit("]>")).alias("doctype"))
 
 
-def publication(refs: DataFrame) -> DataFrame:
-    """The publication module over all module references, as one row; entries in the order of contents()."""
+def publication_entries(refs: DataFrame) -> DataFrame:
+    """The entries of the publication module over all module references (system_code, sub_key, k, first_pos, x), ordered by these columns; a row each, so no row holds them all."""
     from docloom.operators.reports import contents
 
     entry = F.concat(F.lit("<pmEntry><pmEntryTitle>"), esc(F.concat_ws(" ", "name", "entry")), F.lit("</pmEntryTitle>"), F.array_join(F.transform("dmcs", lambda d: F.concat(F.lit("<dmRef>"), d, F.lit("</dmRef>"))), ""), F.lit("</pmEntry>"))
-    rows = contents(refs).select("system_code", "sub_key", (F.col("kind") != "direct").alias("k"), "first_pos", entry.alias("x"))
-    return rows.agg(F.concat(F.lit("<pm><content>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("system_code", "sub_key", "k", "first_pos", "x"))), lambda r: r.x), ""), F.lit("</content></pm>")).alias("xml"))
+    return contents(refs).select("system_code", "sub_key", (F.col("kind") != "direct").alias("k"), "first_pos", entry.alias("x"))
+
+
+def publication(refs: DataFrame) -> DataFrame:
+    """The publication module as one row, for references that fit one."""
+    return publication_entries(refs).agg(F.concat(F.lit("<pm><content>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("system_code", "sub_key", "k", "first_pos", "x"))), lambda r: r.x), ""), F.lit("</content></pm>")).alias("xml"))
 
 
 def sidecar_json(elements: DataFrame) -> DataFrame:
