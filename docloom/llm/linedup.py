@@ -15,7 +15,7 @@ lines of one hash apart, and such lines are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import BROADCAST_BYTES, ROW_BYTES, checkpointed, maybe_broadcast, pick
@@ -217,17 +217,20 @@ def verified(found: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
 
 def keyed_rows(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Stored rows (key, index, id, sig, chars, region, size, left) of the keys that two lines share, one of them in the index; and their lines (id, line), once each."""
-    rows = keyed(lines, threshold)
-    found = rows.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.min("pos").alias("_pos"))
-    found = checkpointed(found.where((F.col("_lo") != F.col("_hi")) & (F.col("_pos") <= threshold)).select(F.col("key").alias("_key")))
-    rows = rows.join(maybe_broadcast(found), F.col("key") == F.col("_key")).select("key", "pos", "id", "line")
+    # Of all look-ups only numbers are moved, once; the lines of keys that are shared are read again.
+    same = Window.partitionBy("key")
+    rows = keyed(lines, threshold).select("key", "pos", "id").withColumns({"_lo": F.min("id").over(same), "_hi": F.max("id").over(same), "_pos": F.min("pos").over(same)})
+    found = checkpointed(rows.where((F.col("_lo") != F.col("_hi")) & (F.col("_pos") <= threshold)).select("key", "pos", "id").distinct())
+    ids = checkpointed(found.select(F.col("id").alias("_id")).distinct())
+    texts = checkpointed(lines.select("id", "line").join(maybe_broadcast(ids), F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"]))
+    rows = found.join(texts, "id").select("key", "pos", "id", "line")
     # A line's own segment stands in the index and is also the unshifted probe of its own length.
     rows = rows.withColumn("index", F.explode(F.when(F.col("pos") <= threshold, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     members = checkpointed(rows.select("key", "index", "id", "line", *regions(threshold)).dropDuplicates(["key", "index", "id", "a", "b"]))
     region = F.col("line").substr(F.col("a"), F.col("b") - F.col("a"))
     # Stored, too, since signatures are dear and these rows are read several times.
     told = checkpointed(members.select("key", "index", "id", signature("line").alias("sig"), F.length("line").alias("chars"), region.alias("region"), "size", "left"))
-    return told, members.select("id", "line").dropDuplicates(["id"])
+    return told, texts
 
 
 def joined_keys(rows: DataFrame, threshold: int) -> DataFrame:
