@@ -44,7 +44,7 @@ def positions(df: DataFrame, doc: str = "doc_id", seq: str = "seq", text: str =
     breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     start = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
     df = df.withColumns({"line": F.coalesce(F.sum(breaks).over(w), F.lit(0)).cast("bigint"), "_start": start})
-    after = F.when(F.instr(F.col(text), "\n") > 0, F.col("_start") + F.length(text) - F.length(F.regexp_extract(text, r"([^\n]*)$", 1)))
+    after = F.when(F.instr(F.col(text), "\n") > 0, F.col("_start") + F.length(text) - F.length(F.substring_index(F.col(text), "\n", -1)))
     return df.withColumn("column", (F.col("_start") - F.coalesce(F.max(after).over(w), F.lit(0))).cast("bigint")).drop("_start")
 
 
