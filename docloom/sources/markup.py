@@ -8,12 +8,12 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.codes import title_parts, with_code
 from docloom.functions.text import col
+from docloom.operators.folds import each_row
 
 INFO = "doc_id bigint, idx bigint, type string, text_start string, text_end string, span bigint"
 
@@ -69,17 +69,13 @@ def parsed(xml: str | None) -> ET.Element | None:
 def read_modules(files: DataFrame) -> DataFrame:
     """Rows (doc_id, xml) to INFO, idx from 1. Broken XML gives no elements. Entities are not expanded beyond the standard five."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, xml in zip(b["doc_id"], b["xml"]):
-                root = parsed(xml)
-                root = root.find(".//content") if root is not None and root.find(".//content") is not None else root
-                for n, (kind, text) in enumerate(walk(root) if root is not None else [], 1):
-                    out.append((doc, n, kind, text[:60], text[-40:], 1))
-            yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in INFO.split(",")])
+    def rows_of(doc: int, xml: str | None) -> Iterator[tuple]:
+        root = parsed(xml)
+        root = root.find(".//content") if root is not None and root.find(".//content") is not None else root
+        for n, (kind, text) in enumerate(walk(root) if root is not None else [], 1):
+            yield doc, n, kind, text[:60], text[-40:], 1
 
-    return files.select(F.col("doc_id").cast("bigint"), "xml").mapInPandas(run, INFO)
+    return each_row(files.select(F.col("doc_id").cast("bigint"), "xml"), rows_of, INFO)
 
 
 class Annotated(HTMLParser):
@@ -112,18 +108,12 @@ class Annotated(HTMLParser):
 
 
 def _annotated(pages: DataFrame, rows_of: Callable[[list], list[tuple]], schema: str) -> DataFrame:
-    names = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, html in zip(b["doc_id"], b["html"]):
-                p = Annotated()
-                p.feed(html or "")
-                out += [(doc, *row) for row in rows_of(p.found)]
-            yield pd.DataFrame(out, columns=names)
-
-    return pages.select(F.col("doc_id").cast("bigint"), "html").mapInPandas(run, schema)
+    def found(doc: int, html: str | None) -> Iterator[tuple]:
+        p = Annotated()
+        p.feed(html or "")
+        return ((doc, *row) for row in rows_of(p.found))
+
+    return each_row(pages.select(F.col("doc_id").cast("bigint"), "html"), found, schema)
 
 
 def annotated_rows(found: list) -> list[tuple]:
