@@ -190,9 +190,10 @@ def module_headers(files: DataFrame) -> DataFrame:
 
 def tasks(listing: DataFrame) -> DataFrame:
     """A listing (path of a file, folders above it) to one task a coded folder: its first .docx and .doc by name, temporary files left out, the group folder above, and why it is skipped."""
-    parts = F.split("path", "/")
-    name, folder, group = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-3))
-    df = listing.select(name.alias("name"), folder.alias("folder"), group.alias("group"), "path").where(F.col("folder").startswith("[") & ~F.col("name").startswith("~$"))
+    # The one-row generator keeps the optimizer from copying path and split into every use.
+    parts = listing.select(F.explode(F.array(F.struct("path", F.split("path", "/").alias("parts")))).alias("_l"))
+    name, folder, group = F.element_at("_l.parts", -1), F.try_element_at("_l.parts", F.lit(-2)), F.try_element_at("_l.parts", F.lit(-3))
+    df = parts.select(name.alias("name"), folder.alias("folder"), group.alias("group"), "_l.path").where(F.col("folder").startswith("[") & ~F.col("name").startswith("~$"))
     out = df.groupBy("folder").agg(F.min(F.when(~F.col("group").startswith("["), F.col("group"))).alias("subsystem_group"), F.min_by("path", F.when(F.lower("name").endswith(".docx"), F.col("name"))).alias("docx_path"), F.max(F.lower("name").endswith(".docx")).alias("_x"), F.min_by("path", F.when(F.lower("name").endswith(".doc"), F.col("name"))).alias("doc_path"), F.max(F.lower("name").endswith(".doc")).alias("_d"))
     out, code = with_code(out, "folder"), F.col("dm_code")
     names = title_parts("dm_title")
