@@ -58,8 +58,8 @@ def module_files(paras: DataFrame) -> DataFrame:
     spark = paras.sparkSession
     folder = f"{shared(spark)}/modules-{uuid4().hex}"
     made = A.modules(A.sections(elements(paras)))
-    files.write(made.select(F.format_string("doc-%d.xml", "doc_id").alias("file"), F.col("xml").alias("content")), folder)
-    found = files.read(spark, folder).select(F.regexp_extract("file", r"-(-?\d+)", 1).cast("bigint").alias("doc_id"), F.col("content").alias("xml"))
+    files.write(made.select(F.format_string("doc-%d.xml", "doc_id").alias("file"), F.col("xml").alias("content")), folder, spread=True)
+    found = files.read(spark, folder, spread=True).select(F.regexp_extract("file", r"-(-?\d+)", 1).cast("bigint").alias("doc_id"), F.col("content").alias("xml"))
     return Mk.read_modules(found).select("doc_id", "idx", "type", "text_start", "text_end")
 
 

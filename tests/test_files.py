@@ -1,8 +1,10 @@
 """The data source of named text files: names, splits, failures and commits."""
 
 import os
+from pathlib import Path
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from docloom.sources import files
@@ -63,3 +65,59 @@ def test_existing_files(spark, tmp_path):
     assert sorted(map(tuple, files.read(spark, path).collect())) == [("a", "1"), ("b", "2"), ("c", "2")]
     files.write(made(spark, []), path)
     assert sorted(os.listdir(path)) == ["a", "b", "c"]
+
+
+def test_spread_files(spark, tmp_path):
+    rows = [(f"d-{i}.xml", "ы\r\n" * (i % 7) if i % 5 else None) for i in range(3000)]
+    path = tmp_path / "out"
+    files.write(made(spark, rows), str(path), spread=True)
+    folders = sorted(path.iterdir())
+    assert all(files.PART.fullmatch(p.name) for p in folders) and len(folders) < 200
+    assert sorted(p.name for f in folders for p in f.iterdir()) == sorted(n for n, _ in rows)
+    assert sorted(map(tuple, files.read(spark, str(path), spread=True).collect())) == sorted((n, t or "") for n, t in rows)
+    with pytest.raises(Exception, match="exist"):
+        files.write(made(spark, [("other", "1")]), str(path), spread=True)
+    with pytest.raises(Exception, match="do not replace"):
+        files.write(made(spark, [("other", "1")]), str(path), overwrite=True, spread=True)
+    assert sorted(path.iterdir()) == folders
+    files.write(made(spark, []), str(tmp_path / "none"), spread=True)
+    assert files.read(spark, str(tmp_path / "none"), spread=True).count() == 0
+
+
+@pytest.mark.parametrize("bad", [None, "a/b", "_x", "f1"])
+def test_a_failed_spread_task_leaves_nothing(spark, tmp_path, bad):
+    with pytest.raises(Exception, match="no name for a file|two files are named"):
+        files.write(made(spark, [("f1", "1"), ("f2", "2"), (bad, "x")]), str(tmp_path / "out"), spread=True)
+    assert not (tmp_path / "out").exists() or os.listdir(tmp_path / "out") == []
+
+
+def test_a_spread_commit_moves_and_lists_folders_only(tmp_path, monkeypatch):
+    """The driver's part must not grow with the files."""
+    writer = files.Writer(str(tmp_path), False, spread=True)
+    staged = []
+    for task in range(2):
+        own = tmp_path / writer.staging / f"{task}-{task}"
+        for k in range(3):
+            (own / str(k)).mkdir(parents=True)
+            for i in range(50):
+                (own / str(k) / f"{task}-{k}-{i}").write_text("x")
+        staged.append(files.Staged(str(own), 150, task, 3))
+    seen = []
+
+    class Counted:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            def call(*args):
+                out = getattr(self.system, name)(*args)
+                seen.extend(out if name == "get_file_info" and isinstance(out, list) else [name])
+                return out
+
+            return call
+
+    monkeypatch.setattr(files, "opened", lambda path: (Counted(fs.LocalFileSystem()), path))
+    writer.commit(staged)
+    assert len(files.Reader(str(tmp_path), files.SPLIT, spread=True).partitions()) == 6
+    assert len(seen) < 30
+    assert len([p for p in Path(tmp_path).rglob("*") if p.is_file()]) == 300
