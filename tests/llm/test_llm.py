@@ -701,6 +701,18 @@ def test_media_decoder_reads_sequential_frames(tables, every, down):
             avi.decode_frame(data[:cut])
 
 
+def test_fixity_query_packs_its_stores(spark, tmp_path):
+    from docloom.llm import queries
+
+    spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 9) for i in range(900)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    root = Path(common.shared_folder(spark).removeprefix("file:"))
+    before = set(root.glob("tables-*/[ab]/*.parquet"))
+    rows = queries.op5_fixity(spark, str(tmp_path)).collect()
+    assert len(rows) == 900 and {"ok", "missing"} <= {r.status for r in rows}
+    stored = set(root.glob("tables-*/[ab]/*.parquet")) - before
+    assert {p.parent.name for p in stored} == {"a", "b"} and all(p.name.endswith(".zstd.parquet") for p in stored)
+
+
 # -- byte-pair encoding ----------------------------------------------------------------------------------------------------------------------------------
 
 
