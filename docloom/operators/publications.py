@@ -90,7 +90,8 @@ def pieces(heads: DataFrame, refs: DataFrame, graphics: DataFrame | None = None,
     """Publications as (publication, ORDER, xml), whose pieces in ORDER are the text of its file.
 
     heads: publication, model_ident, issuer, number, volume, title, enterprise, originator, issued; one row a publication, nulls take defaults. refs: publication,
-    pos, dm_code (struct of PARTS or null), tech_name, info_name, subsystem_name. graphics: publication, pos, ident, file.
+    pos, dm_code (struct of PARTS or null), tech_name, info_name, subsystem_name and, if it is known, place, the row's own in its table, by which the first of
+    several rows of one pos is told; without it their smallest name is taken. graphics: publication, pos, ident, file.
     References without a code stand first, then subsystems in order of their key with their direct references and, by first reference, their components; equal
     rows stay, as do repeated graphics, each in order of pos (null first). A subsystem is named by the first name of a direct reference, else by the first
     subsystem_name; its system is that of its first reference. Rows whose publication has no head make no file; a head without references makes one without entries.
@@ -105,14 +106,15 @@ def pieces(heads: DataFrame, refs: DataFrame, graphics: DataFrame | None = None,
     text = reference_xml(code, F.col("tech_name"), F.col("info_name"))
     heads = stored(heads)
     known = broadcast_if_small(heads.select("publication", "model_ident"), row_bytes=256)
-    rows = refs.select("publication", "pos", "dm_code", "tech_name", "info_name", "subsystem_name").join(known, "publication")
+    place = ["place"] if "place" in refs.columns else []
+    rows = refs.select("publication", "pos", *place, "dm_code", "tech_name", "info_name", "subsystem_name").join(known, "publication")
     rows = rows.select(
-        "publication", "pos", F.col("dm_code").isNotNull().alias("coded"), part["systemCode"].alias("system"), F.concat(part["subSystemCode"], part["subSubSystemCode"]).alias("sub"), part["assyCode"].alias("assy"),
+        "publication", "pos", *place, F.col("dm_code").isNotNull().alias("coded"), part["systemCode"].alias("system"), F.concat(part["subSystemCode"], part["subSubSystemCode"]).alias("sub"), part["assyCode"].alias("assy"),
         F.coalesce("tech_name", F.lit("")).alias("tech"), F.coalesce("subsystem_name", F.lit("")).alias("told"), text.alias("xml"),
     )
     coded, direct = rows.where("coded"), F.col("assy") == "00"
     # Nulls of pos come first, as in the order of pieces.
-    nth = F.struct(F.col("pos").isNotNull(), "pos").alias("nth")
+    nth = F.struct(F.col("pos").isNotNull(), "pos", *place).alias("nth")
     subs = coded.groupBy("publication", "sub").agg(
         F.min(F.struct(nth, "system")).alias("_s"), F.min(F.when(direct & (F.col("tech") != ""), F.struct(nth, "tech"))).alias("_n"), F.min(F.when(F.col("told") != "", F.struct(nth, "told"))).alias("_t")
     )
@@ -122,7 +124,7 @@ def pieces(heads: DataFrame, refs: DataFrame, graphics: DataFrame | None = None,
     titled = parts.join(subs.select("publication", "sub", "key"), ["publication", "sub"])
     # One pass over all references: those of a component find its place, the others have theirs from their own columns.
     own = parts.select("publication", "sub", "assy", F.lit(True).alias("coded"), F.col("first_pos").alias("_f"), F.lit(True).alias("_in"))
-    placed = rows.join(own, ["publication", "sub", "assy", "coded"], "left")
+    placed = rows.drop(*place).join(own, ["publication", "sub", "assy", "coded"], "left")
     inside = F.coalesce("_in", F.lit(False))
     at = {"part": F.when(F.col("coded"), SUBSYSTEMS).otherwise(LOOSE), "sub": F.when(F.col("coded"), F.col("sub")).otherwise(""), "place": F.when(inside, COMPONENTS).when(F.col("coded"), DIRECT).otherwise(0)}
     at |= {"first_pos": F.when(inside, F.col("_f")).otherwise(0), "assy": F.when(inside, F.col("assy")).otherwise(""), "leaf": inside.cast("int"), "pos": F.col("pos")}

@@ -96,6 +96,11 @@ DERIVED["dm_refs"] = """
 SELECT folder_seq AS pos, sys AS system_code, sub AS sub_key, comp AS assy, info AS info_code, 'DMC-S5-A-' || sys || '-' || sub || '-' || comp || '-00A-' || info || 'A-A' AS dmc, 'Имя ' || comp AS tech_name, 'Данные ' || info AS info_name, CASE WHEN folder_seq % 3 = 0 THEN NULL ELSE sys || '-' || sub END AS tag
 FROM (SELECT CAST(l_orderkey * 10 + l_linenumber AS bigint) AS folder_seq, lpad(CAST(l_suppkey % 4 + 27 AS string), 3, '0') AS sys, lpad(CAST(l_linenumber * 6 % 13 AS string), 2, '0') AS sub, lpad(CAST(l_partkey % 5 AS string), 2, '0') AS comp, lpad(CAST((l_partkey * 37 + l_orderkey) % 400 AS string), 3, '0') AS info FROM {lineitem})"""
 
+#: The same with each row's place in its table, which tells the first of several modules of one pos.
+SPELLED["placed_refs"] = tuple(
+    DERIVED["dm_refs"].replace("AS tag\n", "AS tag, place\n").replace(" FROM {lineitem}", f", {place} AS place FROM {{lineitem}}") for place in ("struct(_metadata.file_path, _metadata.row_index)", "row_number() OVER ()")
+)
+
 #: Cells of small grids, some rows short.
 DERIVED["cells"] = """
 SELECT p_partkey AS table_idx, r AS row_no, c AS col_no, CASE r WHEN 0 THEN CASE (p_partkey + c) % 4 WHEN 0 THEN 'Оборудование' WHEN 1 THEN 'Материалы' WHEN 2 THEN 'Запасные части' ELSE 'Прочее' END ELSE p_name || ' ' || CAST(r * 3 + c AS string) END AS text

@@ -114,3 +114,30 @@ def test_whole_publications_equal_model(spark, tmp_path):
 def test_no_publications(spark):
     assert Pu.pieces(spark.createDataFrame([], HEADS), spark.createDataFrame(case()[1], REFS)).count() == 0
     assert Pu.pieces(spark.createDataFrame([case()[0][1]], HEADS), spark.createDataFrame([], REFS)).count() == 3
+
+
+def test_first_of_equal_positions_names_entries(spark):
+    """The first row of the table names an entry, not the smallest name; without places the smallest does, so reruns agree."""
+    code = tuple({"systemCode": "27", "subSystemCode": "1", "subSubSystemCode": "2", "assyCode": "03"}.get(p) for p in PARTS)
+    head = [("p", *[None] * 8)]
+    refs = [("p", 5, code, "b", "", ""), ("p", 5, code, "c", "", ""), ("p", 5, code, "a", "", ""), ("p", 7, code, "0", "", "")]
+
+    def titles(rows, schema):
+        made = Pu.pieces(spark.createDataFrame(head, HEADS), spark.createDataFrame(rows, schema).repartition(3)).where("xml LIKE '%27-12-03%'")
+        return [r.xml for r in made.collect()]
+
+    assert titles([(*r, (i // 2, i)) for i, r in enumerate(refs)], REFS + ", place struct<file: int, row: int>") == ["<pmEntry><pmEntryTitle>27-12-03 b</pmEntryTitle>"]
+    assert titles(refs, REFS) == ["<pmEntry><pmEntryTitle>27-12-03 a</pmEntryTitle>"]
+
+
+def test_query_takes_the_first_row_of_equal_positions(spark, tmp_path):
+    """The query equals its SQL where the first row of the lowest position has not the smallest name."""
+    import duckdb
+
+    from docloom.plans import ORACLES, QUERIES
+
+    con, path = duckdb.connect(), f"{tmp_path}/lineitem.parquet"
+    con.sql(f"COPY (SELECT 0::bigint AS l_orderkey, 13::bigint + 5 * v AS l_partkey, 1::bigint AS l_suppkey, 1 AS l_linenumber FROM (VALUES (7), (3), (9), (1)) AS x(v)) TO '{path}'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+    got = QUERIES["k3_publication_rows"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['k3_publication_rows']})").fetchall())
